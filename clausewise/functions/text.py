@@ -117,10 +117,29 @@ def with_clauses(
     return step.withColumn(out, F.coalesce(kept, empty)).drop("_sorted", "_kept")
 
 
+def unfold(df: DataFrame, array, *names: str) -> DataFrame:
+    """One row per array element as (position, element), other columns kept.
+
+    The plain explode functions imply a filter on the array's size, which the
+    optimizer pushes down through the projections that build the array, repeating
+    that work per row. The outer form has no such filter; the null row it adds for
+    an empty array is dropped afterwards.
+    """
+    pos, item = names
+    others = [c for c in df.columns if c != array]
+    return df.select(*others, F.posexplode_outer(array).alias(pos, item)).where(
+        F.col(pos).isNotNull())
+
+
+def unfold_structs(df: DataFrame, array, *keep: str) -> DataFrame:
+    """The same for an array of structs, whose fields become columns."""
+    out = unfold(df.select(*keep, F.col(array).alias("_items")), "_items", "_pos", "_item")
+    return out.select(*keep, "_item.*")
+
+
 def explode_clauses(df: DataFrame, clauses: str = "clauses") -> DataFrame:
     """One row per clause with its dense 0-based ``clause_index``."""
-    others = [c for c in df.columns if c != clauses]
-    return df.select(*others, F.posexplode(clauses).alias("clause_index", "clause"))
+    return unfold(df, clauses, "clause_index", "clause")
 
 
 # --- levels and categories ---------------------------------------------------

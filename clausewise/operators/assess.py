@@ -118,8 +118,9 @@ def claims_of_clauses(clause: DataFrame, key: str = "doc_id",
         "_low", dict.fromkeys(k for _, _, _, kws in specs for k in kws))
     hit = low.where(any_word).withColumn("_tokens", text.evidence_tokens("clause"))
     matched = F.filter(matched_checks(F.col("_low"), specs), lambda c: F.size(c["matched"]) > 0)
-    return hit.select(key, "clause_index", "clause", "_low", "_tokens",
-                      F.inline(matched)).drop("weight", "n_keywords")
+    hit = hit.withColumn("_matched", matched)
+    return text.unfold_structs(hit, "_matched", key, "clause_index", "clause", "_low",
+                               "_tokens").drop("weight", "n_keywords")
 
 
 def _ranked_in_row(df: DataFrame, candidates: Column, per_regulation: int,
@@ -280,9 +281,9 @@ def claim_verdicts(docs: DataFrame, extra_controls: DataFrame | None = None, reg
 
 def verdict_rows(claim_rows: DataFrame, key: str = "doc_id", wording: bool = False) -> DataFrame:
     """One row per verdict, ``rank`` 1-based in evidence order."""
-    rows = claim_rows.select(
-        key, "clause_index", "check_seq", "check_id", "clause", "matched",
-        F.posexplode("verdicts").alias("_pos", "v"))
+    rows = text.unfold(claim_rows.select(
+        key, "clause_index", "check_seq", "check_id", "clause", "matched", "verdicts"),
+        "verdicts", "_pos", "v")
     flat = rows.select(key, "clause_index", "check_seq", "check_id",
                        (F.col("_pos") + 1).alias("rank"), "v.*", "clause", "matched")
     if wording:
@@ -314,7 +315,7 @@ def regulation_summary(docs: DataFrame, claim_rows: DataFrame, totals: DataFrame
     names = totals.agg(F.collect_set("regulation").alias("r"))
     zeros = docs.select(key, F.explode(names.scalar()).alias("regulation")).select(
         key, "regulation", F.lit(0).alias("p"), F.lit(0).alias("f"))
-    met = claim_rows.select(key, F.explode("verdicts").alias("v")).select(
+    met = text.unfold(claim_rows.select(key, "verdicts"), "verdicts", "_pos", "v").select(
         key, F.col("v.regulation").alias("regulation"),
         F.col("v.compliant").cast("int").alias("p"),
         (~F.col("v.compliant")).cast("int").alias("f"))

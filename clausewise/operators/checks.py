@@ -41,7 +41,7 @@ def policy_check_scores(docs: DataFrame, text_col: str = "policy_text", key: str
         "_low", F.lower(text.normalize_space(text_col)))
     rows = low.withColumn("_checks", matched_checks(F.col("_low"), specs))
     rows = text.with_clauses(rows, text_col, "_clauses")
-    exploded = rows.select(key, "_clauses", F.inline("_checks"))
+    exploded = text.unfold_structs(rows, "_checks", key, "_clauses")
     hits = F.filter(
         "_clauses",
         lambda c: F.exists(F.col("matched"), lambda k: F.contains(F.lower(c), k)))

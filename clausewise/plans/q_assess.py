@@ -22,7 +22,7 @@ def check_scores(spark, sf):
 
 def clause_evidence(spark, sf):
     c = checks.policy_check_scores(I.policy_docs(spark, sf))
-    return c.select("doc_id", "check_id", F.posexplode("evidence").alias("item", "clause"))
+    return text.unfold(c.select("doc_id", "check_id", "evidence"), "evidence", "item", "clause")
 
 
 def schema_fields(spark, sf):
@@ -131,21 +131,28 @@ check_scores AS (
     len(matched) / greatest(2.0::DOUBLE, len(keywords) * 0.35::DOUBLE)) END AS raw_score
   FROM check_hits)"""
 
-# Field lists of the schema templates, worked out by hand from the rules.
-_FIELD_LISTS = (
-    ("created_at|email|id|phone", "users", "email|phone", ""),
-    ("full_name|health_status|patient_id|salary_amount", "patients", "full_name",
-     "health_status|salary_amount"),
-    ("amount|metric_key", "metrics", "", ""),
-    ("bank_code|ssn|zip", "", "ssn|zip", "bank_code"),
-    ("contact|email|first_name|profile|religion|tags", "", "email|first_name", "religion"),
-    ("device_id|ip_address|order_id|seen_at|total", "orders|visits", "device_id|ip_address", ""),
-)
-_FIELDS = f"""field_lists(tpl, fields, tables, pii_fields, sensitive_fields) AS (VALUES {I.sql_rows(
-    (i, *r) for i, r in enumerate(_FIELD_LISTS))}),
+_FIELDS = f"""{I.SCHEMA_DOCS}, ddl_lines AS (
+  SELECT doc_id, trim(trim(line), ',') AS raw FROM (
+    SELECT doc_id, unnest(string_split(schema_text, chr(10))) AS line FROM schema_docs)),
+ddl_names AS (
+  SELECT doc_id, lower(coalesce(
+    nullif(regexp_extract(raw, '^[`"\\[]?([A-Za-z_][A-Za-z0-9_]*)[`"\\]]?\\s+[A-Za-z]', 1), ''),
+    regexp_extract(raw, '^[`"\\[]?([A-Za-z_][A-Za-z0-9_]*)[`"\\]]?\\s*:\\s*', 1))) AS field
+  FROM ddl_lines
+  WHERE NOT regexp_matches(lower(raw), '^(create table|primary key|foreign key|constraint|index|\\))')
+  UNION ALL
+  SELECT doc_id, lower(trim(unnest(regexp_extract_all(schema_text, '"([^"]+)"\\s*:', 1))))
+  FROM schema_docs WHERE json_valid(schema_text)),
+ddl_tables AS (
+  SELECT doc_id, string_agg(trim(string_split(raw, ' ')[3], '"`()[]'), '|') AS tables
+  FROM ddl_lines WHERE starts_with(lower(raw), 'create table ') GROUP BY doc_id),
+field_lists AS (
+  SELECT doc_id, list_sort(list(DISTINCT field) FILTER (WHERE field <> '')) AS fs FROM ddl_names GROUP BY doc_id),
 schema_fields AS (
-  SELECT doc_id, fields, tables, pii_fields, sensitive_fields FROM documents
-  JOIN field_lists ON tpl = (doc_id + doc_id // 6) % {len(I.SCHEMAS)})"""
+  SELECT doc_id, array_to_string(fs, '|') AS fields, coalesce(tables, '') AS tables,
+    array_to_string(list_filter(fs, lambda f: len(list_filter({I.sql_list(lexicon.PII_PATTERNS)}, lambda p: contains(f, p))) > 0), '|') AS pii_fields,
+    array_to_string(list_filter(fs, lambda f: len(list_filter({I.sql_list(lexicon.SENSITIVE_PATTERNS)}, lambda p: contains(f, p))) > 0), '|') AS sensitive_fields
+  FROM field_lists LEFT JOIN ddl_tables USING (doc_id))"""
 
 _ALIGN = """align AS (
   SELECT doc_id, n_fields, n_pii, n_sens,
