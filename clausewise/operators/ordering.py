@@ -115,3 +115,30 @@ def lookup_skew_safe(rows: DataFrame, table: DataFrame, key: str, weight: str,
     step = step.join(light, F.col("_join_key") == F.col("_light_key"), "left")
     out = rows.columns
     return step.select(*out, *[F.coalesce(f"_h_{v}", f"_l_{v}").alias(v) for v in values])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core, by key.
+
+    A table of many files is returned as it is; only a small one is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage, for a table several branches read.
+
+    Uses the session's reliable checkpoint folder (``spark.checkpoint.dir``), so lost
+    executors cost nothing; a folder of our own only where none is set.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

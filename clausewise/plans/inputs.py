@@ -96,7 +96,9 @@ SCHEMAS = (
 
 def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, followed by four policy phrases chosen by its id."""
-    d = table(spark, sf_dir, "documents")
+    from clausewise.operators.ordering import spread
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     i = F.col("doc_id")
     a, b, c = pick(PHRASES, i), pick(PHRASES, div(i, 28)), pick(PHRASES, i * 5 + 3)
     return d.select("doc_id", F.concat(
@@ -318,3 +320,100 @@ ground AS (
   SELECT k, CASE WHEN reg = '' THEN 'UNKNOWN' ELSE reg END AS regulation, cid AS control_id,
     CASE WHEN t = '' THEN cid ELSE t END AS title, req AS requirement
   FROM ground0 WHERE req <> '')"""
+
+
+# --- labelled clauses and predictions ------------------------------------------------
+
+def labeled_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clause of every labelled document, three documents to a policy."""
+    from clausewise.functions import text
+    from clausewise.operators.ordering import spread
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    l = table(spark, sf_dir, "labels")
+    label = (F.when(F.col("toxic") == 1, "system").when(F.col("quality") == 0, "user")
+             .otherwise("organization"))
+    rows = d.join(l.select("doc_id", label.alias("label")), "doc_id")
+    clause = text.explode_clauses(text.with_clauses(rows, "text", "clauses").drop("text"))
+    return clause.select(
+        F.format_string("%08d-%05d", "doc_id", "clause_index").alias("example_id"),
+        F.col("clause").alias("text"), "label", "source",
+        F.concat(F.lit("policy-"), F.lpad(div(F.col("doc_id"), 3).cast("string"), 8, "0"))
+        .alias("policy_uid"),
+        F.element_at(lexicon.strings(CATEGORIES),
+                     F.pmod(F.col("doc_id") + F.col("clause_index"), F.lit(len(CATEGORIES)))
+                     .cast("int") + 1).alias("category"))
+
+
+CATEGORIES = (
+    "User Choice/Control", "Data Security", "First Party Collection/Use", "Do Not Track",
+    "Third Party Sharing/Collection", "Tracking Tools", "Data Retention", "user requests",
+    "Cookies And Tracking", "Opt Out Links", "Weather", " ", "Policy Change", "Other",
+)
+
+EXAMPLES = f"""labeled AS (
+  SELECT doc_id, text, source, CASE WHEN toxic = 1 THEN 'system' WHEN quality = 0 THEN 'user'
+    ELSE 'organization' END AS label FROM documents JOIN labels USING (doc_id)),
+{sql_clauses('labeled', 'text', out='lc')},
+examples AS (
+  SELECT lpad(doc_id::VARCHAR, 8, '0') || '-' || lpad(clause_index::VARCHAR, 5, '0') AS example_id,
+    clause AS text, label, source, 'policy-' || lpad((doc_id // 3)::VARCHAR, 8, '0') AS policy_uid,
+    {sql_pick(CATEGORIES, 'doc_id + clause_index')} AS category
+  FROM lc JOIN (SELECT doc_id, label, source FROM labeled) USING (doc_id)),
+label_counts AS (SELECT policy_uid, label, count(*) AS n, min(example_id) AS first FROM examples GROUP BY ALL),
+dominant AS (SELECT policy_uid, label FROM label_counts
+  QUALIFY row_number() OVER (PARTITION BY policy_uid ORDER BY n DESC, first) = 1),
+ranked_p AS (SELECT policy_uid, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || policy_uid), policy_uid) AS r,
+  count(*) OVER (PARTITION BY label) AS n FROM dominant),
+sized_p AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS tr,
+  CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.1::DOUBLE)) ELSE 0 END AS wish FROM ranked_p),
+assigned AS (SELECT policy_uid, CASE WHEN r <= tr THEN 'train'
+    WHEN r <= tr + CASE WHEN tr + wish >= n THEN greatest(0, n - tr - 1) ELSE wish END THEN 'validation'
+    ELSE 'test' END AS split FROM sized_p),
+split_examples AS (SELECT e.*, split FROM examples e JOIN assigned USING (policy_uid))"""
+
+NB = """train_tokens AS (
+  SELECT example_id, label, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token
+  FROM split_examples WHERE split = 'train'),
+nb_tokens AS (
+  SELECT token, count(*) AS total, count(*) FILTER (WHERE label = 'user') AS c_user,
+    count(*) FILTER (WHERE label = 'system') AS c_system,
+    count(*) FILTER (WHERE label = 'organization') AS c_organization FROM train_tokens GROUP BY token),
+nb_classes AS (SELECT label, count(DISTINCT example_id) AS docs, count(*) AS tokens FROM train_tokens GROUP BY label),
+nb_prior AS (
+  SELECT label, ln((docs + 1.0::DOUBLE) / (sum(docs) OVER () + 3.0::DOUBLE)) AS prior,
+    ln(tokens + 1.0::DOUBLE * (SELECT count(*) FROM nb_tokens)) AS denom FROM nb_classes)"""
+
+
+def sql_predictions(relation: str, key: str, text_col: str, out: str) -> str:
+    """Naive Bayes predictions for a relation of texts; needs NB's CTEs."""
+    return f"""{out}_tok AS (
+  SELECT {key}, unnest(regexp_extract_all(lower({text_col}), '[a-z0-9]{{2,}}')) AS token FROM {relation}),
+{out}_sum AS (
+  SELECT {key}, count(*) AS len, sum(ln(coalesce(c_user, 0) + 1.0::DOUBLE)) AS lu,
+    sum(ln(coalesce(c_system, 0) + 1.0::DOUBLE)) AS ls, sum(ln(coalesce(c_organization, 0) + 1.0::DOUBLE)) AS lo
+  FROM {out}_tok LEFT JOIN nb_tokens USING (token) GROUP BY ALL),
+{out}_score AS (
+  SELECT {key}, pu.prior + coalesce(lu - len * pu.denom, 0) AS su, ps.prior + coalesce(ls - len * ps.denom, 0) AS ss,
+    po.prior + coalesce(lo - len * po.denom, 0) AS so
+  FROM {relation} LEFT JOIN {out}_sum USING ({key}),
+    (SELECT * FROM nb_prior WHERE label = 'user') pu, (SELECT * FROM nb_prior WHERE label = 'system') ps,
+    (SELECT * FROM nb_prior WHERE label = 'organization') po),
+{out}_exp AS (SELECT {key}, exp(su - greatest(su, ss, so)) AS eu, exp(ss - greatest(su, ss, so)) AS es,
+  exp(so - greatest(su, ss, so)) AS eo FROM {out}_score),
+{out} AS (
+  SELECT {key}, eu / (eu + es + eo) AS pu, es / (eu + es + eo) AS ps, eo / (eu + es + eo) AS po,
+    CASE WHEN eu >= es AND eu >= eo THEN 'user' WHEN es >= eo THEN 'system' ELSE 'organization' END AS predicted_label
+  FROM {out}_exp)"""
+
+
+PREDICTIONS = f"""{EXAMPLES}, {NB}, held_out AS (SELECT * FROM split_examples WHERE split <> 'train'),
+{sql_predictions('held_out', 'example_id', 'text', 'raw_pred')},
+predictions AS (
+  SELECT h.example_id, policy_uid, split, label AS actual_label, predicted_label,
+    round(CASE predicted_label WHEN 'user' THEN pu WHEN 'system' THEN ps ELSE po END, 6) AS confidence,
+    round(pu, 6) AS p_user, round(ps, 6) AS p_system, round(po, 6) AS p_organization,
+    round(pu, 6) / (round(pu, 6) + round(ps, 6) + round(po, 6)) AS q_user,
+    round(ps, 6) / (round(pu, 6) + round(ps, 6) + round(po, 6)) AS q_system,
+    round(po, 6) / (round(pu, 6) + round(ps, 6) + round(po, 6)) AS q_organization
+  FROM held_out h JOIN raw_pred USING (example_id))"""
