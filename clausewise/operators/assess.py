@@ -309,18 +309,19 @@ def regulation_summary(docs: DataFrame, claim_rows: DataFrame, totals: DataFrame
                        key: str = "doc_id") -> DataFrame:
     """Per (document, regulation): pass, fail, evaluated, controls, percentage.
 
-    Regulations a document never met appear with zeros: each document adds one zero
-    row per regulation, so the fill rides on the same aggregation.
+    Regulations a document never met appear with zeros; one met without any known
+    control keeps its counts and has 0 controls.
     """
-    names = totals.agg(F.collect_set("regulation").alias("r"))
-    zeros = docs.select(key, F.explode(names.scalar()).alias("regulation")).select(
-        key, "regulation", F.lit(0).alias("p"), F.lit(0).alias("f"))
     met = text.unfold(claim_rows.select(key, "verdicts"), "verdicts", "_pos", "v").select(
         key, F.col("v.regulation").alias("regulation"),
-        F.col("v.compliant").cast("int").alias("p"),
-        (~F.col("v.compliant")).cast("int").alias("f"))
-    sums = met.unionByName(zeros).groupBy(key, "regulation").agg(
-        F.sum("p").alias("pass_count"), F.sum("f").alias("fail_count"))
+        F.col("v.compliant").cast("int").alias("p"))
+    counts = met.groupBy(key, "regulation").agg(
+        F.sum("p").alias("pass_count"), F.sum(1 - F.col("p")).alias("fail_count"))
+    names = totals.agg(F.collect_set("regulation").alias("r"))
+    every = docs.select(key, F.explode(names.scalar()).alias("regulation"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    sums = every.join(counts, [key, "regulation"], "full").select(
+        key, "regulation", zero("pass_count"), zero("fail_count"))
     evaluated = F.col("pass_count") + F.col("fail_count")
     return sums.join(totals, "regulation", "left").select(
         key, "regulation", "pass_count", "fail_count", evaluated.alias("total_evaluated"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,17 +93,15 @@ def nb_predict(docs: DataFrame, model: NaiveBayesTables, keys: list[str],
         F.log((F.col(f"_m.d{i}") + alpha) / (F.col("_m.n") + alpha * len(labels)))
         + F.col(f"_l{i}") - F.col("_len") * F.log(F.col(f"_m.t{i}") + alpha * vocab)
         for i in range(len(labels))]
-    step = step.select(*keys, *[s.alias(f"_s{i}") for i, s in enumerate(score)])
-    top = F.greatest(*[F.col(f"_s{i}") for i in range(len(labels))]) if len(labels) > 1 \
-        else F.col("_s0")
-    step = step.select(*keys, *[F.exp(F.col(f"_s{i}") - top).alias(f"_e{i}")
-                                for i in range(len(labels))])
-    total = sum((F.col(f"_e{i}") for i in range(1, len(labels))), F.col("_e0"))
-    pairs = []
-    for i, l in enumerate(labels):
-        pairs += [F.lit(l), F.col(f"_e{i}") / total]
-    step = step.select(*keys, F.create_map(*pairs).alias("probabilities"))
-    step = step.withColumn("predicted_label", argmax_label("probabilities", labels))
+    # Arrays keep the softmax short: a filter on the label is pushed into these
+    # projections by substitution, which must not multiply their size.
+    step = step.select(*keys, F.array(*score).alias("_s"))
+    step = step.withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x)
+    step = step.select(*keys, F.map_from_arrays(
+        lexicon.strings(labels), F.transform("_e", lambda x: x / total)).alias("probabilities"),
+        F.get(lexicon.strings(labels), F.array_position("_e", F.array_max("_e")).cast("int") - 1)
+        .alias("predicted_label"))
     return step.withColumn("confidence", F.element_at("probabilities", F.col("predicted_label")))
 
 
@@ -247,8 +246,6 @@ def score_with(docs: DataFrame, make_scorer: Callable[[], Callable], keys: list[
     ``make_scorer`` runs once per task and returns ``Series of text -> DataFrame with
     one column per label``; rows are renormalized, and spread evenly without mass.
     """
-    import pandas as pd
-
     order = list(labels)
 
     @F.pandas_udf(", ".join(f"`{l}` double" for l in order))

@@ -27,7 +27,7 @@ def read_priors(spark, path: str | None, defaults=None) -> dict:
 
 
 def _level(key: str):
-    return F.lower(F.trim(F.col(key)))
+    return F.coalesce(F.lower(F.trim(F.col(key))), F.lit(""))
 
 
 def beta_posterior(predictions: DataFrame, priors=None, key: str = "predicted_label") -> DataFrame:
@@ -38,7 +38,7 @@ def beta_posterior(predictions: DataFrame, priors=None, key: str = "predicted_la
     priors = dict(priors or lexicon.BETA_PRIORS)
     conf = F.lit(1.0) if key == "actual_label" else scoring.bounded_probability("confidence")
     rows = predictions.select(_level(key).alias("level"), conf.alias("c"))
-    sums = rows.where(F.col("level").isin(list(priors))).groupBy("level").agg(
+    sums = rows.groupBy("level").agg(
         F.sum("c").alias("_c"), F.count(F.lit(1)).alias("evidence_count"))
     spark = predictions.sparkSession
     dim = spark.createDataFrame(

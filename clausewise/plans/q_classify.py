@@ -121,7 +121,7 @@ def repaired_probabilities(spark, sf):
     pred = F.when(h == 1, "unknown").otherwise(F.col("predicted_label"))
     fixed = p.select("example_id", probabilities_or_fallback(
         m, pred, "confidence", ("user", "system", "organization")).alias("m"))
-    return fixed.select("example_id", *[F.round(F.element_at("m", F.lit(l)), 6).alias(f"p_{l}")
+    return fixed.select("example_id", *[F.round(F.element_at("m", F.lit(l)), 8).alias(f"p_{l}")
                                         for l in ("user", "system", "organization")])
 
 
@@ -327,7 +327,7 @@ FROM cls JOIN acc USING (split) GROUP BY ALL""",
   count(*) FILTER (WHERE {_HASH} % 5 = 1) AS uniform_fallback_rows FROM predictions""",
     "repaired_probabilities": f"""{_P}, h AS (SELECT *, {_HASH} % 4 AS h FROM predictions)
 SELECT example_id, {", ".join(f'''round(CASE WHEN h > 1 THEN q_{l} WHEN h = 1 THEN 1.0::DOUBLE / 3
-  WHEN predicted_label = '{l}' THEN confidence ELSE (1 - confidence) / 2 END, 6) AS p_{l}'''
+  WHEN predicted_label = '{l}' THEN confidence ELSE (1 - confidence) / 2 END, 8) AS p_{l}'''
     for l in ("user", "system", "organization"))} FROM h""",
     "calibration": f"""{_P}, {_VIEWS} SELECT t.target, b::INT AS bin_index, round(b / 10.0::DOUBLE, 6) AS lower,
   round((b + 1) / 10.0::DOUBLE, 6) AS upper, coalesce(n, 0) AS count, round(coalesce(c, 0), 6) AS avg_confidence,
