@@ -112,6 +112,17 @@ def _unquote(token: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
 
 
+def is_json(c) -> Column:
+    """True for text that is exactly one JSON value.
+
+    The parser itself ignores what follows the first value, so the text is read as
+    the only element of an array.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), col(c), F.lit("]")))
+    return wrapped.isNotNull() & (strip(c) != "") & F.try_variant_get(
+        wrapped, "$[1]", "variant").isNull()
+
+
 def json_keys(c) -> Column:
     """All object keys at every depth, trimmed and lower-cased; null if not JSON.
 
@@ -119,24 +130,23 @@ def json_keys(c) -> Column:
     scanning left to right keeps string boundaries aligned, so no walk is needed.
     """
     text = col(c)
-    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"\s*:?'), F.lit(0))
     keys = F.transform(
         F.filter(tokens, lambda t: t.endswith(":")),
         lambda t: F.lower(strip(_unquote(F.regexp_replace(t, r"\s*:$", "")))),
     )
-    valid = F.try_parse_json(text).isNotNull()
-    return F.when(valid, F.filter(F.array_sort(F.array_distinct(keys)), lambda k: k != ""))
+    return F.when(is_json(text), F.filter(F.array_sort(F.array_distinct(keys)), lambda k: k != ""))
 
 
 def selected_texts(payload) -> Column:
     """Distinct non-blank strings under ``selectedText``, in document order."""
     text = strip(payload)
     found = F.regexp_extract_all(
-        text, F.lit(r'"selectedText"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+        text, F.lit(r'"selectedText"\s*:\s*("(?:[^"\\]|\\.)*+")'), F.lit(1))
     clean = F.filter(F.transform(found, lambda t: normalize_space(_unquote(t))),
                      lambda t: t != "")
     empty = F.array().cast("array<string>")
-    return F.when(F.try_parse_json(text).isNotNull(), F.array_distinct(clean)).otherwise(empty)
+    return F.when(is_json(text), F.array_distinct(clean)).otherwise(empty)
 
 
 # --- DDL -----------------------------------------------------------------------
