@@ -154,12 +154,12 @@ def selected_texts(payload) -> Column:
 _DDL_SKIP = r"^(?:create table|primary key|foreign key|constraint|index|\))"
 _DDL_TYPED = r'^[`"\[]?([A-Za-z_][A-Za-z0-9_]*)[`"\]]?\s+[A-Za-z]'
 _DDL_COLON = r'^[`"\[]?([A-Za-z_][A-Za-z0-9_]*)[`"\]]?\s*:\s*'
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _lines(c: Column) -> Column:
     return F.filter(
-        F.transform(F.split(strip(c), _LINES), lambda x: F.btrim(strip(x), F.lit(","))),
+        F.transform(F.split(strip(c), LINE_BREAK), lambda x: F.btrim(strip(x), F.lit(","))),
         lambda x: x != "",
     )
 
@@ -180,7 +180,7 @@ def schema_fields(ddl, with_json: bool = True) -> Column:
 
 
 def table_names(ddl) -> Column:
-    lines = F.filter(F.transform(F.split(col(ddl), _LINES), strip),
+    lines = F.filter(F.transform(F.split(col(ddl), LINE_BREAK), strip),
                      lambda x: F.lower(x).startswith("create table "))
     return F.transform(lines, lambda x: F.btrim(
         F.element_at(F.split(x, r"\s+"), 3), F.lit('`"[]()' )))

@@ -64,23 +64,31 @@ def row_index(df: DataFrame, key: str, out: str = "row_index", blocks: int = 256
             .drop("_block", "_offset", "_in_block"))
 
 
-def running_count(df: DataFrame, group: list[str], order: str, flag: str, out: str,
+def running_count(df: DataFrame, group: list[str], order: str, counts: dict[str, str],
                   block_rows: int = 50_000) -> DataFrame:
     """Running number of true flags per group in order of an integer column.
 
-    Groups longer than ``block_rows`` order steps are cut into blocks, so one huge
-    document is spread over many tasks.
+    ``counts`` maps flag columns to output columns. Groups longer than
+    ``block_rows`` order steps are cut into blocks, so one huge document is spread
+    over many tasks; all flags share the one pass.
     """
     df = df.withColumn("_block", F.floor(F.col(order) / block_rows))
-    hits = F.sum(F.col(flag).cast("long"))
-    sizes = df.groupBy(*group, "_block").agg(hits.alias("_n"))
-    offsets = _offsets(sizes, group, "_block", "_n")
+    flags = list(counts)
+    sizes = df.groupBy(*group, "_block").agg(*[
+        F.sum(F.col(f).cast("long")).alias(f"_n{i}") for i, f in enumerate(flags)])
+    before = (Window.partitionBy(*group).orderBy("_block")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group, "_block", *[
+        F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)).alias(f"_o{i}")
+        for i in range(len(flags))])
     w = (Window.partitionBy(*group, "_block").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, 0))
-    return (df.withColumn("_in_block", F.sum(F.col(flag).cast("long")).over(w))
-            .join(offsets, [*group, "_block"])
-            .withColumn(out, F.col("_offset") + F.col("_in_block"))
-            .drop("_block", "_offset", "_in_block"))
+    inside = df.select("*", *[F.sum(F.col(f).cast("long")).over(w).alias(f"_i{i}")
+                              for i, f in enumerate(flags)])
+    joined = inside.join(offsets, [*group, "_block"])
+    keep = [c for c in df.columns if c != "_block"]
+    return joined.select(*keep, *[(F.col(f"_o{i}") + F.col(f"_i{i}")).alias(counts[f])
+                                  for i, f in enumerate(flags)])
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int,

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from clausewise import lexicon
 from clausewise.functions import text
-from clausewise.operators.ordering import running_count
+from clausewise.functions.records import LINE_BREAK
+from clausewise.operators.ordering import materialize, running_count
 
 
 def _any_of(words, where: str) -> str:
@@ -96,10 +97,10 @@ def extract_articles(lines: DataFrame, regulation: str = "GDPR",
     article = F.regexp_extract("line", r"^Article\s+(\d+)$", 1)
     base = base.withColumn("_chapter", chapter).withColumn("_article", article)
     base = base.withColumn("_header", (F.col("_chapter") != "") | (F.col("_article") != ""))
-    numbered = running_count(base, ["doc_id"], "line_no", "_header", "_sec")
-    is_chapter = F.col("_chapter") != ""
-    numbered = running_count(numbered.withColumn("_is_chapter", is_chapter), ["doc_id"], "line_no",
-                             "_is_chapter", "_chap")
+    base = base.withColumn("_is_chapter", F.col("_chapter") != "")
+    # Read by the sections and by their bodies, so it is computed once.
+    numbered = materialize(running_count(base, ["doc_id"], "line_no",
+                                         {"_header": "_sec", "_is_chapter": "_chap"}))
     noise = is_noise("line", "articles")
     # Per section: its header, and the first usable line after it (the title).
     first_any = F.min(F.when(~F.col("_header") & (F.col("line") != ""), F.col("line_no")))
@@ -149,7 +150,7 @@ def split_subclauses(body: DataFrame, section: list[str]) -> DataFrame:
     pattern = r"^(\d+)\.\s+(.*)$"
     marked = body.withColumn("_num", F.regexp_extract("line", pattern, 1))
     marked = marked.withColumn("_opens", F.col("_num") != "")
-    numbered = running_count(marked, section, "line_no", "_opens", "_part")
+    numbered = running_count(marked, section, "line_no", {"_opens": "_part"})
     piece = F.when(F.col("_opens"), F.regexp_extract("line", pattern, 2)).otherwise(F.col("line"))
     parts = numbered.withColumn("_piece", piece).groupBy(*section, "_part").agg(
         F.max("_num").alias("sub_id"), text.strip(_joined("_piece")).alias("sub_text"),
@@ -176,7 +177,7 @@ def extract_numbered_clauses(lines: DataFrame, regulation: str = "ISO27001",
     base = base.where(~is_noise("clean", "clauses"))
     head = F.when(~is_toc("clean"), F.regexp_extract("clean", _CLAUSE, 1)).otherwise("")
     base = base.withColumn("_id", head).withColumn("_header", F.col("_id") != "")
-    numbered = running_count(base, ["doc_id"], "line_no", "_header", "_sec").where("_sec > 0")
+    numbered = running_count(base, ["doc_id"], "line_no", {"_header": "_sec"}).where("_sec > 0")
     heads = numbered.where("_header").select(
         "doc_id", "_sec", F.col("_id").alias("clause_id"),
         text.normalize_space(F.regexp_extract("clean", _CLAUSE, 2)).alias("clause_title"))
@@ -190,7 +191,7 @@ def extract_numbered_clauses(lines: DataFrame, regulation: str = "ISO27001",
              .when(F.col("_kind") == 2, F.regexp_extract("line", _ALT_BULLET, 2))
              .otherwise(F.col("line")))
     body = body.withColumn("_bullet", bullet).withColumn("_piece", piece)
-    parts = running_count(body, ["doc_id", "_sec"], "line_no", "_opens", "_part")
+    parts = running_count(body, ["doc_id", "_sec"], "line_no", {"_opens": "_part"})
     texts = parts.groupBy("doc_id", "_sec", "_part").agg(
         F.max("_bullet").alias("bullet"), text.normalize_space(_joined("_piece")).alias("text"),
         F.min("line_no").alias("seq")).where(F.col("text") != "")
@@ -215,7 +216,7 @@ def extract_subcategories(lines: DataFrame, regulation: str = "NISTPF",
     base = base.where(~is_noise("line", "subcategories"))
     base = base.withColumn("_id", F.regexp_extract("line", pattern, 1))
     base = base.withColumn("_header", F.col("_id") != "")
-    numbered = running_count(base, ["doc_id"], "line_no", "_header", "_sec").where("_sec > 0")
+    numbered = running_count(base, ["doc_id"], "line_no", {"_header": "_sec"}).where("_sec > 0")
     piece = F.when(F.col("_header"), F.regexp_extract("line", pattern, 2)).otherwise(F.col("line"))
     texts = numbered.withColumn("_piece", piece).groupBy("doc_id", "_sec").agg(
         F.max("_id").alias("native_id"), text.normalize_space(_joined("_piece")).alias("text"),
@@ -289,7 +290,7 @@ def chunk_lines(records: DataFrame, max_bytes: int = 16 * 1024, max_lines: int =
     """
     if max_bytes < 4:
         raise ValueError("max_bytes must hold at least one character (4 bytes)")
-    lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"),
+    lines = F.filter(F.transform(F.split("text", LINE_BREAK),
                                  text.strip), lambda l: l != "")
     parts = F.flatten(F.transform(lines, lambda l: _split_line(l, max_bytes)))
     empty = F.array().cast("array<string>")
