@@ -93,16 +93,17 @@ def _query_blocks(queries: DataFrame, block: int):
 
 # --- TF-IDF vectors as rows --------------------------------------------------------
 
+def _ngrams(tokens: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+
 def term_counts(docs: DataFrame, key: str, text_col: str = "text", ngram_max: int = 1) -> DataFrame:
     """(key, term, tf) over word tokens and n-grams."""
     t = text.tokenize(text_col)
     rows = docs.select(key, t.alias("_t"))
-    grams = [F.col("_t")]
-    for n in range(2, ngram_max + 1):
-        span = F.sequence(F.lit(1), F.size("_t") - (n - 1))
-        grams.append(F.when(F.size("_t") >= n, F.transform(
-            span, lambda i, n=n: F.array_join(F.slice(F.col("_t"), i, n), " ")))
-            .otherwise(F.array().cast("array<string>")))
+    grams = [F.col("_t")] + [_ngrams(F.col("_t"), n) for n in range(2, ngram_max + 1)]
     every = rows.select(key, F.concat(*grams).alias("_g")) if len(grams) > 1 else rows.select(
         key, F.col("_t").alias("_g"))
     return text.unfold(every, "_g", "_p", "term").groupBy(key, "term").agg(

@@ -94,11 +94,8 @@ SCHEMAS = (
 )
 
 
-def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, whole, followed by four policy phrases chosen by its id."""
-    from clausewise.operators.ordering import spread
-
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+def policy_texts(d: DataFrame) -> DataFrame:
+    """Each text, whole, followed by four policy phrases chosen by its id."""
     i = F.col("doc_id")
     a, b, c = pick(PHRASES, i), pick(PHRASES, div(i, 28)), pick(PHRASES, i * 5 + 3)
     return d.select("doc_id", F.concat(
@@ -106,6 +103,13 @@ def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("policy_text"))
 
 
+def policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausewise.operators.ordering import spread
+
+    return policy_texts(spread(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
 POLICY_DOCS = f"""policy_docs AS (
   SELECT doc_id, text || chr(10) || chr(10) || {sql_pick(PHRASES, 'doc_id')} || ' '
     || {sql_pick(PHRASES, 'doc_id // 28')} || chr(10) || {sql_pick(PHRASES, 'doc_id * 5 + 3')}
