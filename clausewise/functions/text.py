@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from clausewise import lexicon
 
-# Java's \s is ASCII-only without (?U), and never covers the four separators.
-_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
-# A blank line, a line break, or whitespace after sentence-ending punctuation.
-_CLAUSE_BREAK = r"(?U)\r?\n\s*\r?\n|\r?\n|(?<=[.!?])\s+"
+# Java's \\s is ASCII-only, and its Unicode mode is slow, so white space is listed.
+_ODD_SPACE = r"\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[ {_ODD_SPACE}]"
+# Anything but a lone plain space, which needs no replacing.
+_SPACE_RUN = f"[{_ODD_SPACE}]{_SPACE}*| {_SPACE}+"
+_EDGE_SPACE = f"^{_SPACE}+|{_SPACE}+$"
+# A line break, or white space after sentence-ending punctuation. A blank line is two
+# breaks with a blank piece between them, which is too short to be a clause.
+_CLAUSE_BREAK = f"\\n|(?<=[.!?]){_SPACE}+"
 
 
 def col(c) -> Column:
@@ -24,7 +29,7 @@ def normalize_space(c) -> Column:
 
 def strip(c) -> Column:
     """Whitespace (any kind) removed from both ends."""
-    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(col(c), _EDGE_SPACE, "")
 
 
 def blank_to_null(c) -> Column:
@@ -84,21 +89,14 @@ def with_clauses(
     a table of documents needs no shuffle and the same code serves streams. The
     position in the array is the dense clause index.
     """
-    pieces = F.filter(
-        F.transform(
-            F.split(strip(text_col), _CLAUSE_BREAK),
-            lambda piece, i: F.struct(
-                F.lower(normalize_space(piece)).alias("key"),
-                i.alias("pos"),
-                normalize_space(piece).alias("clause"),
-            ),
-        ),
-        lambda p: F.length(p["clause"]) >= min_chars,
-    )
-    step = df.withColumn("_sorted", F.array_sort(pieces))
+    pieces = F.filter(F.transform(F.split(text_col, _CLAUSE_BREAK), normalize_space),
+                      lambda p: F.length(p) >= min_chars)
+    keyed = F.transform(pieces, lambda p, i: F.struct(
+        F.lower(p).alias("key"), i.alias("pos"), p.alias("clause")))
+    step = df.withColumn("_sorted", F.sort_array(keyed))
     step = step.withColumn(
         "_kept",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter(
                     F.col("_sorted"),

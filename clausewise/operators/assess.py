@@ -138,16 +138,16 @@ def _ranked_in_row(df: DataFrame, candidates: Column, per_regulation: int,
         c["seq"].alias("seq"), c["title"].alias("title"),
         c["requirement"].alias("requirement"), c["source"].alias("source"),
         hits(c).alias("overlap"), c["signals"].alias("signals")))
-    step = df.withColumn("_s", F.array_sort(F.filter(scored, lambda c: c["neg_score"] < 0)))
+    step = df.withColumn("_s", F.sort_array(F.filter(scored, lambda c: c["neg_score"] < 0)))
     # Equal (regulation, control) neighbours: the best one comes first.
     best = F.filter("_s", lambda c, i: (i == 0) | (
         F.struct(c["regulation"], c["control_id"]) != F.struct(
             F.get(F.col("_s"), i - 1)["regulation"], F.get(F.col("_s"), i - 1)["control_id"])))
-    step = step.withColumn("_d", F.reverse(F.array_sort(F.transform(best, lambda c: F.struct(
+    step = step.withColumn("_d", F.sort_array(F.transform(best, lambda c: F.struct(
         (-c["neg_score"]).alias("score"), c["regulation"].alias("regulation"),
         c["control_id"].alias("control_id"), c["title"].alias("title"),
         c["requirement"].alias("requirement"), c["source"].alias("source"),
-        c["overlap"].alias("overlap"), c["signals"].alias("signals"))))))
+        c["overlap"].alias("overlap"), c["signals"].alias("signals"))), asc=False))
     kept = F.filter("_d", lambda c, i: F.size(F.filter(
         F.slice(F.col("_d"), F.lit(1), i),
         lambda e: e["regulation"] == c["regulation"])) < per_regulation)

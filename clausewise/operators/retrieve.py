@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
-from clausewise.operators.ordering import lookup_skew_safe, top_k
+from clausewise.operators.ordering import lookup_skew_safe, materialize, top_k
 
 # Query vectors kept in one task at a time; more are worked off in blocks.
 QUERY_BLOCK = 2048
@@ -140,9 +140,10 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, limit: int = 10, key: str =
     filter is pushed below the last one.
     """
     pool = pool_size(limit)
-    counts = term_counts(docs, key, text_col)
-    stats = term_stats(counts, docs.count(), **bounds)
-    doc_w = tfidf_weights(counts, stats, key)
+    counts = materialize(term_counts(docs, key, text_col))
+    stats = materialize(term_stats(counts, docs.count(), **bounds))
+    # The index: read by the norms and by the products.
+    doc_w = materialize(tfidf_weights(counts, stats, key))
     query_w = tfidf_weights(term_counts(queries, "query_id", "query_text"), stats, "query_id")
     query_w = query_w.join(_norms(query_w, "query_id", "qn"), "query_id").select(
         "query_id", F.col("term").alias("q_term"), (F.col("w") / F.col("qn")).alias("qw"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("q_metrics", "q_assess", "q_classify", "q_corpora", "q_structure", "q_retrieve",
+_MODULES = ("q_metrics", "q_assess", "q_classify", "q_corpora", "q_structure", "q_retrieval",
             "q_gates", "q_streams")
 
 

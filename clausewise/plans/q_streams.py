@@ -28,7 +28,9 @@ def _read(spark, sf, name):
 
 
 def _doc_stream(spark, sf):
-    return I.policy_texts(_read(spark, sf, "documents"))
+    # The table is a single file here; many files would already be many tasks.
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    return I.policy_texts(docs.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
 
 
 def stream_assess(spark, sf):
@@ -81,10 +83,10 @@ UNION ALL SELECT doc_id, clause_index, check_seq, rank, 'verdict_complete', 'sco
     "stream_tallies": f"""{A._DOCS}, {_NO_GROUND}
 SELECT regulation, count(*) FILTER (WHERE compliant) AS pass_count,
   count(*) FILTER (WHERE NOT compliant) AS fail_count FROM verdicts GROUP BY regulation""",
-    "stream_window_tallies": """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS regulation,
+    "stream_window_tallies": """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS regulation,
   count(*) FILTER (WHERE value > 10) AS pass_count, count(*) FILTER (WHERE NOT value > 10) AS fail_count
-FROM events GROUP BY ALL
-HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
+FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
     "stream_score": f"""WITH {I.PART_CONTROLS}, {I.OBSERVATIONS}, o AS (
   SELECT l_returnflag AS scenario, l_linestatus AS level, l_orderkey || '-' || l_linenumber AS entity_id,
     'metric-' || l_partkey AS metric_id, l_quantity::INT AS total, least(l_quantity::INT, round(l_discount * 100)::INT) AS failed,
