@@ -56,7 +56,11 @@ def read_annotations(spark: SparkSession, folder: str, min_fields: int = 6) -> D
     raw = spark.read.csv(folder, schema=schema, multiLine=True, quote='"', escape='"',
                          columnNameOfCorruptRecord="_bad", pathGlobFilter="*.csv")
     bare = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "")
-    arity = F.when(F.col("_bad").isNull(), 9).otherwise(F.size(F.split(bare, ",")))
+    # Never fewer than the fields that were read (and the reader wants a query on the
+    # corrupt-record column to name others too).
+    filled = F.size(F.array_compact(F.array(*names)))
+    arity = F.greatest(filled, F.when(F.col("_bad").isNull(), 9).otherwise(
+        F.size(F.split(bare, ","))))
     uid = text.uid_from_filename(F.col("_metadata.file_name"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = raw.select(
