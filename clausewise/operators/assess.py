@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausewise import lexicon
 from clausewise.functions import records, scoring, text
 from clausewise.operators.checks import matched_checks
+from clausewise.operators.ordering import materialize
 
 # More controls than this are not put into the rows; an equi-join on tokens is used.
 MAX_CONTROLS_IN_ROW = 512
@@ -351,6 +352,9 @@ def assess_policies(docs: DataFrame, extra_controls: DataFrame | None = None, re
     """One report row per document: counts, score, grade, status (and model signal)."""
     spark = docs.sparkSession
     rows = claim_verdicts(docs, extra_controls, regulations, limit, text_col, key)
+    # Only what the counts need is kept, once, for both aggregations below.
+    rows = materialize(rows.select(key, F.transform("verdicts", lambda v: F.struct(
+        v["regulation"].alias("regulation"), v["compliant"].alias("compliant"))).alias("verdicts")))
     totals = control_totals(spark, extra_controls, regulations)
     score = policy_score(regulation_summary(docs, rows, totals, key), key)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("claims_generated"))

@@ -12,7 +12,7 @@ from clausewise.plans import inputs as I
 
 def _split(spark, sf):
     ex = materialize(I.labeled_examples(spark, sf))
-    return splits.apply_split(ex, splits.split_policies(ex))
+    return splits.apply_split(ex, materialize(splits.split_policies(ex)))
 
 
 def _model(spark, sf):
@@ -20,7 +20,7 @@ def _model(spark, sf):
 
 
 def predictions(spark, sf):
-    ex = materialize(_split(spark, sf))
+    ex = _split(spark, sf)
     held = ex.where("split <> 'train'").select(
         "example_id", "policy_uid", "split", F.col("label").alias("actual_label"), "text")
     model = classify.nb_fit(ex.where("split = 'train'"))
