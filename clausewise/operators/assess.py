@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausewise import lexicon
 from clausewise.functions import records, scoring, text
 from clausewise.operators.checks import matched_checks
-from clausewise.operators.ordering import materialize
+from clausewise.operators.ordering import guard_unions, materialize
 
 # More controls than this are not put into the rows; an equi-join on tokens is used.
 MAX_CONTROLS_IN_ROW = 512
@@ -57,7 +57,7 @@ def available_regulations(spark, extra: DataFrame | None = None,
                           controls=lexicon.REGULATION_CONTROLS) -> DataFrame:
     names = lexicon.control_table(spark, controls).select("regulation")
     if extra is not None:
-        names = names.unionByName(extra.select(text.strip("regulation").alias("regulation"))
+        names = names.transform(guard_unions).unionByName(extra.select(text.strip("regulation").alias("regulation"))
                                   .where(F.col("regulation") != ""))
     return names.distinct()
 
@@ -72,7 +72,7 @@ def control_totals(spark, extra: DataFrame | None = None, regulations=None,
         seen = filter_regulations(
             extra.select(text.strip("regulation").alias("regulation"))
             .where(F.col("regulation") != ""), regulations)
-        rows = rows.unionByName(seen.distinct().withColumn("n", F.lit(0)))
+        rows = rows.transform(guard_unions).unionByName(seen.distinct().withColumn("n", F.lit(0)))
     return rows.groupBy("regulation").agg(
         F.greatest(F.sum("n"), F.lit(1)).cast("int").alias("total_controls"))
 
@@ -207,7 +207,7 @@ def rank_evidence_joined(claim_rows: DataFrame, prepared: DataFrame, regulations
         text.evidence_tokens(F.concat_ws(" ", "control_id", "title", "requirement")).alias(
             "tokens"),
         _signals(F.col("control_id")).alias("signals"), F.lit("legacy").alias("source"))
-    everything = built_in.unionByName(prepared.withColumn("check_id", F.lit(None).cast("string")))
+    everything = built_in.transform(guard_unions).unionByName(prepared.withColumn("check_id", F.lit(None).cast("string")))
     # A control row is identified by its content; repeats score alike and merge later.
     everything = everything.withColumn("_cid", F.sha1(F.concat_ws(
         "\u0001", F.coalesce("check_id", F.lit("")), "regulation", "control_id", "title",
@@ -227,7 +227,7 @@ def rank_evidence_joined(claim_rows: DataFrame, prepared: DataFrame, regulations
 
     found_words = F.array_compact(F.array(*[
         F.when(F.contains("req_low", F.lit(w)), F.lit(w)) for w in words]))
-    pairs = meet(F.col("_tokens"), F.col("tokens"), 1).unionByName(
+    pairs = meet(F.col("_tokens"), F.col("tokens"), 1).transform(guard_unions).unionByName(
         meet(F.col("matched"), found_words, 2))
     scored = pairs.groupBy(*claim_key, "_cid").agg(
         F.sum("points").cast("double").alias("score"), F.sum("hit").cast("int").alias("overlap"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import lexicon
+from clausewise.operators.ordering import guard_unions
 
 
 def check_row(stats: DataFrame, name: str, passed: Column, details: Column,
@@ -190,7 +191,7 @@ def overall(checks: DataFrame) -> DataFrame:
 def union_checks(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.transform(guard_unions).unionByName(p)
     return out
 
 
@@ -353,7 +354,7 @@ def id_differences(controls: DataFrame, expected: DataFrame) -> DataFrame:
     have = controls.select("regulation", "native_id").where(F.trim("native_id") != "").distinct()
     want = expected.select("regulation", "native_id").where(F.trim("native_id") != "").distinct()
     both = ["regulation", "native_id"]
-    return want.join(have, both, "left_anti").withColumn("side", F.lit("missing")).unionByName(
+    return want.join(have, both, "left_anti").withColumn("side", F.lit("missing")).transform(guard_unions).unionByName(
         have.join(want, both, "left_anti").withColumn("side", F.lit("extra")))
 
 

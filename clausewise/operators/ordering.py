@@ -150,3 +150,19 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def guard_unions(df: DataFrame) -> DataFrame:
+    """The table itself, with the session kept from trusting a union's partitioning.
+
+    Spark 4.1 lets a union of equally partitioned inputs claim their partitioning;
+    when adaptive execution then joins above it, a later grouping by those keys can
+    miss its shuffle and return a key twice. Plans read the setting when they run.
+    """
+    key = "spark.sql.unionOutputPartitioning"
+    try:
+        if df.sparkSession.conf.get(key) == "true":
+            df.sparkSession.conf.set(key, "false")
+    except Exception:  # an earlier version without the setting
+        pass
+    return df

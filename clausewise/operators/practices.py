@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
+from clausewise.operators.ordering import guard_unions
 
 
 def practice_sentences(documents: DataFrame, include_synthetic: bool = False) -> DataFrame:
@@ -100,4 +101,4 @@ def practice_stats(documents: DataFrame, include_synthetic: bool = False) -> Dat
                  F.when(synthetic & F.lit(not include_synthetic), "synthetic_skipped")
                  .otherwise("used").alias("name"))))).alias("x")).select("x.*").groupBy(
         "kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    return unpivoted.where("n > 0").unionByName(counted).unionByName(policies)
+    return unpivoted.where("n > 0").transform(guard_unions).unionByName(counted).transform(guard_unions).unionByName(policies)

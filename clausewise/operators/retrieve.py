@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
-from clausewise.operators.ordering import lookup_skew_safe, materialize, top_k
+from clausewise.operators.ordering import guard_unions, lookup_skew_safe, materialize, top_k
 
 # Query vectors kept in one task at a time; more are worked off in blocks.
 QUERY_BLOCK = 2048
@@ -70,7 +70,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int = 10, key: str
         return queries.sparkSession.createDataFrame([], out_schema + ", rank int")
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.transform(guard_unions).unionByName(p)
     return top_k(every, ["query_id"], [F.col("score").desc(), F.col(key)], pool)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise import lexicon
-from clausewise.operators.ordering import rank_by_hash
+from clausewise.operators.ordering import guard_unions, rank_by_hash
 
 SPLITS = ("train", "validation", "test")
 
@@ -104,7 +104,7 @@ def append_auxiliary(split_examples: DataFrame, auxiliary: DataFrame,
                      namespace: str) -> DataFrame:
     """Auxiliary rows, namespaced, into the training split only."""
     aux = namespace_ids(auxiliary, namespace).withColumn("split", F.lit("train"))
-    return split_examples.unionByName(aux, allowMissingColumns=True)
+    return split_examples.transform(guard_unions).unionByName(aux, allowMissingColumns=True)
 
 
 def split_summary(split_examples: DataFrame, labels=lexicon.LEVELS) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clausewise import lexicon
 from clausewise.functions import text
 from clausewise.functions.records import LINE_BREAK
-from clausewise.operators.ordering import materialize, running_count
+from clausewise.operators.ordering import guard_unions, materialize, running_count
 
 
 def _any_of(words, where: str) -> str:
@@ -160,7 +160,7 @@ def split_subclauses(body: DataFrame, section: list[str]) -> DataFrame:
     unsplit = body.join(counted, section, "left_anti").groupBy(*section).agg(
         F.lit(None).cast("string").alias("sub_id"), _joined("line", sep="\n").alias("sub_text"),
         F.min("line_no").alias("sub_seq"))
-    return good.select(*section, "sub_id", "sub_text", "sub_seq").unionByName(unsplit)
+    return good.select(*section, "sub_id", "sub_text", "sub_seq").transform(guard_unions).unionByName(unsplit)
 
 
 _CLAUSE = r"^((?:[1-9]\d*)(?:\.[0-9]+){0,4}|A\.[0-9]+(?:\.[0-9]+)?)\s+(.+)$"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausewise.functions import scoring
 from clausewise.operators import evaluate, gates, risk, splits
-from clausewise.operators.ordering import materialize
+from clausewise.operators.ordering import guard_unions, materialize
 from clausewise.plans import inputs as I
 from clausewise.plans import q_classify as C
 from clausewise.plans import q_structure as S
@@ -33,7 +33,7 @@ def _run(spark, sf):
     posterior = risk.beta_posterior(p)
     manifest = manifest.withColumn("bayesian_primary_score", risk.overall_risk(posterior).select(
         "posterior_mean").scalar())
-    files = ex.select(F.concat(F.col("split"), F.lit("_predictions")).alias("key")).unionByName(
+    files = ex.select(F.concat(F.col("split"), F.lit("_predictions")).alias("key")).transform(guard_unions).unionByName(
         ex.limit(1).select(F.explode(F.array(F.lit("dataset_manifest"), F.lit("run_manifest")))
                            .alias("key")))
     return {

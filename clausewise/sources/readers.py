@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from clausewise import lexicon
 from clausewise.functions import text
+from clausewise.operators.ordering import guard_unions
 
 RECORD = "map<string,string>"
 
@@ -132,7 +133,7 @@ def read_mixed_clause_dir(spark: SparkSession, root: str) -> DataFrame:
                 "seq struct<path:string,block:bigint,row:bigint>, kind int")
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.transform(guard_unions).unionByName(p)
     return out
 
 

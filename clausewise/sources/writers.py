@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from clausewise.operators.ordering import guard_unions
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -36,11 +37,11 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "chunk_id") -> DataFr
         batch = batch.groupBy(key).agg(newest).select("r.*").drop("seq")
     else:
         batch = batch.dropDuplicates([key])
-    return target.join(batch.select(key), key, "left_anti").unionByName(batch)
+    return target.join(batch.select(key), key, "left_anti").transform(guard_unions).unionByName(batch)
 
 
 def replace_collection(target: DataFrame, batch: DataFrame,
                        collection: str = "regulation") -> DataFrame:
     """Drop every collection the batch carries, then add the batch."""
     names = batch.select(collection).distinct()
-    return target.join(names, collection, "left_anti").unionByName(batch)
+    return target.join(names, collection, "left_anti").transform(guard_unions).unionByName(batch)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausewise.functions import text
 from clausewise.operators import assess, metrics
 from clausewise.sources.writers import append_history
+from clausewise.operators.ordering import guard_unions
 
 
 def stream_verdicts(docs: DataFrame, regulations=None, text_col: str = "policy_text",
@@ -46,7 +47,7 @@ def stream_assess(docs: DataFrame, regulations=None, text_col: str = "policy_tex
         v["compliant"].alias("compliant"), v["source"].alias("note")))
     events = text.unfold(claims.select(key, "clause_index", "check_seq",
                                        F.concat(checked, judged).alias("_e")), "_e", "rank", "e")
-    return starts.unionByName(events.select(key, "clause_index", "check_seq", "rank", "e.*"))
+    return starts.transform(guard_unions).unionByName(events.select(key, "clause_index", "check_seq", "rank", "e.*"))
 
 
 def complete_per_batch(docs: DataFrame, path: str, checkpoint: str, extra_controls=None,

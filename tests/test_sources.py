@@ -137,3 +137,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(log).count() == 2
     writers.write_manifest(df.agg(F.count(F.lit(1)).alias("rows")), str(tmp_path / "m"))
     assert len(list((tmp_path / "m").glob("*.json"))) == 1
+
+
+def test_upsert_result_can_be_grouped_and_joined(spark):
+    """Regression: equally partitioned union inputs must not yield a key twice."""
+    d = spark.range(200).withColumnRenamed("id", "chunk_id").repartition(8, "chunk_id")
+    target = d.where("chunk_id < 150").withColumn("text", F.lit("old"))
+    batch = d.where("chunk_id >= 100").withColumn("text", F.lit("new"))
+    up = writers.upsert(target, batch)
+    per_key = up.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"))
+    out = d.join(per_key, "chunk_id").join(target.groupBy("chunk_id").count(), "chunk_id", "left")
+    assert out.count() == 200 and out.select("rows").distinct().collect() == [(1,)]
