@@ -245,6 +245,31 @@ def best_records(records: DataFrame, key: list[str] = ("doc_id", "normalized_id"
     return records.groupBy(*key).agg(best).select(*key, "r.*")
 
 
+def standard_sources(files: DataFrame, column: str = "file_name") -> DataFrame:
+    """Regulation, document id and output stem of the standards among file names.
+
+    Two files with the same stem fail the query.
+    """
+    name = F.regexp_extract(column, r"([^/]*)$", 1)
+    upper = F.upper(name)
+    wanted = files.where(F.lower(name).endswith(".docx") & upper.contains("ISO")
+                         & ~upper.contains("GDPR") & ~upper.contains("NIST"))
+    family, year = text.standard_family(column), text.standard_year(column)
+    key = F.translate(family, "-", "_")
+    made = wanted.select(
+        F.col(column).alias("file_name"), F.concat(F.lit("ISO"), key).alias("regulation"),
+        F.concat(F.lit("iso"), key).alias("output_stem"),
+        F.concat_ws("-", F.lit("iso"), F.lower(family), year).alias("source_document_id"))
+    per_stem = made.groupBy("output_stem").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("file_name", "regulation",
+                                                      "source_document_id")).alias("r"))
+    stem = F.when(F.col("_n") > 1, F.raise_error(F.concat(
+        F.lit("duplicate output stem "), "output_stem")).cast("string")).otherwise(
+        F.col("output_stem"))
+    return per_stem.select("r.file_name", "r.regulation", stem.alias("output_stem"),
+                           "r.source_document_id")
+
+
 # --- chunks -----------------------------------------------------------------------
 
 def _fits(c: Column, limit: int) -> Column:

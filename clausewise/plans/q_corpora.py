@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausewise import lexicon
 from clausewise.functions import records, text
-from clausewise.operators import annotations, examples, ordering, practices
+from clausewise.operators import annotations, examples, ordering, practices, structure
 from clausewise.plans import inputs as I
 
 _DATES = ("2015-{m:02d}-{d:02d}", "{m}/{d}/2015", "2/8/16", "")
@@ -270,12 +270,7 @@ def iso_sources(spark, sf):
     name = (F.when(k % 3 == 0, F.format_string("BS ISO-IEC 27%03d-2022.docx", k))
             .when(k % 3 == 1, F.format_string("ISO_%d-12-2019.docx", k + 1000))
             .otherwise(F.format_string("iso iec%d_v1.docx", k + 5000)))
-    fam = text.standard_family("file_name")
-    year = text.standard_year("file_name")
-    return s.select(name.alias("file_name")).select(
-        "file_name", F.concat(F.lit("ISO"), F.translate(fam, "-", "_")).alias("regulation"),
-        F.concat(F.lit("iso"), F.translate(fam, "-", "_")).alias("output_stem"),
-        F.concat_ws("-", F.lit("iso"), fam, year).alias("source_document_id"))
+    return structure.standard_sources(s.select(name.alias("file_name")))
 
 
 def dataset_sources(spark, sf):

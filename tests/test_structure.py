@@ -109,3 +109,15 @@ def test_lookup_with_a_hot_key(spark):
     assert got.count() == 3000
     want = rows.join(table.select("token", "v"), "token", "left")
     assert sorted(map(str, got.select("id", "v").collect())) == sorted(map(str, want.select("id", "v").collect()))
+
+
+def test_standard_files(spark):
+    import pytest
+
+    names = [("a/BS ISO-IEC 15944-12-2025.docx",), ("ISO_27001_Standard-1.docx",), ("GDPR ISO.docx",), ("iso.pdf",)]
+    df = spark.createDataFrame(names, "file_name string")
+    got = {r["output_stem"]: r["source_document_id"] for r in structure.standard_sources(df).collect()}
+    assert got == {"iso15944_12": "iso-15944-12-2025", "iso27001": "iso-27001"}
+    twice = df.unionByName(spark.createDataFrame([("ISO 27001-2013.docx",)], "file_name string"))
+    with pytest.raises(Exception, match="duplicate output stem"):
+        structure.standard_sources(twice).collect()
