@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewise.operators.ordering import materialize
 
-__all__ = ["materialize", "documents", "whole_text", "row_keys", "lookup", "sized_partitions", "WHITE"]
+__all__ = ["materialize", "documents", "whole_text", "row_keys", "lookup", "sized_partitions", "WordTable", "WHITE"]
 
 #: White space of every word and line rule here, as a regular expression class's content.
 WHITE = r"\x20\x09-\x0D"
@@ -50,3 +50,34 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], limit: int = 50_000
 def sized_partitions(spark: SparkSession, units: int, per_partition: int) -> int:
     """How many partitions hold ``units`` at ``per_partition`` each; never fewer than cores."""
     return max(spark.sparkContext.defaultParallelism, math.ceil((units or 0) / per_partition))
+
+
+class WordTable:
+    """Distinct word -> what it is encoded to, for the tasks of one Python worker.
+
+    Two generations of at most ``limit`` words each: a full young one becomes the old one,
+    and what is asked for again moves back. Memory is bounded and no result depends on
+    what is still there.
+    """
+
+    def __init__(self, encode, limit: int = 300_000):
+        self.encode, self.limit = encode, limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, words: list) -> list:
+        out = list(map(self.young.get, words))
+        if None in out:
+            young, unknown = self.young, []
+            for w in {w for w, v in zip(words, out) if v is None}:
+                value = self.old.get(w)
+                if value is None:
+                    unknown.append(w)
+                else:
+                    young[w] = value
+            if unknown:
+                young.update(zip(unknown, self.encode(unknown)))
+            out = [young[w] if v is None else v for w, v in zip(words, out)]
+            if len(young) > self.limit:
+                self.old, self.young = young, {}
+        return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import exact_dedup, line_dedup, quality_rules
+from clausewise.llm import (exact_dedup, language_id, line_dedup, packing, passage_quality, piece_codec,
+                            quality_rules)
 from clausewise.llm.common import documents
 
 
@@ -13,6 +14,11 @@ def _sha(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
+def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -23,12 +29,33 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_decode(documents(spark, sf_dir).select("doc_id", "text"))
+    return coded.select("doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", language_id.held_out())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~language_id.held_out())
+    scored = passage_quality.score(docs, passage_quality.fit(docs.where("not held_out"), labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_line_dedup, op8_quality_rules)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_retrieval_packing, op3_exact_dedup, op5_line_dedup, op6_piece_codec, op7_passage_quality,
+    op8_quality_rules, op10_language_id)}
 
 ORACLE = {
     "op3_exact_dedup": """
