@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import (exact_dedup, language_id, line_dedup, packing, passage_quality, piece_codec,
-                            quality_rules)
+from clausewise.llm import (exact_dedup, jaccard_join, language_id, line_dedup, packing, passage_quality,
+                            piece_codec, quality_rules)
 from clausewise.llm.common import documents
 
 
@@ -47,6 +47,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs.where("not held_out"))
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_retrieval_packing, op3_exact_dedup, op5_line_dedup, op6_piece_codec, op7_passage_quality,
-    op8_quality_rules, op10_language_id)}
+    op8_quality_rules, op9_jaccard_join, op10_language_id)}
 
 ORACLE = {
     "op3_exact_dedup": """
