@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import (exact_dedup, jaccard_join, language_id, line_dedup, packing, passage_quality,
-                            piece_codec, quality_rules)
+from clausewise.llm import (compact_windows, exact_dedup, jaccard_join, language_id, line_dedup, packing,
+                            passage_quality, piece_codec, quality_rules)
 from clausewise.llm.common import documents
 
 
@@ -24,6 +24,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(documents(spark, sf_dir)).select(
+        F.col("_id").alias("doc_id"), "first_id", "start_word", "n_words", "first_word")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
@@ -59,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_retrieval_packing, op3_exact_dedup, op5_line_dedup, op6_piece_codec, op7_passage_quality,
+    op1_retrieval_packing, op3_exact_dedup, op4_compact_windows, op5_line_dedup, op6_piece_codec, op7_passage_quality,
     op8_quality_rules, op9_jaccard_join, op10_language_id)}
 
 ORACLE = {
