@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.llm import (compact_windows, exact_dedup, jaccard_join, language_id, line_dedup, packing,
-                            passage_quality, piece_codec, quality_rules)
+                            passage_quality, piece_codec, quality_rules, runlength_index)
 from clausewise.llm.common import documents
 
 
@@ -19,6 +19,11 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_runlength_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength_index.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_retrieval_packing, op3_exact_dedup, op4_compact_windows, op5_line_dedup, op6_piece_codec, op7_passage_quality,
+    op1_retrieval_packing, op2_runlength_index, op3_exact_dedup, op4_compact_windows, op5_line_dedup, op6_piece_codec, op7_passage_quality,
     op8_quality_rules, op9_jaccard_join, op10_language_id)}
 
 ORACLE = {
