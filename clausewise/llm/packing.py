@@ -51,14 +51,14 @@ class WordIds:
     lower-cased as the tokenizer does, so that fewer distinct words need its work.
     """
 
-    def __init__(self, file: str, size: int = 300_000):
+    def __init__(self, file: str, size: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("ids must fit in 16 bits")
-        self.cores = WordTable(self._encode, size)
+        self.cores = WordTable(self._encode, size // 2)
         self.words = WordTable(self._split, size)
 
     def _encode(self, cores: list[str]) -> list[bytes]:
@@ -90,9 +90,22 @@ class WordIds:
 
     def ids(self, text: str) -> bytes:
         """Words end at blanks and line ends, which no token of the vocabulary spans."""
+        if "<" not in text and _latin1(text):
+            text = text.lower()  # as the tokenizer does; a special token keeps its case
         return b"".join(self.words.of(text.replace("\n", " ").split(" ")))
 
 
+def _latin1(text: str) -> bool:
+    """Whether lower() acts on each character alone."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.cache
 def _words(file: str) -> WordIds:
     """One for all tasks of a Python worker."""
