@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewise.operators.ordering import materialize
 
-__all__ = ["materialize", "documents", "whole_text", "row_keys", "lookup", "sized_partitions", "WordTable", "WHITE"]
+__all__ = ["materialize", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "sized_partitions", "WordTable", "WHITE"]
 
 #: White space of every word and line rule here, as a regular expression class's content.
 WHITE = r"\x20\x09-\x0D"
@@ -34,6 +34,14 @@ def row_keys(docs: DataFrame) -> DataFrame:
             .withColumn("_h", F.xxhash64(whole_text())))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``_id``, ``_h`` and the whole row as ``_row``, so that no column's name can clash;
+    ``select("_row.*")`` gives the input's rows back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+                       F.xxhash64(whole_text()).alias("_h"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], limit: int = 50_000, salts: int = 64) -> DataFrame:
     """Left join of a small materialized table with one row per key.
 
@@ -69,7 +77,8 @@ class WordTable:
         out = list(map(self.young.get, words))
         if None in out:
             young, unknown = self.young, []
-            for w in {w for w, v in zip(words, out) if v is None}:
+            lacking = [i for i, v in enumerate(out) if v is None]
+            for w in {words[i] for i in lacking}:
                 value = self.old.get(w)
                 if value is None:
                     unknown.append(w)
@@ -77,7 +86,8 @@ class WordTable:
                     young[w] = value
             if unknown:
                 young.update(zip(unknown, self.encode(unknown)))
-            out = [young[w] if v is None else v for w, v in zip(words, out)]
+            for i in lacking:
+                out[i] = young[words[i]]
             if len(young) > self.limit:
                 self.old, self.young = young, {}
         return out

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, row_keys, whole_text
+from clausewise.llm.common import materialize, row_keys, whole_rows, whole_text
 from clausewise.llm.line_dedup import batches_of
 from clausewise.operators.ordering import lookup_skew_safe
 
@@ -186,4 +186,4 @@ def exact_dedup(docs: DataFrame, batches: int = 2, keys_per_shard: int = KEYS_PE
 def drop_copies(docs: DataFrame, batches: int = 2) -> DataFrame:
     """The input's rows and columns without the copies that go."""
     gone = exact_dedup(docs, batches).where(~F.col("kept")).select("_id", "_h").distinct()
-    return row_keys(docs).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(gone, ["_id", "_h"], "left_anti").select("_row.*")

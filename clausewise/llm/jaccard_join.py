@@ -14,9 +14,9 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 - The boundary is the largest size up to which subsets are no more keys than blocks.
 
 A list is never paired off. Its classes are compared with its first one; classes that are
-still in different components are then compared if parity bitmaps allow the overlap, the
-nearest pair for each class and component first, until no such pair is left untested. All
-comparisons are on the whole sets, so the components are exact.
+still in different components are then compared if parity bitmaps allow the overlap, the nearest
+pairs for each class and component first and in the end all that are left. All comparisons
+are on the whole sets, so the components are exact.
 
 Null and empty text have no shingle and link with nothing, not with each other. Null ids
 count as one lowest id; repeated rows fall into one class. Other columns are ignored.
@@ -35,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, row_keys, sized_partitions, whole_text
+from clausewise.llm.common import materialize, row_keys, sized_partitions, whole_rows, whole_text
 from clausewise.llm.shingles import mix, portions, shingles
-from clausewise.operators.ordering import lookup_skew_safe
+from clausewise.operators.ordering import lookup_skew_safe, top_k
 
 KEYS_PER_BUCKET = 1_000_000
 MAP_CHARS = 3_000_000
@@ -277,8 +277,10 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     star = shared.groupBy("f").agg(F.max_by("v", F.struct("n", "v")).alias("v")).select(F.col("f").alias("u"), "v")
     tested = materialize(star)
     edges = materialize(_verified(tested, sets, rule))
-    while True:
+    for most_tested in (1, 16, None, 0):
         comps = materialize(components(edges))
+        if most_tested == 0:
+            break  # all that may link have been compared
         node = classes.select("f", "n", *BITMAP).join(comps.withColumnRenamed("node", "f"), "f", "left")
         node = node.withColumn("comp", F.coalesce("comp", "f"))
         placed = lists.join(node.select("f", "comp"), "f")
@@ -296,14 +298,16 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
                            apart.alias("d")).distinct()
         done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         fresh = near.join(done, ["u", "v"], "left_anti")
-        # Of each class and each other component the nearest pair.
-        fresh = fresh.groupBy("u", F.least("cu", "comp").alias("x"), F.greatest("cu", "comp").alias("y")).agg(
-            F.min_by("v", F.struct("d", "v")).alias("v")).select("u", "v").distinct()
-        fresh = materialize(fresh)
+        # Of each class and each other component the nearest pairs, in the end all.
+        fresh = fresh.select("u", "v", "d", F.least("cu", "comp").alias("x"), F.greatest("cu", "comp").alias("y"))
+        if most_tested:
+            fresh = top_k(fresh, ["u", "x", "y"], [F.col("d"), F.col("v")], most_tested)
+        fresh = materialize(fresh.select("u", "v").distinct())
         if fresh.isEmpty():
-            return comps
+            break
         tested = materialize(tested.unionByName(fresh))
         edges = materialize(edges.unionByName(_verified(fresh, sets, rule)))
+    return comps
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -327,4 +331,4 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     """The input's rows and columns; of each component the smallest doc_id stays."""
     gone = jaccard_components(docs, rule).where("_id <> component_id").select("_id", "_h").distinct()
-    return row_keys(docs).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(gone, ["_id", "_h"], "left_anti").select("_row.*")

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, row_keys, whole_text
+from clausewise.llm.common import materialize, row_keys, whole_rows, whole_text
 from clausewise.operators.ordering import lookup_skew_safe
 
 ENDS = " \t\n\x0b\x0c\r"
@@ -112,7 +112,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
                fanout: int = 2) -> DataFrame:
     """Every row with n_lines, n_dropped and its text without the dropped lines.
 
-    Columns: those of the input, text replaced, and n_lines, n_dropped. Lines found in at
+    Columns: those of the input, text replaced, and n_lines, n_dropped (which replace
+    columns of those names). Lines found in at
     least ``min_docs`` documents stay only in the largest doc_id that holds them.
     """
     runs = LineRuns(min_chars, fanout)
@@ -123,13 +124,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     found = lookup_skew_safe(every.where("key is not null"), common, "key", "n_docs", "_id", ["holder"])
     drops = (found.where("holder is not null and holder <> _id").groupBy("_id", "_h")
              .agg(F.collect_set("pos").alias("_drop")))  # at most the lines of one document
-    d = row_keys(docs).join(drops, ["_id", "_h"], "left").withColumn("_lines", F.split(whole_text(), "\n"))
+    d = whole_rows(docs).join(drops, ["_id", "_h"], "left").withColumn(
+        "_lines", F.split(F.coalesce(F.col("_row.text"), F.lit("")), "\n"))
     last = F.size("_lines") - 1
     stay = F.array_except(F.sequence(F.lit(0), last), "_drop")
-    d = d.withColumns({"n_lines": F.size("_lines").cast("long"),
-                       "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-                       "_stay": F.when(F.col("_drop").isNotNull(), stay)})
-    text = F.when(F.col("_stay").isNull(), F.col("text")).otherwise(
+    d = d.withColumn("_stay", F.when(F.col("_drop").isNotNull(), stay))
+    text = F.when(F.col("_stay").isNull(), F.col("_row.text")).otherwise(
         F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return d.withColumn("text", text).select(*keep, "n_lines", "n_dropped")
+    keep = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c)
+            for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return d.select(*keep, F.size("_lines").cast("long").alias("n_lines"),
+                    F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -64,7 +64,8 @@ class WordIds:
     def _encode(self, cores: list[str]) -> list[bytes]:
         """Lower-case Latin letters are one pre-token that no normalization changes, so the
         model takes their bytes directly; all else goes through the whole tokenizer."""
-        plain = [c.isalpha() and max(c) < "\u0250" and c == c.lower() for c in cores]
+        plain = [c.isalpha() and (c.isascii() and c.islower() or max(c) < "\u0250" and c == c.lower())
+                 for c in cores]
         model, out = self.tok.model.tokenize, []
         rest = iter(self.tok.encode_batch_fast([c for c, p in zip(cores, plain) if not p],
                                                add_special_tokens=False))
@@ -85,7 +86,7 @@ class WordIds:
             if not core or not core[-1].isalpha():
                 core = w
             ends.append(w[len(core):])
-            cores.append(core.lower() if core.isalpha() and max(core) < "\u0250" else core)
+            cores.append(core.lower() if core.isalpha() and (core.isascii() or max(core) < "\u0250") else core)
         return [a + b for a, b in zip(self.cores.of(cores), self.cores.of(ends))]
 
     def ids(self, text: str) -> bytes:
@@ -142,22 +143,21 @@ class Shard:
         length = np.array([len(d) for d in docs])
         norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
-        at = np.concatenate([[0], np.cumsum(size)])
-        self.query = []
-        for i in range(self.n):
-            t, w = term[at[i]:at[i + 1]], weight[at[i]:at[i + 1]]
-            best = np.argpartition(-w, terms)[:terms] if len(t) > terms else slice(None)
-            self.query.append(t[best])
-        order = np.argsort(term, kind="stable")
+        self.at, self.term, self.weight = np.concatenate([[0], np.cumsum(size)]), term, weight
+        order = np.argsort(term.astype(np.uint16), kind="stable")
         self.post_doc, self.post_weight = doc[order], weight[order]
         self.first = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, seed: int, used: np.ndarray, most: int = 64) -> np.ndarray:
         """Unused documents that share terms with the seed, best first, at most ``most``;
         asked again when a window needs more."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), minlength=self.n,
-                            weights=np.concatenate([self.post_weight[s] for s in spans]))
+        own = slice(self.at[seed], self.at[seed + 1])
+        t, w = self.term[own], self.weight[own]
+        if len(t) > self.terms:  # the seed's own heaviest terms are the query
+            t = t[np.argpartition(-w, self.terms)[:self.terms]]
+        begin, size = self.first[t], self.first[t + 1] - self.first[t]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        score = np.bincount(self.post_doc[at], minlength=self.n, weights=self.post_weight[at])
         score[used] = 0
         best = np.argpartition(-score, most)[:most] if self.n > most else np.arange(self.n)
         best = best[score[best] > 0]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import WHITE, lookup, materialize, row_keys, whole_text
+from clausewise.llm.common import WHITE, lookup, materialize, row_keys, whole_rows, whole_text
 
 #: Least spread of each rate: a fence is never nearer to its quartile than three times this.
 LEAST_SPREAD = {"word_length": 0.4, "symbol_rate": 0.05, "capital_rate": 0.1,
@@ -89,10 +89,10 @@ def thresholds(measured: DataFrame, support: int = 100) -> DataFrame:
             F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(f"{name}_{r}") for r in rates])
 
     by_lang = merged(groups.groupBy("_lang"), "lang")
-    every = merged(groups.groupBy(F.lit(1).alias("_all")), "every")
-    t = groups.join(by_lang, "_lang").withColumn("_all", F.lit(1)).join(F.broadcast(every), "_all")
+    every = merged(groups.groupBy(), "every")
+    t = groups.join(by_lang, "_lang").withColumn("_every", every.select(F.struct(*every.columns)).scalar())
     level = lambda r: F.when(F.col("n") >= support, F.col(r)).when(
-        F.col("lang_n") >= support, F.col(f"lang_{r}")).otherwise(F.col(f"every_{r}"))
+        F.col("lang_n") >= support, F.col(f"lang_{r}")).otherwise(F.col(f"_every.every_{r}"))
     t = t.select("_lang", "_source", *[F.kll_sketch_get_quantile_double(level(r), F.lit(q)).alias(f"{p}_{r}")
                                        for r in rates for p, q in (("q1", 0.25), ("q3", 0.75))])
     reach = lambda r: 3 * F.greatest(F.col(f"q3_{r}") - F.col(f"q1_{r}"), F.lit(LEAST_SPREAD[r]))
@@ -116,4 +116,4 @@ def judge(docs: DataFrame, support: int = 100) -> DataFrame:
 def quality_filter(docs: DataFrame, support: int = 100) -> DataFrame:
     """The input's rows and columns without the documents that the rules reject."""
     gone = judge(docs, support).where(~F.col("kept")).select("_id", "_h").distinct()
-    return row_keys(docs).join(gone, ["_id", "_h"], "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(gone, ["_id", "_h"], "left_anti").select("_row.*")
