@@ -18,7 +18,7 @@ def build_metric_specs(controls: DataFrame) -> DataFrame:
         text.classify_level("title", "text").alias("level"),
         text.metric_name("regulation", "native_id", "title").alias("metric_name"),
         F.coalesce("parser_confidence", F.lit(0.8)).alias("_confidence"),
-        *[c for c in ("native_id", "chapter", "section") if c in controls.columns],
+        *[c for c in ("native_id", "chapter", "section", "seq") if c in controls.columns],
     )
     formula = required = None
     for level in lexicon.LEVELS:
@@ -78,14 +78,19 @@ def missing_controls(controls: DataFrame, specs: DataFrame) -> DataFrame:
     return ids.join(specs.select("control_id"), "control_id", "left_anti")
 
 
-def score_observations(observations: DataFrame, specs: DataFrame) -> DataFrame:
+def score_observations(observations: DataFrame, specs: DataFrame, order: str = "seq") -> DataFrame:
     """Scored observation rows; observations without a spec are dropped.
 
+    Of specs that repeat a metric id the last one counts, by the ``order`` column where
+    there is one and else by control id and weight.
+
     ``_adjusted`` is the unrounded score the summaries average. Works on a
     streaming ``observations`` too: the join is stream-static and stateless.
     """
-    dim = specs.select("metric_id", F.col("control_id").alias("control_id"),
-                       "confidence_weight")
+    values = ["control_id", "confidence_weight"]
+    by = [c for c in (order, *values) if c in specs.columns]
+    dim = specs.groupBy("metric_id").agg(
+        F.max_by(F.struct(*values), F.struct(*by)).alias("_s")).select("metric_id", "_s.*")
     raw = 1.0 - F.col("failure_count") / F.greatest("total_checks", F.lit(1))
     adjusted = scoring.clamp01(
         scoring.clamp01("_raw") * (1.0 - scoring.missing_penalty("missing_fields"))

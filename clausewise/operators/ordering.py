@@ -64,6 +64,25 @@ def row_index(df: DataFrame, key: str, out: str = "row_index", blocks: int = 256
             .drop("_block", "_offset", "_in_block"))
 
 
+def position(df: DataFrame, seq: str = "seq", first: str | None = None, out: str = "row_index") -> DataFrame:
+    """0-based position of each row in file order: by ``first`` where given, then path,
+    block and row of ``seq``.
+
+    A window stays inside one block of one file; what is added up over all blocks is one
+    number for each.
+    """
+    s, lead = F.col(seq), [F.col(first)] if first else [F.lit(0)]
+    blocks = [lead[0].alias("_lead"), s["path"].alias("_path"), s["block"].alias("_block")]
+    names = ["_lead", "_path", "_block"]
+    d = df.select("*", *blocks)
+    sizes = d.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(F.lit(0)).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*names, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*names).orderBy(s["row"]))
+    return (d.withColumn("_in", inside).join(offsets, names)
+            .withColumn(out, F.col("_offset") + F.col("_in") - 1).drop(*names, "_in", "_offset"))
+
+
 def running_count(df: DataFrame, group: list[str], order: str, counts: dict[str, str],
                   block_rows: int = 50_000) -> DataFrame:
     """Running number of true flags per group in order of an integer column.

@@ -110,9 +110,9 @@ def term_counts(docs: DataFrame, key: str, text_col: str = "text", ngram_max: in
         F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95,
-               max_features: int | None = 20_000) -> DataFrame:
-    """Vocabulary rows (term, df, cf, idf) within the frequency bounds."""
+def term_stats(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0,
+               max_features: int | None = None) -> DataFrame:
+    """Vocabulary rows (term, df, cf, idf): all terms, or those within the bounds asked for."""
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     if max_features is not None:

@@ -205,7 +205,7 @@ def _records(spark, sf):
 
 
 def mixed_examples(spark, sf):
-    m = examples.mixed_examples(_records(spark, sf), "mixed_normalized")
+    m = examples.mixed_examples(_records(spark, sf), "mixed_normalized", order_by="key")
     return m.select("example_id", "text", "label", "policy_uid", "category",
                     F.element_at("metadata", F.lit("input_file")).alias("input_file"),
                     F.try_element_at("metadata", F.lit("note")).alias("note"))
@@ -352,7 +352,8 @@ UNION ALL SELECT 'policies', CASE WHEN doc_id % 13 = 3 THEN 'synthetic_skipped'
     "mixed_examples": f"""WITH {_NUM}, x AS (
   SELECT *, CASE WHEN n % 3 > 0 AND n % 5 <> 0 THEN label ELSE {_CI} END AS lv,
     CASE WHEN n % 4 > 0 THEN policy_uid ELSE source END AS uid FROM num WHERE n % 29 <> 0)
-SELECT 'mixed::' || uid || '::' || lpad(ri::VARCHAR, 6, '0') AS example_id, text, lv AS label, uid AS policy_uid,
+SELECT 'mixed::' || uid || '::' || lpad((row_number() OVER (ORDER BY ri) - 1)::VARCHAR, 6, '0') AS example_id,
+  text, lv AS label, uid AS policy_uid,
   CASE WHEN trim(category) = '' THEN 'unknown' ELSE category END AS category, source || '_part.jsonl' AS input_file,
   CASE WHEN n % 11 = 0 THEN 'n' END AS note FROM x WHERE lv IS NOT NULL""",
     "labeled_rows": f"""WITH {_NUM} SELECT 'manual::' || lpad(ri::VARCHAR, 6, '0') AS example_id, text, label,

@@ -146,8 +146,7 @@ dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_
 _SPARSE = """dtf AS (SELECT doc_id, term, count(*) AS tf FROM (
   SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM documents) GROUP BY ALL),
 stats AS (SELECT *, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM (
-    SELECT term, count(*) AS df, sum(tf) AS cf FROM dtf GROUP BY term)
-  WHERE df >= 2 AND df <= 0.95::DOUBLE * (SELECT count(*) FROM documents) ORDER BY cf DESC, term LIMIT 20000),
+    SELECT term, count(*) AS df, sum(tf) AS cf FROM dtf GROUP BY term)),
 dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM dtf JOIN stats USING (term)),
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY doc_id),
 qtf AS (SELECT query_id, term, count(*) AS tf FROM (
@@ -181,8 +180,7 @@ g AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL
   SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t),
 c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL)
 SELECT *, round(ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM (
-  SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term)
-WHERE df >= 2 AND df <= 0.95::DOUBLE * (SELECT count(*) FROM documents) ORDER BY cf DESC, term LIMIT 20000""",
+  SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term)""",
     "vector_summary": f"""SELECT label, round(avg({_NORM.format(x='embedding')}), 6) AS mean_norm,
   round(max({_NORM.format(x='embedding')}), 6) AS max_norm, round(avg({_ABS.format(x='embedding')}), 6) AS mean_abs,
   round(1 / (1 + exp(-avg({_MEAN.format(x='embedding')}))), 6) AS activation_score FROM embeddings GROUP BY label""",

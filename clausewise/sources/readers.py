@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from typing import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from clausewise import lexicon
 from clausewise.functions import text
-from clausewise.operators.ordering import guard_unions
+from clausewise.operators.ordering import guard_unions, position
 
 RECORD = "map<string,string>"
 
@@ -87,9 +86,11 @@ def read_policy_meta(spark: SparkSession, path: str) -> DataFrame:
         "policy_uid", "r.*")
 
 
-def read_site_meta(spark: SparkSession, path: str, max_sectors: int = 32) -> DataFrame:
-    """Site table whose columns from the eighth on are a list of sectors."""
-    names = [f"c{i}" for i in range(7 + max_sectors)]
+def read_site_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Site table whose columns from the eighth on are a list of sectors, as many as the
+    widest line has (separators inside quotes only make the schema wider)."""
+    width = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0
+    names = [f"c{i}" for i in range(max(8, width))]
     raw = spark.read.csv(path, header=True, schema=", ".join(f"{n} string" for n in names),
                          enforceSchema=True, multiLine=True, escape='"')
     sectors = F.array_compact(F.array(*[text.blank_to_null(n) for n in names[7:]]))
@@ -109,9 +110,9 @@ def read_mixed_clause_dir(spark: SparkSession, root: str) -> DataFrame:
     CSV files may differ in their headers, so files are read per distinct header.
     """
     parts = []
-    if _has_files(root, ".jsonl"):
+    if _has_files(spark, root, ".jsonl"):
         parts.append(read_records(spark, root, recursive=True).withColumn("kind", F.lit(0)))
-    if _has_files(root, ".csv"):
+    if _has_files(spark, root, ".csv"):
         lines = (spark.read.option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", "*.csv").text(root)
                  .select("value", F.col("_metadata.file_path").alias("path"),
@@ -137,15 +138,34 @@ def read_mixed_clause_dir(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def _has_files(root: str, suffix: str) -> bool:
-    return any(f.endswith(suffix) for _, _, files in os.walk(root) for f in files)
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path in its terms."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _has_files(spark: SparkSession, root: str, suffix: str) -> bool:
+    """Whether a folder, which must exist, has such a file at any depth."""
+    system, path = _file_system(spark, root)
+    if system.getFileStatus(path).isFile():
+        return path.getName().endswith(suffix)
+    files = system.listFiles(path, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(suffix):
+            return True
+    return False
 
 
 def read_public(spark: SparkSession, path: str | None) -> DataFrame:
-    """Incident rows as a ``record`` MAP by file suffix; anything else is empty."""
+    """Incident rows as a ``record`` MAP by file suffix. No path and any other suffix give
+    an empty table; a path that does not exist is an error, on any file system."""
     empty = f"record {RECORD}, source_row_index bigint"
-    if path is None or not os.path.exists(path):
+    if path is None:
         return spark.createDataFrame([], empty)
+    system, found = _file_system(spark, path)
+    if not system.exists(found):
+        raise FileNotFoundError(path)
     if path.lower().endswith(".jsonl"):
         rows = read_records(spark, path).select("record", "seq")
     elif path.lower().endswith(".csv"):
@@ -156,24 +176,26 @@ def read_public(spark: SparkSession, path: str | None) -> DataFrame:
         rows = raw.select(F.create_map(*pairs).alias("record"), file_order().alias("seq"))
     else:
         return spark.createDataFrame([], empty)
-    # Row ids grow along the file, so they are a sort key for the dense index.
-    from clausewise.operators.ordering import row_index
-
-    keyed = rows.select("record", F.col("seq.row").alias("_row"))
-    return row_index(keyed, "_row", "source_row_index").drop("_row")
+    return position(rows, "seq", out="source_row_index").select(
+        "record", F.col("source_row_index").cast("bigint").alias("source_row_index"))
 
 
 def resolve_input_set(root: str, name: str, choices=None, source_dir: str | None = None) -> str:
-    """Sub-directory of a named input set; unknown names are an error."""
+    """Sub-directory of a named input set; unknown names are an error.
+
+    Whether a folder exists is asked of the file system of the active session.
+    """
     if source_dir is not None:
         return source_dir
     choices = lexicon.ANNOTATION_INPUT_SETS if choices is None else choices
     if name not in choices:
         raise ValueError(f"Unsupported input set '{name}'. Choose one of: "
                          + ", ".join(sorted(choices)))
-    folder = os.path.normpath(os.path.join(root, choices[name]))
-    if name == "normalized" and not os.path.exists(folder):
-        return root
+    folder = "/".join([root.rstrip("/"), *[p for p in choices[name].split("/") if p not in ("", ".")]])
+    if name == "normalized":
+        system, path = _file_system(SparkSession.getActiveSession(), folder)
+        if not system.exists(path):
+            return root
     return folder
 
 
@@ -185,7 +207,7 @@ PRACTICE_SCHEMA = (
 
 def read_practice_docs(spark: SparkSession, path: str) -> DataFrame:
     """Nested practice documents from JSON lines, or from a folder of YAML files."""
-    if not _has_files(path, ".yml"):
+    if not _has_files(spark, path, ".yml"):
         return spark.read.schema(PRACTICE_SCHEMA).option("mode", "FAILFAST").json(path)
     files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yml")
              .text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f")))

@@ -57,10 +57,37 @@ def test_mixed_directory(spark, tmp_path):
     put(tmp_path / "n" / "b.csv", "text,category,policy_uid\nt4,Opt out,q\n")
     put(tmp_path / "n" / "sub" / "c.csv", "clause_text,level\nt5,system\n")
     rows = readers.read_mixed_clause_dir(spark, str(tmp_path / "n"))
-    numbered = rows.withColumn("row_index", F.lit(0))
-    got = {r["text"]: (r["label"], r["policy_uid"]) for r in
-           examples.mixed_examples(numbered, "mixed").collect()}
+    kept = examples.mixed_examples(rows, "mixed").collect()
+    got = {r["text"]: (r["label"], r["policy_uid"]) for r in kept}
     assert got == {"t1": ("system", "7"), "t2": ("user", "p"), "t4": ("user", "q"), "t5": ("system", "c")}
+    # Numbers go over the rows that are kept, JSON lines before CSV.
+    assert {r["text"]: r["example_id"] for r in kept} == {
+        "t1": "mixed::7::000000", "t2": "mixed::p::000001", "t4": "mixed::q::000002", "t5": "mixed::c::000003"}
+
+
+def test_annotations_without_ids_are_numbered(spark, tmp_path):
+    put(tmp_path / "x" / "9_site.csv", ",b,a,9,0,Data Security,{},u,d\nk7,b,a,9,1,Data Security,{},u,d\n"
+        ",b,a,9,2,,{},u,d\n,b,a,9,3,Data Security,{},u,d\n")
+    rows = readers.read_annotations(spark, str(tmp_path / "x"))
+    ids = sorted(r["example_id"] for r in examples.annotation_examples(rows, "annotated").collect())
+    assert ids == ["annotated::9::000000", "annotated::9::000002", "annotated::9::k7"]
+
+
+def test_all_sectors_are_read(spark, tmp_path):
+    p = put(tmp_path / "s.csv", "a,b,c,d,e,f,g,sector\n1,u,n,9,d,x,y," + ",".join(f"s{i}" for i in range(40)) + "\n")
+    assert readers.read_site_meta(spark, p).first()["sectors"] == [f"s{i}" for i in range(40)]
+
+
+def test_last_spec_of_a_metric_counts(spark):
+    from clausewise.operators import metrics
+
+    specs = spark.createDataFrame([("m", "first", 1.0, 0), ("m", "last", 0.5, 1)],
+                                  "metric_id string, control_id string, confidence_weight double, seq int")
+    seen = spark.createDataFrame([("s", "user", "e", "m", 10, 0, 0, 1.0)],
+                                 "scenario string, level string, entity_id string, metric_id string, total_checks int, "
+                                 "failure_count int, missing_fields int, observed_confidence double")
+    got = metrics.score_observations(seen, specs).collect()
+    assert [(r["control_id"], r["confidence_adjusted_score"]) for r in got] == [("last", 0.5)]
 
 
 def test_labeled_and_public(spark, tmp_path):
@@ -73,9 +100,12 @@ def test_labeled_and_public(spark, tmp_path):
     m = public.map_public_rows(readers.read_public(spark, c), "i").orderBy("source_row_index").collect()
     assert m[0]["records_affected"] == 1234 and m[0]["dq_valid"] and not m[1]["dq_valid"]
     assert m[1]["dq_missing_required_fields"] == ["event_date", "sector", "records_affected"]
-    assert readers.read_public(spark, str(tmp_path / "none.csv")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        readers.read_public(spark, str(tmp_path / "none.csv"))
+    assert readers.read_public(spark, None).count() == 0
     # The first alias present wins even when it is empty.
     j = put(tmp_path / "i.jsonl", '{"date": "", "incident_date": "2020-01-01", "sector": "s", "records": "3"}\n')
+    assert readers.read_public(spark, f"file:{j}").count() == readers.read_public(spark, j).count() > 0
     one = public.map_public_rows(readers.read_public(spark, j), "i").first()
     assert one["event_date"] == "" and not one["dq_valid"]
 
