@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewise.operators.ordering import materialize
 
-__all__ = ["materialize", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "sized_partitions", "WordTable", "WHITE"]
+__all__ = ["materialize", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "map_texts", "WordTable", "WHITE"]
 
 #: White space of every word and line rule here, as a regular expression class's content.
 WHITE = r"\x20\x09-\x0D"
@@ -55,9 +57,32 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], limit: int = 50_000
     return rows.join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
-def sized_partitions(spark: SparkSession, units: int, per_partition: int) -> int:
-    """How many partitions hold ``units`` at ``per_partition`` each; never fewer than cores."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil((units or 0) / per_partition))
+def map_texts(df: DataFrame, fn, schema: str, chars: int, texts: tuple[str, ...] = ("_text",)) -> DataFrame:
+    """``fn`` over portions of about ``chars`` bytes of text, a longer row for itself.
+
+    ``fn`` takes a dict of columns (the texts as lists, the others as Arrow arrays) and
+    yields pandas frames of ``schema``. Only one portion's texts are Python objects at a
+    time, however many rows an Arrow batch has.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            size = np.zeros(batch.num_rows, np.int64)
+            for c in texts:
+                size += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.diff(np.cumsum(size) // chars, prepend=0)).tolist()
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                if b > a:
+                    part = batch.slice(a, b - a)
+                    columns = {c: part.column(c).to_pylist() if c in texts else part.column(c)
+                               for c in batch.schema.names}
+                    for frame in fn(columns):
+                        yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 class WordTable:

@@ -35,12 +35,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, row_keys, sized_partitions, whole_rows, whole_text
-from clausewise.llm.shingles import mix, portions, shingles
+from clausewise.llm.common import map_texts, materialize, row_keys, whole_rows, whole_text
+from clausewise.llm.shingles import mix, shingles
 from clausewise.operators.ordering import lookup_skew_safe, top_k
 
-KEYS_PER_BUCKET = 1_000_000
-MAP_CHARS = 3_000_000
+KEYS_PER_BUCKET = 500_000
+ROWS_PER_FILE, PAIRS_PER_TASK = 500_000, 20_000
+MAP_CHARS = 1_000_000
 BITMAP = [f"b{i}" for i in range(8)]
 
 
@@ -131,21 +132,18 @@ def _prints(h: np.ndarray) -> tuple[int, int]:
 
 def _measured(docs: DataFrame, rule: Rule) -> DataFrame:
     """Per row: _id, _h, n and the set's fingerprints and parity bitmap."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["_text"])
-            for a, b in portions(texts, MAP_CHARS):
-                rows = []
-                for h in _sets(texts[a:b], rule.k):
-                    bits = np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1)
-                    rows.append((len(h), *_prints(h), *bits.view("<i8").tolist()))
-                out = pd.DataFrame(rows, columns=["n", "f", "g", *BITMAP])
-                out.insert(0, "_h", pdf["_h"].to_numpy()[a:b])
-                out.insert(0, "_id", pdf["_id"].to_numpy()[a:b])
-                yield out
+    def run(portion: dict) -> Iterator[pd.DataFrame]:
+        rows = []
+        for h in _sets(portion["_text"], rule.k):
+            bits = np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1)
+            rows.append((len(h), *_prints(h), *bits.view("<i8").tolist()))
+        out = pd.DataFrame(rows, columns=["n", "f", "g", *BITMAP])
+        out.insert(0, "_h", portion["_h"].to_numpy())
+        out.insert(0, "_id", portion["_id"].to_numpy())
+        yield out
 
-    return row_keys(docs).select("_id", "_h", whole_text().alias("_text")).mapInPandas(
-        run, "_id long, _h long, n long, f long, g long, " + ", ".join(f"{b} long" for b in BITMAP))
+    return map_texts(row_keys(docs).select("_id", "_h", whole_text().alias("_text")), run,
+                     "_id long, _h long, n long, f long, g long, " + ", ".join(f"{b} long" for b in BITMAP), MAP_CHARS)
 
 
 def _lists(docs: DataFrame, rule: Rule, total_chars: int) -> DataFrame:
@@ -157,28 +155,25 @@ def _lists(docs: DataFrame, rule: Rule, total_chars: int) -> DataFrame:
     """
     buckets = max(8, total_chars // 6 * 2 // 5 // KEYS_PER_BUCKET)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["_text"])
-            for a, b in portions(texts, MAP_CHARS):
-                keys, prints = [], []
-                for h in _sets(texts[a:b], rule.k):
-                    keys.append(rule.keys(h))
-                    prints.append(np.full(len(keys[-1]), _prints(h)[0] if len(keys[-1]) else 0, np.int64))
-                key, f = np.concatenate(keys), np.concatenate(prints)
-                if not len(key):
-                    continue
-                key, f = _distinct(key, f)
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                more = np.concatenate([~first[1:], [False]])
-                many = ~first | more
-                bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                rows = [(int(bucket[many][0]), 1, key[many].tobytes(), f[many].tobytes())] if many.any() else []
-                key, f, bucket = key[first], f[first], bucket[first]  # still sorted by key
-                cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                rows += [(i, 0, key[x:y].tobytes(), f[x:y].tobytes())
-                         for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-                yield pd.DataFrame(rows, columns=["bucket", "kind", "keys", "prints"])
+    def send(portion: dict) -> Iterator[pd.DataFrame]:
+        keys, prints = [], []
+        for h in _sets(portion["_text"], rule.k):
+            keys.append(rule.keys(h))
+            prints.append(np.full(len(keys[-1]), _prints(h)[0] if len(keys[-1]) else 0, np.int64))
+        key, f = np.concatenate(keys), np.concatenate(prints)
+        if not len(key):
+            return
+        key, f = _distinct(key, f)
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        more = np.concatenate([~first[1:], [False]])
+        many = ~first | more
+        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        rows = [(int(bucket[many][0]), 1, key[many].tobytes(), f[many].tobytes())] if many.any() else []
+        key, f, bucket = key[first], f[first], bucket[first]  # still sorted by key
+        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        rows += [(i, 0, key[x:y].tobytes(), f[x:y].tobytes())
+                 for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        yield pd.DataFrame(rows, columns=["bucket", "kind", "keys", "prints"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -196,8 +191,8 @@ def _lists(docs: DataFrame, rule: Rule, total_chars: int) -> DataFrame:
             out.append(pd.DataFrame({"key": key.view(np.int64), "f": f}))
         return pd.concat(out) if out else pd.DataFrame({"key": [], "f": []})
 
-    rows = docs.select(whole_text().alias("_text")).mapInPandas(
-        send, "bucket int, kind int, keys binary, prints binary")
+    rows = map_texts(docs.select(whole_text().alias("_text")), send,
+                     "bucket int, kind int, keys binary, prints binary", MAP_CHARS)
     return rows.groupBy("bucket").applyInPandas(meet, "key long, f long").distinct()
 
 
@@ -209,6 +204,11 @@ def _distinct(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[new], f[new]
 
 
+def _settled(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Computed once, in files of some size: at most ``rows`` rows are expected."""
+    return materialize(df.coalesce(max(8, rows // per_file)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of edges (u, v); comp is the component's smallest node.
 
@@ -217,8 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
     def oriented(e):
         return e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
-    e = materialize(oriented(edges))
-    state = None
+    rows, state = edges.count(), None
+    e = _settled(oriented(edges), rows)
     while True:
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or not now[0]:
@@ -228,12 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
+        large = _settled(large.where("u <> v").distinct(), rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = materialize(oriented(small))
+        e = _settled(oriented(small), 2 * rows)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -254,46 +254,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     """(node, comp) of all classes that link with another one."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     lists = materialize(_lists(docs, rule, total))
+    most = lists.count()
     classes = (measured.where("n > 0").groupBy("f").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), *[
         F.first(b).alias(b) for b in BITMAP]).join(lists.select("f").distinct(), "f", "left_semi"))
     classes = materialize(classes)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["_text"])
-            for a, b in portions(texts, MAP_CHARS):
-                found = [(_prints(h)[0], h.tobytes()) for h in _sets(texts[a:b], rule.k)]
-                yield pd.DataFrame(found, columns=["f", "set"])
+    def encode(portion: dict) -> Iterator[pd.DataFrame]:
+        found = [(_prints(h)[0], h.tobytes()) for h in _sets(portion["_text"], rule.k)]
+        yield pd.DataFrame(found, columns=["f", "set"])
 
     texts = row_keys(docs).select("_id", whole_text().alias("_text")).join(classes.select("_id"), "_id", "left_semi")
-    sets = texts.mapInPandas(encode, "f long, set binary").dropDuplicates(["f"])
-    sets = materialize(sets.repartition(sized_partitions(spark, total, 30_000_000), "f"))
+    sets = materialize(map_texts(texts, encode, "f long, set binary", MAP_CHARS).dropDuplicates(["f"]))
     # Each class with the first class of the list set it shares most lists with.
     first = lists.groupBy("key").agg(F.min("f").alias("v"))
     shared = lists.join(first, "key").where("f <> v").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
     star = shared.groupBy("f").agg(F.max_by("v", F.struct("n", "v")).alias("v")).select(F.col("f").alias("u"), "v")
-    tested = materialize(star)
-    edges = materialize(_verified(tested, sets, rule))
+    tested = _settled(star, most // 4)
+    edges = _settled(_verified(tested, sets, rule), most // 4, PAIRS_PER_TASK)
     for most_tested in (1, 16, None, 0):
-        comps = materialize(components(edges))
+        comps = _settled(components(edges), most // 4)
         if most_tested == 0:
             break  # all that may link have been compared
-        node = classes.select("f", "n", *BITMAP).join(comps.withColumnRenamed("node", "f"), "f", "left")
-        node = node.withColumn("comp", F.coalesce("comp", "f"))
-        placed = lists.join(node.select("f", "comp"), "f")
-        by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        largest = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"),
-                                             F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        split = lists.join(largest.select("key", "largest"), "key").join(node, "f")
+        node = comps.withColumnRenamed("node", "f")
+        placed = lists.join(node, "f", "left").select("key", "f", F.coalesce("comp", "f").alias("comp"))
+        open_ = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+        # Lists whose classes are all connected are done for good.
+        placed = _settled(placed.join(open_.select("key"), "key", "left_semi"), most)
+        lists = placed.select("key", "f")
+        largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.max_by("comp", F.struct("n", "comp")).alias("largest"))
+        split = placed.join(largest, "key").join(classes.select("f", "n", *BITMAP), "f")
         a, b = split.where("comp <> largest"), split
         a = a.select("key", F.col("f").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), *[
             F.col(x).alias(f"u{x}") for x in BITMAP])
         apart = sum((F.bit_count(F.col(f"u{x}").bitwiseXOR(F.col(x))) for x in BITMAP), F.lit(0))
-        most = F.floor((rule.den - rule.num) * (F.col("nu") + F.col("n")) / (rule.den + rule.num))
-        near = a.join(b, [a["key"] == b["key"], a["cu"] != b["comp"], apart <= most])
+        differ = F.floor((rule.den - rule.num) * (F.col("nu") + F.col("n")) / (rule.den + rule.num))
+        near = a.join(b, [a["key"] == b["key"], a["cu"] != b["comp"], apart <= differ])
         near = near.select(F.greatest("u", "f").alias("u"), F.least("u", "f").alias("v"), "cu", "comp",
                            apart.alias("d")).distinct()
         done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -302,11 +300,11 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
         fresh = fresh.select("u", "v", "d", F.least("cu", "comp").alias("x"), F.greatest("cu", "comp").alias("y"))
         if most_tested:
             fresh = top_k(fresh, ["u", "x", "y"], [F.col("d"), F.col("v")], most_tested)
-        fresh = materialize(fresh.select("u", "v").distinct())
+        fresh = _settled(fresh.select("u", "v").distinct(), most)
         if fresh.isEmpty():
             break
-        tested = materialize(tested.unionByName(fresh))
-        edges = materialize(edges.unionByName(_verified(fresh, sets, rule)))
+        tested = tested.unionByName(fresh)
+        edges = _settled(edges.unionByName(_verified(fresh, sets, rule)), most // 4, PAIRS_PER_TASK)
     return comps
 
 

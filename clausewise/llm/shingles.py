@@ -35,14 +35,14 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(b: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums of bytes; span_hash() takes a span's hash from them."""
-    power = _powers(max(22, len(b).bit_length()))[0]
+    power = _powers(max(21, len(b).bit_length()))[0]
     out = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[:len(b)], out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    inverse = _powers(max(22, (len(sums) - 1).bit_length()))[1]
+    inverse = _powers(max(21, (len(sums) - 1).bit_length()))[1]
     return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
