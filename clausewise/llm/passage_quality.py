@@ -69,7 +69,8 @@ def passages(texts: list[str], words: int = PASSAGE) -> tuple[np.ndarray, np.nda
     kind = at * np.int32(N_CLASSES) + _CLASS[b]
     rates = np.bincount(kind, minlength=total * N_CLASSES).reshape(total, N_CLASSES)
     pair = (b[:-1].astype(np.uint32) * np.uint32(257) + b[1:]) * np.uint32(0x9E3779B1) >> np.uint32(26)
-    pairs = np.bincount(at[:-1] * np.int32(PAIRS) + pair.astype(np.int32),
+    own = b[:-1] != 0  # not from one text to the next
+    pairs = np.bincount((at[:-1] * np.int32(PAIRS) + pair.astype(np.int32))[own],
                         minlength=total * PAIRS).reshape(total, PAIRS)
     # Word statistics: count, mean and spread of lengths, distinct words, words repeated at once.
     other = np.zeros((total, 6))

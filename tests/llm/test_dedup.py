@@ -142,11 +142,11 @@ def test_passages(docs, rows):
     got = compact_windows.passages(docs).collect()
     found = defaultdict(set)
     for r in got:
-        assert r["first_id"] < r["_id"] and r["n_words"] >= 50
+        assert r["first_id"] < r["_id"] and r["n_words"] >= 15
         found[r["_id"]].update(range(r["start_word"], r["start_word"] + r["n_words"]))
-        a, b = texts[r["_id"]][r["start_word"]:][:50], texts[r["first_id"]][r["first_word"]:][:50]
-        p, q = ({tuple(x[i:i + 5]) for i in range(46)} for x in (a, b))
-        assert len(p & q) >= 0.8 * len(p | q)
+        a, b = (texts[r[d]][r[w]:][:r["n_words"]] for d, w in (("_id", "start_word"), ("first_id", "first_word")))
+        p, q = ({tuple(x[i:i + 5]) for i in range(len(a) - 4)} for x in (a, b))
+        assert len(p & q) >= 0.5 * len(p | q) and a[:5] == b[:5] and a[-5:] == b[-5:]
     first, want = {}, defaultdict(set)
     for d in sorted(texts):
         for i in range(len(texts[d]) - 49):
