@@ -75,11 +75,11 @@ _NO_GROUND = A.VERDICTS.replace("__REG__", "source = 'legacy'")
 ORACLE = {
     "stream_assess": f"""{A._DOCS}, {_NO_GROUND}
 SELECT doc_id, clause_index, -1 AS check_seq, 0 AS rank, 'clause_start' AS event, 'read_claim' AS stage,
-  NULL AS regulation, NULL AS control_id, NULL::BOOLEAN AS compliant, clause[1:140] AS note FROM clauses
+  NULL AS regulation, NULL AS control_id, NULL::BOOLEAN AS compliant, clause[1:140] AS note, clause FROM clauses
 UNION ALL SELECT doc_id, clause_index, check_seq, 0, 'check_match', 'match_checks', NULL, NULL, NULL,
-  array_to_string(matched, '|') FROM claims
+  array_to_string(matched, '|'), NULL FROM claims
 UNION ALL SELECT doc_id, clause_index, check_seq, rank, 'verdict_complete', 'score_controls', regulation, control_id,
-  compliant, source FROM verdicts""",
+  compliant, source, NULL FROM verdicts""",
     "stream_tallies": f"""{A._DOCS}, {_NO_GROUND}
 SELECT regulation, count(*) FILTER (WHERE compliant) AS pass_count,
   count(*) FILTER (WHERE NOT compliant) AS fail_count FROM verdicts GROUP BY regulation""",

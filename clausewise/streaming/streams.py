@@ -19,9 +19,10 @@ def stream_verdicts(docs: DataFrame, regulations=None, text_col: str = "policy_t
 
 
 def stream_assess(docs: DataFrame, regulations=None, text_col: str = "policy_text",
-                  key: str = "doc_id") -> DataFrame:
+                  key: str = "doc_id", note_chars: int = 140) -> DataFrame:
     """Event rows per document: clause_start, check_match, verdict_complete.
 
+    A start carries its whole clause and, as its note, the first ``note_chars`` of it.
     Runs on a stream or a table. ``complete`` needs a whole document's verdicts; see
     :func:`complete_per_batch`.
     """
@@ -35,7 +36,7 @@ def stream_assess(docs: DataFrame, regulations=None, text_col: str = "policy_tex
         F.lit("clause_start").alias("event"), F.lit("read_claim").alias("stage"),
         blank.alias("regulation"), blank.alias("control_id"),
         F.lit(None).cast("boolean").alias("compliant"),
-        F.substring("clause", 1, 140).alias("note"))
+        F.substring("clause", 1, note_chars).alias("note"), "clause")
     checked = F.array(F.struct(
         F.lit("check_match").alias("event"), F.lit("match_checks").alias("stage"),
         blank.alias("regulation"), blank.alias("control_id"),
@@ -47,7 +48,8 @@ def stream_assess(docs: DataFrame, regulations=None, text_col: str = "policy_tex
         v["compliant"].alias("compliant"), v["source"].alias("note")))
     events = text.unfold(claims.select(key, "clause_index", "check_seq",
                                        F.concat(checked, judged).alias("_e")), "_e", "rank", "e")
-    return starts.transform(guard_unions).unionByName(events.select(key, "clause_index", "check_seq", "rank", "e.*"))
+    return starts.transform(guard_unions).unionByName(
+        events.select(key, "clause_index", "check_seq", "rank", "e.*", blank.alias("clause")))
 
 
 def complete_per_batch(docs: DataFrame, path: str, checkpoint: str, extra_controls=None,
