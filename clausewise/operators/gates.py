@@ -285,8 +285,11 @@ def leaderboard(runs: DataFrame, seq: str = "seq") -> DataFrame:
     """Runs ranked by macro F1, then accuracy; a missing metric ranks as -1."""
     order = F.struct((-F.coalesce("test_macro_f1", F.lit(-1.0))).alias("f"),
                      (-F.coalesce("test_accuracy", F.lit(-1.0))).alias("a"), F.col(seq).alias("s"))
-    # Position among all runs: counted by blocks of the leading metric, not in one task.
-    keyed = runs.withColumn("_order", order).withColumn("_lead", F.col("_order.f"))
+    return _ranked(runs.withColumn("_order", order).withColumn("_lead", F.col("_order.f")))
+
+
+def _ranked(keyed: DataFrame) -> DataFrame:
+    """Position among all rows by ``_order``, counted by blocks of the leading number."""
     cuts = sorted(set(keyed.approxQuantile("_lead", [i / 64 for i in range(1, 64)], 0.01)))
     block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b < F.col("_lead"))) \
         if cuts else F.lit(0)
@@ -314,11 +317,13 @@ def baseline_deltas(runs: DataFrame) -> DataFrame:
         F.round(F.col(m) - F.col(f"_b.{m}"), 6).alias(f"delta_{m}") for m in _RUN_METRICS])
 
 
-def registry_rank(runs: DataFrame) -> DataFrame:
-    """Runs with both main metrics first, then by F1 and accuracy."""
-    both = F.col("test_macro_f1").isNotNull() & F.col("test_accuracy").isNotNull()
-    return runs.orderBy(both.desc(), F.coalesce("test_macro_f1", F.lit(-1.0)).desc(),
-                        F.coalesce("test_accuracy", F.lit(-1.0)).desc())
+def registry_rank(runs: DataFrame, seq: str = "seq") -> DataFrame:
+    """Runs with both main metrics first, then by F1 and accuracy, as a ``rank`` column;
+    ties keep their order in ``seq``."""
+    lacks = (F.col("test_macro_f1").isNull() | F.col("test_accuracy").isNull()).cast("int")
+    f1, accuracy = (F.coalesce(m, F.lit(-1.0)) for m in ("test_macro_f1", "test_accuracy"))
+    order = F.struct(lacks.alias("l"), (-f1).alias("f"), (-accuracy).alias("a"), F.col(seq).alias("s"))
+    return _ranked(runs.withColumn("_order", order).withColumn("_lead", 10.0 * lacks - f1))
 
 
 def run_trend(runs: DataFrame, series: str = "model_type", metric: str = "test_macro_f1") -> DataFrame:

@@ -88,7 +88,7 @@ def baseline_deltas(spark, sf):
 
 
 def registry_rank(spark, sf):
-    return gates.registry_rank(runs(spark, sf)).select("name", "test_macro_f1", "test_accuracy")
+    return gates.registry_rank(materialize(runs(spark, sf))).select("name", "rank", "test_macro_f1", "test_accuracy")
 
 
 def run_trend(spark, sf):
@@ -283,7 +283,9 @@ FROM (VALUES ('policy_leakage_protection'), ('classifier_metrics_in_range'), ('m
   round(r.bayesian_primary_score - b.bayesian_primary_score, 6) AS delta_bayesian_primary_score,
   round(r.calibration_test_ece - b.calibration_test_ece, 6) AS delta_calibration_test_ece
 FROM runs r, (SELECT * FROM runs WHERE is_baseline) b WHERE NOT r.is_baseline""",
-    "registry_rank": f"{_RUNS} SELECT name, test_macro_f1, test_accuracy FROM runs",
+    "registry_rank": f"""{_RUNS} SELECT name, test_macro_f1, test_accuracy, row_number() OVER (
+  ORDER BY test_macro_f1 IS NULL OR test_accuracy IS NULL, coalesce(test_macro_f1, -1) DESC, coalesce(test_accuracy, -1) DESC, name)::INT AS rank
+FROM runs""",
     "run_trend": f"""{_RUNS} SELECT name, model_type, executed_at, test_macro_f1,
   round(test_macro_f1 - lag(test_macro_f1) OVER (PARTITION BY model_type ORDER BY executed_at, name), 6) AS change FROM runs""",
     "metrics_shape": f"""{_P}, sp(split) AS (VALUES ('validation'), ('test')), lab(l) AS (VALUES ('user'), ('system'), ('organization'))

@@ -186,7 +186,7 @@ apart AS (SELECT *, sum((num <> '')::INT) OVER (PARTITION BY doc_id, sec ORDER B
 asub AS (SELECT doc_id, sec, max(num) AS sub, trim(string_agg(CASE WHEN num <> '' THEN rest ELSE line END, ' ' ORDER BY line_no)) AS t,
   min(line_no) AS s FROM apart WHERE part > 0 GROUP BY doc_id, sec, part),
 awhole AS (SELECT doc_id, sec, NULL AS sub, string_agg(line, ' ' ORDER BY line_no) AS t, min(line_no) AS s FROM abody
-  WHERE (doc_id, sec) NOT IN (SELECT (doc_id, sec) FROM asub WHERE t <> '') GROUP BY doc_id, sec),
+  ANTI JOIN (SELECT DISTINCT doc_id, sec FROM asub WHERE t <> '') told USING (doc_id, sec) GROUP BY doc_id, sec),
 recs AS (
   SELECT doc_id, art || CASE WHEN sub IS NULL THEN '' ELSE '.' || sub END AS native_id, coalesce(title, art) AS title,
     {I.sql_norm("coalesce(t, '')")} AS text, concat_ws('>', nullif(chapter, ''), nullif(chapter_title, ''), art, sub) AS hierarchy_path,
