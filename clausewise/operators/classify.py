@@ -107,14 +107,20 @@ def nb_predict(docs: DataFrame, model: NaiveBayesTables, keys: list[str],
 
 def model_signal(docs: DataFrame, model: NaiveBayesTables, text_col: str = "policy_text",
                  key: str = "doc_id", max_score: float = 5.0) -> DataFrame:
-    """Share of labels seen among a document's clauses plus its mean confidence."""
+    """Share of labels seen among a document's clauses plus its mean confidence.
+
+    ``label_distribution`` counts the clauses of each label; it is empty for a document
+    without clauses.
+    """
     clauses = text.explode_clauses(
         text.with_clauses(docs.select(key, text_col), text_col, "clauses").drop(text_col))
     pred = nb_predict(clauses, model, [key, "clause_index"], "clause")
     stats = pred.groupBy(key).agg(
         F.count_distinct(F.when(F.col("predicted_label").isin(list(model.labels)),
                                 F.col("predicted_label"))).alias("labels_represented"),
-        F.avg("confidence").alias("_c"))
+        F.avg("confidence").alias("_c"),
+        F.create_map(*[x for l in model.labels for x in (
+            F.lit(l), F.count_if(F.col("predicted_label") == l))]).alias("_d"))
     part = (F.least(F.lit(3.0), F.col("labels_represented")) / 3.0 * 3.0
             + F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("_c") * 2.0)))
     scored = stats.withColumn("_s", part)
@@ -124,7 +130,8 @@ def model_signal(docs: DataFrame, model: NaiveBayesTables, text_col: str = "poli
         F.lit(max_score).alias("max_score"),
         F.coalesce(F.col("_s") >= 2.5, F.lit(False)).alias("passed"),
         F.coalesce("labels_represented", F.lit(0)).alias("labels_represented"),
-        F.round("_c", 6).alias("avg_confidence"))
+        F.round("_c", 6).alias("avg_confidence"),
+        F.coalesce("_d", F.create_map().cast("map<string,bigint>")).alias("label_distribution"))
 
 
 # --- TF-IDF and logistic regression ------------------------------------------------

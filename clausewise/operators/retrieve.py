@@ -195,4 +195,7 @@ HIT_FIELDS = ("text", "score", "regulation", "control_id", "source_document_id",
 
 
 def select_fields(hits: DataFrame, fields=HIT_FIELDS, keys=("query_id", "rank")) -> DataFrame:
-    return hits.select(*[c for c in (*keys, *fields) if c in hits.columns])
+    """The fields asked for; one that the hits lack is an error, not left out."""
+    if lacking := [c for c in (*keys, *fields) if c not in hits.columns]:
+        raise ValueError("Hits have no " + ", ".join(lacking))
+    return hits.select(*keys, *fields)

@@ -170,7 +170,10 @@ def prior_drift(spark, sf):
 
 
 def model_signal(spark, sf):
-    return policy_signal(spark, sf).drop("avg_confidence").withColumn("score", F.round("score", 2))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("label_distribution")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"])), "|")
+    return policy_signal(spark, sf).drop("avg_confidence").withColumns(
+        {"score": F.round("score", 2), "label_distribution": told})
 
 
 def policy_posterior(spark, sf):
@@ -362,8 +365,12 @@ WINDOW w AS (PARTITION BY predicted_label ORDER BY confidence DESC, example_id)
   abs(pa / (pa + pb) - count(actual_label) / (SELECT count(*) FROM predictions)) > 0.4::DOUBLE AS drifted
 FROM {_PRIORS} LEFT JOIN predictions ON actual_label = level GROUP BY level, pa, pb""",
     "model_signal": f"""WITH {_SIGNAL} SELECT doc_id, round(coalesce(s, 0), 2) AS score, 5.0::DOUBLE AS max_score,
-  coalesce(s >= 2.5::DOUBLE, false) AS passed, coalesce(labels_represented, 0) AS labels_represented
-FROM documents LEFT JOIN signal USING (doc_id)""",
+  coalesce(s >= 2.5::DOUBLE, false) AS passed, coalesce(labels_represented, 0) AS labels_represented,
+  coalesce(told, '') AS label_distribution
+FROM documents LEFT JOIN signal USING (doc_id) LEFT JOIN (
+  SELECT doc_id, 'organization=' || count(*) FILTER (WHERE predicted_label = 'organization') || '|system='
+    || count(*) FILTER (WHERE predicted_label = 'system') || '|user=' || count(*) FILTER (WHERE predicted_label = 'user') AS told
+  FROM clause_pred GROUP BY doc_id) USING (doc_id)""",
     "policy_posterior": f"""WITH {_SIGNAL}
 SELECT level, round((pa + sum(confidence)) / (pa + pb + count(*)), 4) AS mean, count(*) AS evidence_count
 FROM {_PRIORS} JOIN clause_pred ON predicted_label = level GROUP BY level, pa, pb""",

@@ -43,7 +43,7 @@ def group_dedup(spark, sf):
     chunks = _docs(spark, sf).join(_vectors(spark, sf).drop("label"), "doc_id", "left").select(
         "doc_id", "text", "embedding", F.col("source").alias("source_document_id"))
     hits = retrieve.hybrid_search(_queries(spark, sf), chunks, 10, fields=["text"])
-    return retrieve.select_fields(hits, keys=("query_id", "rank", "doc_id"))
+    return retrieve.select_fields(hits, ("text", "score", "source_document_id"), ("query_id", "rank", "doc_id"))
 
 
 def tfidf_vocabulary(spark, sf):
