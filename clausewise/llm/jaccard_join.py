@@ -42,7 +42,7 @@ from clausewise.operators.ordering import lookup_skew_safe, top_k
 KEYS_PER_BUCKET = 500_000
 ROWS_PER_FILE, PAIRS_PER_TASK = 500_000, 20_000
 MAP_CHARS = 1_000_000
-BITMAP = [f"b{i}" for i in range(8)]
+BITMAP = [f"b{i}" for i in range(16)]
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def _measured(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(portion: dict) -> Iterator[pd.DataFrame]:
         rows = []
         for h in _sets(portion["_text"], rule.k):
-            bits = np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1)
+            bits = np.packbits(np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=1024) & 1)
             rows.append((len(h), *_prints(h), *bits.view("<i8").tolist()))
         out = pd.DataFrame(rows, columns=["n", "f", "g", *BITMAP])
         out.insert(0, "_h", portion["_h"].to_numpy())
@@ -238,18 +238,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Of pairs (u, v) of classes those that link, by their whole sets."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            good = []
-            for a, b in zip(pdf["s"], pdf["t"]):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                good.append(rule.den * both >= rule.num * (len(a) + len(b) - both))
-            yield pdf.loc[good, ["u", "v"]]
-
     joined = (pairs.join(sets.select(F.col("f").alias("u"), F.col("set").alias("s")), "u")
-              .join(sets.select(F.col("f").alias("v"), F.col("set").alias("t")), "v").select("u", "v", "s", "t"))
-    return joined.mapInPandas(run, "u long, v long")
+              .join(sets.select(F.col("f").alias("v"), F.col("set").alias("t")), "v"))
+    both = F.size(F.array_intersect("s", "t"))
+    return joined.where(rule.den * both >= rule.num * (F.size("s") + F.size("t") - both)).select("u", "v")
 
 
 def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
@@ -262,11 +254,14 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     classes = materialize(classes)
 
     def encode(portion: dict) -> Iterator[pd.DataFrame]:
-        found = [(_prints(h)[0], h.tobytes()) for h in _sets(portion["_text"], rule.k)]
+        found = [(_prints(h)[0], h.view(np.int64)) for h in _sets(portion["_text"], rule.k)]
         yield pd.DataFrame(found, columns=["f", "set"])
 
     texts = row_keys(docs).select("_id", whole_text().alias("_text")).join(classes.select("_id"), "_id", "left_semi")
-    sets = materialize(map_texts(texts, encode, "f long, set binary", MAP_CHARS).dropDuplicates(["f"]))
+    sets = map_texts(texts, encode, "f long, set array<long>", MAP_CHARS)
+    if not measured.groupBy("_id").count().where("count > 1").isEmpty():  # rows that repeat an id
+        sets = sets.dropDuplicates(["f"])
+    sets = materialize(sets)
     # Each class with the first class of the list set it shares most lists with.
     first = lists.groupBy("key").agg(F.min("f").alias("v"))
     shared = lists.join(first, "key").where("f <> v").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
