@@ -45,49 +45,43 @@ BYTE_CHARS = _byte_chars()
 
 
 class WordIds:
-    """Ids of texts as 16-bit integers, by a table of white-space words.
+    """Ids of texts as 16-bit integers, by a table of white-space words."""
 
-    A word's closing full stops and commas are tokens of their own, and Latin letters are
-    lower-cased as the tokenizer does, so that fewer distinct words need its work.
-    """
-
-    def __init__(self, file: str, size: int = 400_000):
+    def __init__(self, file: str, size: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
         if self.tok.get_vocab_size() > 65536:
             raise ValueError("ids must fit in 16 bits")
-        self.cores = WordTable(self._encode, size // 2)
-        self.words = WordTable(self._split, size)
+        self.words, self.ends = WordTable(self._encode, size), {"": b""}
 
-    def _encode(self, cores: list[str]) -> list[bytes]:
-        """Lower-case Latin letters are one pre-token that no normalization changes, so the
-        model takes their bytes directly; all else goes through the whole tokenizer."""
-        plain = [c.isalpha() and (c.isascii() and c.islower() or max(c) < "\u0250" and c == c.lower())
-                 for c in cores]
-        model, out = self.tok.model.tokenize, []
-        rest = iter(self.tok.encode_batch_fast([c for c, p in zip(cores, plain) if not p],
-                                               add_special_tokens=False))
-        for c, p in zip(cores, plain):
-            if p:
-                if not c.isascii():
-                    c = c.encode().decode("latin-1").translate(BYTE_CHARS)
-                ids = [t.id for t in model(c)]
-            else:
-                ids = next(rest).ids
-            out.append(struct.pack(f"<{len(ids)}H", *ids))
-        return out
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}H", *e.ids)
+                for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _split(self, words: list[str]) -> list[bytes]:
-        cores, ends = [], []
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Lower-case Latin letters are one pre-token that no normalization changes, so the
+        model takes their bytes directly, and full stops and commas behind them are a
+        pre-token of their own; all else goes through the whole tokenizer."""
+        model, ends, out, other = self.tok.model.tokenize, self.ends, [], []
         for w in words:
             core = w.rstrip(".,")
-            if not core or not core[-1].isalpha():
-                core = w
-            ends.append(w[len(core):])
-            cores.append(core.lower() if core.isalpha() and (core.isascii() or max(core) < "\u0250") else core)
-        return [a + b for a, b in zip(self.cores.of(cores), self.cores.of(ends))]
+            if core.isascii() and core.islower() and core.isalpha():
+                found = [t.id for t in model(core)]
+            elif core.isalpha() and max(core) < "\u0250" and core == core.lower():
+                found = [t.id for t in model(core.encode().decode("latin-1").translate(BYTE_CHARS))]
+            else:
+                other.append(len(out))
+                out.append(w)
+                continue
+            end = w[len(core):]
+            if end not in ends:
+                ends[end] = self._whole([end])[0]
+            out.append(struct.pack(f"<{len(found)}H", *found) + ends[end])
+        for i, ids in zip(other, self._whole([out[i] for i in other])):
+            out[i] = ids
+        return out
 
     def ids(self, text: str) -> bytes:
         """Words end at blanks and line ends, which no token of the vocabulary spans."""
