@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,14 +13,25 @@ from pyspark.sql import types as T
 
 from clausewise.operators.ordering import materialize
 
-__all__ = ["materialize", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "map_texts", "WordTable", "WHITE"]
+__all__ = ["materialize", "reach_workers", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "map_texts", "WordTable", "WHITE"]
 
 #: White space of every word and line rule here, as a regular expression class's content.
 WHITE = r"\x20\x09-\x0D"
 NO_ID = -(2 ** 63)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, if nothing has
+    installed it for them; tasks call its functions by name."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
