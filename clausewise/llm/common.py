@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from clausewise.operators.ordering import materialize
 
-__all__ = ["materialize", "reach_workers", "documents", "whole_text", "row_keys", "whole_rows", "lookup", "map_texts", "WordTable", "WHITE"]
+__all__ = ["materialize", "release", "reach_workers", "documents", "whole_text", "row_keys", "whole_rows", "lookup",
+           "map_texts", "WordTable", "WHITE"]
 
 #: White space of every word and line rule here, as a regular expression class's content.
 WHITE = r"\x20\x09-\x0D"
@@ -30,6 +32,16 @@ def reach_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files behind tables that have been materialized.
+
+    Spark drops a shuffle's files when the driver's garbage is collected, which a job that
+    works in rounds does not see happen in time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import materialize, row_keys, whole_rows, whole_text
+from clausewise.llm.common import materialize, release, row_keys, whole_rows, whole_text
 from clausewise.llm.line_dedup import batches_of
 from clausewise.operators.ordering import lookup_skew_safe
 
@@ -175,6 +175,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, keys_per_shard: int = KEYS_PE
                 .select(F.concat(F.sha2("_text", 256), F.lit(":"), F.col("_h").cast("string")).alias("text_key"),
                         "n", "largest"))
     bytewise = materialize(bytewise)
+    release(docs.sparkSession)
     rows = digests.withColumn("text_key", F.concat("digest", F.lit(":"), F.col("_h").cast("string")))
     out = lookup_skew_safe(rows, bytewise, "text_key", "n", "_id", ["n", "largest"])
     keep = F.coalesce(F.col("largest"), F.col("_id"))

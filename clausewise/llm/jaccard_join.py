@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import map_texts, materialize, row_keys, whole_rows, whole_text
+from clausewise.llm.common import map_texts, materialize, release, row_keys, whole_rows, whole_text
 from clausewise.llm.shingles import mix, shingles
 from clausewise.operators.ordering import lookup_skew_safe, top_k
 
@@ -249,6 +249,7 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     lists = materialize(_lists(docs, rule, total))
     most = lists.count()
+    release(docs.sparkSession)
     classes = (measured.where("n > 0").groupBy("f").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), *[
         F.first(b).alias(b) for b in BITMAP]).join(lists.select("f").distinct(), "f", "left_semi"))
     classes = materialize(classes)
@@ -262,6 +263,7 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     if not measured.groupBy("_id").count().where("count > 1").isEmpty():  # rows that repeat an id
         sets = sets.dropDuplicates(["f"])
     sets = materialize(sets)
+    release(docs.sparkSession)
     # Each class with the first class of the list set it shares most lists with.
     first = lists.groupBy("key").agg(F.min("f").alias("v"))
     shared = lists.join(first, "key").where("f <> v").groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -270,6 +272,7 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     edges = _settled(_verified(tested, sets, rule), most // 4, PAIRS_PER_TASK)
     for most_tested in (1, 16, None, 0):
         comps = _settled(components(edges), most // 4)
+        release(docs.sparkSession)
         if most_tested == 0:
             break  # all that may link have been compared
         node = comps.withColumnRenamed("node", "f")
@@ -296,6 +299,7 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
         if most_tested:
             fresh = top_k(fresh, ["u", "x", "y"], [F.col("d"), F.col("v")], most_tested)
         fresh = _settled(fresh.select("u", "v").distinct(), most)
+        release(docs.sparkSession)
         if fresh.isEmpty():
             break
         tested = tested.unionByName(fresh)
