@@ -191,3 +191,27 @@ def test_odd_rows_of_the_others(odd, empty):
         assert f(empty).collect() == []
     one = jaccard_join.jaccard_components(odd).collect()
     assert {r["component_id"] for r in one if r["n_shingles"] == 0 and r["_id"] in (0, 1, 2)} == {0, 1, 2}
+
+
+def near_passages(texts, others):
+    """Whether a 50-word passage of texts reaches 0.8 with one of others at any place."""
+    def sets(t):
+        return [frozenset(tuple(t[j:j + 5]) for j in range(i, i + 46)) for i in range(len(t) - 49)]
+    return any(5 * len(p & q) >= 4 * len(p | q) for p in sets(texts) for q in sets(others))
+
+
+def test_every_edited_passage_is_proposed(spark):
+    """One word replaced, put in or left out anywhere in 50 words: all that brute force finds."""
+    r = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    rows, want = [], set()
+    for i in range(150):
+        a = word(50)
+        at, kind = 20 + i % 10 if i < 100 else int(r.integers(0, 50)), i % 3
+        b = [*a[:at], *word(1)[:kind != 2], *a[at + (kind != 1):]]
+        a, b = word(9) + a + word(9), word(7) + b + word(7)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        if near_passages(b, a):
+            want.add((1000 + i, i))
+    got = {(r["_id"], r["first_id"]) for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 80 and got == want
