@@ -215,3 +215,19 @@ def test_every_edited_passage_is_proposed(spark):
             want.add((1000 + i, i))
     got = {(r["_id"], r["first_id"]) for r in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(want) > 80 and got == want
+
+
+@pytest.mark.parametrize("others", [1, 200])
+def test_a_part_of_a_passage_in_between_hides_nothing(spark, others):
+    """Smaller documents hold only 36 words of the passage, so the first of them is no holder."""
+    r = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    passage = word(56)
+    rows = [(i, word(30) + passage[10:46] + word(30)) for i in range(others)]
+    rows += [(1000, word(40) + passage + word(20)), (1001, word(20) + passage + word(40))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    for parts in (1, 4):
+        got = compact_windows.passages(d.repartition(parts)).collect()
+        assert {(r["_id"], r["first_id"]) for r in got} == {(1001, 1000)}
+        covered = {j for r in got for j in range(r["start_word"], r["start_word"] + r["n_words"])}
+        assert covered == set(range(20, 76))
