@@ -155,6 +155,12 @@ def _ranked_in_row(df: DataFrame, candidates: Column, per_regulation: int,
     return step.withColumn("evidence", F.slice(kept, 1, limit)).drop("_s", "_d")
 
 
+def _external_seq() -> Column:
+    """Place of an external control among equals: behind the built-in ones, by its content
+    (a table has no order of rows)."""
+    return F.xxhash64("title", "requirement").bitwiseAND(F.lit(0x7FFFFFFF)) + 1_000_000
+
+
 def regulation_cap(limit: int) -> int:
     """Most controls of one regulation a claim may be judged on."""
     return max(2, min(5, limit // 3 if limit > 0 else 2))
@@ -180,8 +186,7 @@ def rank_evidence(claim_rows: DataFrame, extra_controls: DataFrame | None = None
     if prepared.limit(max_in_row + 1).count() > max_in_row:
         return rank_evidence_joined(claim_rows, prepared, regulations, limit, controls, key)
     one = F.struct("regulation", "control_id", "title", "requirement", "req_low", "tokens",
-                   "signals", "source", (F.xxhash64("title", "requirement").bitwiseAND(
-                       F.lit(0x7FFFFFFF)) + 1_000_000).alias("seq"))
+                   "signals", "source", _external_seq().alias("seq"))
     extra = prepared.agg(F.array_sort(F.collect_list(one)).cast(_CANDIDATE).alias("c"))
     with_extra = claim_rows.withColumn("_extra", extra.scalar())
     out = _ranked_in_row(with_extra, F.concat(candidates, F.coalesce(F.col("_extra"), empty)),
@@ -192,7 +197,8 @@ def rank_evidence(claim_rows: DataFrame, extra_controls: DataFrame | None = None
 def rank_evidence_joined(claim_rows: DataFrame, prepared: DataFrame, regulations=None,
                          limit: int = 18, controls=lexicon.REGULATION_CONTROLS,
                          key: str = "doc_id", salts: int = 16) -> DataFrame:
-    """The same ranking for a control table of any size.
+    """The same ranking, with the claims' own keywords and the same order of equals, for a
+    control table of any size.
 
     A positive score needs a shared token or a matched keyword in the requirement,
     so candidates come from two equi-joins, never from a cross product. Claim tokens
@@ -201,48 +207,51 @@ def rank_evidence_joined(claim_rows: DataFrame, prepared: DataFrame, regulations
     spark = claim_rows.sparkSession
     cap = regulation_cap(limit)
     claim_key = [key, "clause_index", "check_id"]
-    built_in = builtin_controls(spark, regulations, controls).select(
+    numbered = spark.createDataFrame(
+        [(*row, seq) for seq, row in enumerate(controls)],
+        "check_id string, regulation string, control_id string, title string, requirement string, seq bigint")
+    built_in = filter_regulations(numbered, regulations).select(
         "check_id", "regulation", "control_id", "title", "requirement",
         F.lower("requirement").alias("req_low"),
         text.evidence_tokens(F.concat_ws(" ", "control_id", "title", "requirement")).alias(
             "tokens"),
-        _signals(F.col("control_id")).alias("signals"), F.lit("legacy").alias("source"))
+        _signals(F.col("control_id")).alias("signals"), F.lit("legacy").alias("source"), "seq")
+    prepared = prepared.withColumn("seq", _external_seq())
     everything = built_in.transform(guard_unions).unionByName(prepared.withColumn("check_id", F.lit(None).cast("string")))
     # A control row is identified by its content; repeats score alike and merge later.
     everything = everything.withColumn("_cid", F.sha1(F.concat_ws(
         "\u0001", F.coalesce("check_id", F.lit("")), "regulation", "control_id", "title",
-        "requirement", "source")))
-    words = dict.fromkeys(k for _, _, _, kws in lexicon.CHECK_SPECS for k in kws)
+        "requirement", "source"))).dropDuplicates(["_cid"])
+    words = claim_rows.select(F.explode("matched").alias("term")).distinct()
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     claim_salt = F.pmod(F.xxhash64(*claim_key), F.lit(salts)).cast("int").alias("_salt")
 
-    def meet(claim_terms: Column, control_terms: Column, points: int) -> DataFrame:
+    def meet(claim_terms: Column, controls_of_terms: DataFrame, points: int) -> DataFrame:
         left = claim_rows.select(*claim_key, claim_salt, F.explode(claim_terms).alias("term"))
-        right = everything.select(F.col("check_id").alias("_only"), "_cid",
-                                  F.explode(control_terms).alias("term")).select("*", salt)
+        right = controls_of_terms.select(F.col("check_id").alias("_only"), "_cid", "term", salt)
         met = left.join(right, ["term", "_salt"])
         met = met.where(F.col("_only").isNull() | (F.col("_only") == F.col("check_id")))
         return met.select(*claim_key, "_cid", F.lit(points).alias("points"),
                           F.lit(1 if points == 2 else 0).alias("hit"))
 
-    found_words = F.array_compact(F.array(*[
-        F.when(F.contains("req_low", F.lit(w)), F.lit(w)) for w in words]))
-    pairs = meet(F.col("_tokens"), F.col("tokens"), 1).transform(guard_unions).unionByName(
-        meet(F.col("matched"), found_words, 2))
+    of_tokens = everything.select("check_id", "_cid", F.explode("tokens").alias("term"))
+    # The keywords are as many as the checks have, however many claims there are.
+    of_words = everything.join(words, F.contains("req_low", F.col("term")))
+    pairs = meet(F.col("_tokens"), of_tokens, 1).transform(guard_unions).unionByName(
+        meet(F.col("matched"), of_words, 2))
     scored = pairs.groupBy(*claim_key, "_cid").agg(
         F.sum("points").cast("double").alias("score"), F.sum("hit").cast("int").alias("overlap"))
-    ident = everything.dropDuplicates(["_cid"])
-    slim = scored.join(ident.select("_cid", "regulation", "control_id", "source"), "_cid")
+    slim = scored.join(everything.select("_cid", "regulation", "control_id", "seq", "title", "requirement", "source"), "_cid")
     by_claim = lambda *more: Window.partitionBy(*claim_key, *more)
     best_first = [F.col("score").desc(), F.col("regulation").desc(), F.col("control_id").desc(),
-                  F.col("source").desc(), F.col("_cid")]
+                  "seq", "title", "requirement", "source", "_cid"]
     one_each = slim.withColumn("_r", F.row_number().over(
         by_claim("regulation", "control_id").orderBy(*best_first))).where("_r = 1")
     capped = one_each.withColumn("_r", F.row_number().over(
         by_claim("regulation").orderBy(*best_first))).where(F.col("_r") <= cap)
     cut = capped.withColumn("_r", F.row_number().over(by_claim().orderBy(*best_first))).where(
         F.col("_r") <= limit)
-    full = cut.join(ident.select("_cid", "title", "requirement", "signals"), "_cid")
+    full = cut.join(everything.select("_cid", "signals"), "_cid")
     entry = F.struct("_r", F.struct("score", "regulation", "control_id", "title", "requirement",
                                     "source", "overlap", "signals").alias("e"))
     lists = full.groupBy(*claim_key).agg(F.array_sort(F.collect_list(entry)).alias("_l"))

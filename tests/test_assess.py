@@ -58,6 +58,19 @@ def test_verdicts_agree_between_forms(spark):
     assert flat(512) == flat(2)
 
 
+def test_large_control_tables_take_the_claims_own_keywords(spark):
+    """513 controls with ties and a repeated row, keywords that no built-in check has."""
+    specs = (("own", "Own", 1.0, ("zebra crossing", "quilted")),)
+    text = "The quilted maps show each zebra crossing of the whole town."
+    rows = assess.claims(spark.createDataFrame([(1, text)], "doc_id int, policy_text string"), specs=specs)
+    extra = [("GDPR", f"c{i % 5}", f"title {i}", ("a quilted zebra crossing " if i % 2 else "maps and ") + "rule" * (i % 7))
+             for i in range(513)]
+    d = spark.createDataFrame([*extra, extra[0], extra[1]], "regulation string, native_id string, title string, text string")
+    few, many = ([[e.asDict() for e in r["evidence"]] for r in assess.rank_evidence(rows, d, max_in_row=bound).collect()]
+                 for bound in (10 ** 6, 512))
+    assert few == many and max(e["overlap"] for e in many[0]) == 2
+
+
 def test_policy_scores_and_selection(spark):
     out = {r["doc_id"]: r for r in assess.assess_policies(docs(spark)).collect()}
     assert out[1]["overall_score"] > out[2]["overall_score"]
