@@ -372,23 +372,42 @@ def id_algebra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
                     F.count_if(F.col("_l").isNull()).alias("only_right"))
 
 
-def source_match_rate(controls: DataFrame, sources: DataFrame, sample: int = 20,
-                      probe_chars: int = 120) -> DataFrame:
-    """Of the first ``sample`` controls per regulation, how many occur in the source text.
-
-    The probe is the start of each control's text; the source text is read whole.
+def source_match_rate(controls: DataFrame, sources: DataFrame, sample: int | None = None,
+                      probe_chars: int | None = None, words: int = 8) -> DataFrame:
+    """Of the controls of each regulation, how many occur in one of its source texts.
+
+    All controls with their whole texts; ``sample`` takes the first so many of each
+    regulation, ``probe_chars`` the start of each text. A longer probe meets the texts that
+    have one of its inner runs of ``words`` words, which stand in them as whole words; a
+    shorter one meets all texts of its regulation.
     """
     from clausewise.functions.text import normalize_space
     from clausewise.operators.ordering import top_k
 
-    first = top_k(controls.select("regulation", "seq", normalize_space("text").alias("t")),
-                  ["regulation"], [F.col("seq")], sample)
-    probe = first.select("regulation", F.substring("t", 1, probe_chars).alias("probe"))
-    whole = sources.select("regulation", normalize_space("source_text").alias("_whole"))
-    met = probe.join(whole, "regulation", "left")
-    hit = (F.col("probe") != "") & F.coalesce(F.contains("_whole", F.col("probe")), F.lit(False))
-    return met.groupBy("regulation").agg(F.count(F.lit(1)).alias("sampled"),
-                                         F.count_if(hit).alias("source_matches"))
+    rows = controls.select("regulation", "seq", normalize_space("text").alias("probe"))
+    if sample is not None:
+        rows = top_k(rows, ["regulation"], [F.col("seq")], sample)
+    if probe_chars is not None:
+        rows = rows.withColumn("probe", F.substring("probe", 1, probe_chars))
+    probes = rows.groupBy("regulation", "probe").agg(F.count(F.lit(1)).alias("n"))
+    whole = sources.select("regulation", normalize_space("source_text").alias("_whole")).distinct()
+    whole = whole.withColumn("_text", F.sha1("_whole"))
+
+    def runs(first: Column, last: Column) -> Column:
+        return F.when(last >= first, F.array_distinct(F.transform(
+            F.sequence(first, last), lambda i: F.xxhash64(F.slice("_w", i, F.lit(words))))))
+
+    split = probes.withColumn("_w", F.split("probe", " "))
+    keyed = split.select("regulation", "probe", F.array_min(
+        runs(F.lit(2), F.size("_w") - words)).alias("_key"))
+    held = whole.withColumn("_w", F.split("_whole", " ")).select("regulation", "_text", F.explode(
+        runs(F.lit(1), F.size("_w") - words + 1)).alias("_key"))
+    met = keyed.join(held, ["regulation", "_key"]).join(whole, ["regulation", "_text"])
+    short = keyed.where("_key is null and probe <> ''").join(whole, "regulation")
+    found = [x.where(F.contains("_whole", F.col("probe"))).select("regulation", "probe") for x in (met, short)]
+    hit = found[0].transform(guard_unions).unionByName(found[1]).distinct().withColumn("_hit", F.lit(1))
+    return probes.join(hit, ["regulation", "probe"], "left").groupBy("regulation").agg(
+        F.sum("n").alias("sampled"), F.sum(F.when(F.col("_hit") == 1, F.col("n")).otherwise(0)).alias("source_matches"))
 
 
 def count_reconciliation(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -180,7 +180,7 @@ def source_matches(spark, sf):
     d = I.table(spark, sf, "documents")
     c = d.select(F.col("source").alias("regulation"), F.col("doc_id").alias("seq"), "text")
     first = c.groupBy("regulation").agg(F.min_by("text", "seq").alias("source_text"))
-    return gates.source_match_rate(c, first)
+    return gates.source_match_rate(c, first, sample=20, probe_chars=120)  # as its SQL
 
 
 def count_reconciliation(spark, sf):

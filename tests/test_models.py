@@ -155,3 +155,13 @@ def test_gates_block_only_when_required(spark):
     assert gates.probability_mass_check(none).first()["passed"]
     assert not gates.probability_mass_check(p.withColumn(
         "probabilities", F.transform_values("probabilities", lambda k, v: v * 2))).first()["passed"]
+
+
+def test_source_matches_look_at_every_row_text_and_source(spark):
+    text = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    controls = [("a", i, t if i != 25 else t + " changed at its end") for i, t in enumerate(text)]
+    controls += [("a", 30, "w3x7"), ("a", 31, ""), ("a", 32, None), ("a", 33, text[4]), ("b", 1, "lost")]
+    sources = [("a", "before " + "  ".join(text[:20])), ("a", " ".join(text[20:]))]
+    got = gates.source_match_rate(spark.createDataFrame(controls, "regulation string, seq int, text string"),
+                                  spark.createDataFrame(sources, "regulation string, source_text string"))
+    assert {tuple(r) for r in got.collect()} == {("a", 34, 31), ("b", 1, 0)}
