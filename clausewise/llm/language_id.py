@@ -95,7 +95,7 @@ class LanguageModel:
         mix = np.maximum((prob * share[doc]).sum(axis=1), 1e-30)
         return np.add.reduceat(count * np.log(mix), start)
 
-    def judge(self, texts: list[str], rounds: int = 8, penalty: float = 1.0, most: int = 3):
+    def judge(self, texts: list[str], rounds: int = 8, penalty: float = 1.0):
         """Per text: language, score, languages taken in (by falling share)."""
         pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         taken: list[list[str]] = [[] for _ in texts]
@@ -115,7 +115,7 @@ class LanguageModel:
         alone = np.stack([np.add.reduceat(count * np.log(prob[:, j]), start) for j in range(k)], axis=1)
         fit, lead = alone.max(axis=1), alone.argmax(axis=1)
         open_rows = np.arange(len(rows))
-        for s in range(2, min(most, k) + 1):  # only documents that took in all so far go on
+        for s in range(2, k + 1):  # only documents that took in all so far go on
             inside = np.zeros((len(rows), k), np.float32)
             np.put_along_axis(inside, order[:, :s], 1, axis=1)
             pick = np.zeros(len(rows), bool)

@@ -147,6 +147,18 @@ def test_language_mixtures(spark, docs):
     assert odd[1000] == odd[1001] == odd[1002] == "und"
 
 
+def test_a_document_of_five_languages_has_five():
+    r = np.random.default_rng(3)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "zßäöü"]
+    prose = [" ".join("".join(r.choice(list(x), 6)) for _ in range(600)) for x in letters]
+    counts = np.zeros((1 << language_id.BITS, len(prose)))
+    doc, gram, count = language_id.trigrams(prose)
+    np.add.at(counts, (gram, doc), count)
+    model = language_id.LanguageModel([f"l{i}" for i in range(len(prose))], counts)
+    _, _, taken = model.judge([" ".join(p[:1400] for p in prose[:5]), prose[2]])
+    assert set(taken[0]) == {"l0", "l1", "l2", "l3", "l4"} and taken[1] == ["l2"]
+
+
 def test_quality_counts(docs, rows):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     for r in rows:
