@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
 from clausewise.operators.ordering import guard_unions, lookup_skew_safe, materialize, top_k
 
-# Query vectors kept in one task at a time; more are worked off in blocks.
+# Queries that one block of vectors meets at a time; more meet it in several chunks.
 QUERY_BLOCK = 2048
 
 
@@ -28,67 +29,165 @@ def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
         F.array_sort(F.collect_list(F.struct("_d", "_m"))), lambda x: x["_m"]).alias("query_vector"))
 
 
+# --- dense: cells around pivots, block by block ---------------------------------------
+
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    n = np.linalg.norm(m, axis=1)
+    return m / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _plain(values) -> pd.Series:
+    """Ids of any type as they are; pandas' own string arrays do not fit into struct results."""
+    return pd.Series(values, dtype=object)
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+class Cells:
+    """Pivots with the number of vectors around each and the widest angle among them; what
+    tasks need to know of an index. Cell -1 holds vectors without a length."""
+
+    def __init__(self, pivots: np.ndarray, sizes: dict[int, tuple[int, float]], block_rows: int):
+        self.pivots, self.sizes = pivots, sizes
+        self.parts = {c: -(-n // block_rows) for c, (n, _) in sizes.items()}
+
+    def nearest(self, unit: np.ndarray, least: int) -> list[list[int]]:
+        """Per query the cells nearest to it that hold ``least`` vectors together."""
+        ids = np.array([c for c in self.sizes if c >= 0], int)
+        if not len(ids):
+            return [list(self.sizes)] * len(unit)
+        counts = np.array([self.sizes[c][0] for c in ids])
+        order = np.argsort(_angles(unit, self.pivots[ids]), axis=1, kind="stable")
+        stop = (np.cumsum(counts[order], axis=1) < least).sum(axis=1) + 1
+        return [ids[o[:s]].tolist() for o, s in zip(order, stop)]
+
+    def within(self, unit: np.ndarray, threshold: np.ndarray) -> list[list[int]]:
+        """Per query the cells that may hold a cosine of its threshold."""
+        ids = np.array(list(self.sizes), int)
+        bound = np.zeros((len(unit), len(ids)))
+        real = ids >= 0
+        if real.any():
+            radius = np.array([self.sizes[c][1] for c in ids[real]])
+            bound[:, real] = np.cos(np.maximum(_angles(unit, self.pivots[ids[real]]) - radius - 1e-9, 0.0))
+        bound[np.abs(unit).sum(axis=1) == 0] = 0.0
+        return [ids[b >= t].tolist() for b, t in zip(bound, threshold)]
+
+
+class DenseIndex:
+    """Unit vectors in blocks around pivots.
+
+    A quarter of the square root of their number, at most ``pivots``, drawn by a hash of the
+    key, are what the driver and every task hold; a cell beyond ``block_rows`` vectors is dealt to several blocks.
+    """
+
+    def __init__(self, vectors: DataFrame, key: str, vector: str, pivots: int, block_rows: int):
+        self.key, self.type = key, _type(vectors, key)
+        rows = vectors.select(key, vector).where(F.col(vector).isNotNull())
+        pivots = min(pivots, 1 + int(rows.count() ** 0.5 / 4))
+        drawn = rows.orderBy(F.xxhash64(key), key).limit(pivots).collect()  # at most `pivots` rows
+        unit = _unit(pd.Series([r[vector] for r in drawn])) if drawn else np.zeros((0, 1))
+        unit = np.unique(unit[np.abs(unit).sum(axis=1) > 0], axis=0)
+
+        def deal(batches):
+            for pdf in batches:
+                if len(pdf):
+                    u = _unit(pdf[vector])
+                    cell, angle = np.full(len(u), -1), np.zeros(len(u))
+                    if len(unit):
+                        a = _angles(u, unit)
+                        long = np.abs(u).sum(axis=1) > 0
+                        cell[long], angle[long] = a.argmin(axis=1)[long], a.min(axis=1)[long]
+                    yield pd.DataFrame({key: _plain(pdf[key].to_numpy()), "unit": _plain(list(u)), "cell": cell, "angle": angle})
+
+        self.rows = materialize(rows.mapInPandas(deal, f"`{key}` {self.type}, unit array<double>, cell int, angle double"))
+        sizes = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
+        self.cells = Cells(unit, {r["cell"]: (r["n"], r["radius"]) for r in sizes}, block_rows)  # at most pivots + 1
+
+    def parts(self) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in self.cells.parts.items() for x in pair]), F.col("cell"))
+
+    def blocks(self) -> DataFrame:
+        return self.rows.withColumn("part", F.pmod(F.xxhash64(self.key), self.parts()).cast("int"))
+
+
+def _wanted(queries: DataFrame, choose, query_type: str) -> DataFrame:
+    """(query_id, unit, cell): the cells that ``choose`` names for each query."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                u = _unit(pdf["query_vector"])
+                cells = choose(u, pdf)
+                n = [len(c) for c in cells]
+                yield pd.DataFrame({"query_id": _plain(np.repeat(pdf["query_id"].to_numpy(), n)),
+                                    "unit": _plain([x for x, k in zip(u, n) for _ in range(k)]),
+                                    "cell": np.array([c for some in cells for c in some], np.int32)})
+
+    return queries.mapInPandas(run, f"query_id {query_type}, unit array<double>, cell int")
+
+
+def _block_products(wanted: DataFrame, index: DenseIndex, chunks: int, pool: int, digits: int,
+                    query_type: str) -> DataFrame:
+    """(query_id, key, score): best ``pool`` of each query in each block, by one product of a
+    block of vectors with the chunk of queries that want it."""
+    key = index.key
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
+    left = wanted.withColumns({"chunk": chunk, "part": F.explode(F.sequence(
+        F.lit(0), index.parts() - 1))})
+    right = index.blocks().withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    on = ["cell", "part", "chunk"]
+
+    def product(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"query_id": _plain([]), key: _plain([]), "score": np.zeros(0)})
+        held = held.sort_values(key, kind="stable", ignore_index=True)
+        scores = np.round(np.stack(held["unit"].to_numpy()) @ np.stack(asked["unit"].to_numpy()).T, digits)
+        best = np.argsort(-scores, axis=0, kind="stable")[:pool]
+        return pd.DataFrame({"query_id": _plain(np.tile(asked["query_id"].to_numpy(), len(best))),
+                             key: _plain(held[key].to_numpy()[best.ravel()]),
+                             "score": np.take_along_axis(scores, best, axis=0).ravel()})
+
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(
+        product, f"query_id {query_type}, `{key}` {index.type}, score double")
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, limit: int = 10, key: str = "doc_id",
-               vector: str = "embedding", block: int = QUERY_BLOCK, digits: int = 6) -> DataFrame:
+               vector: str = "embedding", block: int = QUERY_BLOCK, digits: int = 6,
+               pivots: int = 256, block_rows: int = 4096) -> DataFrame:
     """(query_id, key, score, rank): exact cosine neighbours of every query vector.
 
-    Each task scores its vectors against a block of queries with one matrix product
-    and passes on only its own best ``pool`` per query; the final ranking sees tasks
-    x pool rows per query. Queries beyond one block are worked off block by block, so
-    what is sent to a task is bounded whatever their number.
+    Vectors lie in blocks around pivots. A query first meets the nearest cells that hold
+    ``pool`` vectors, which gives it a lower bound of its last place; it then meets those of
+    the other cells whose pivot and widest angle allow a cosine above that bound. A block
+    and a chunk of about ``block`` queries are one product in one task.
     """
-    pool = pool_size(limit)
-    out_schema = f"query_id {_type(queries, 'query_id')}, `{key}` {_type(vectors, key)}, score double"
-    parts = []
-    for ids, matrix in _query_blocks(queries, block):
-        norms = np.linalg.norm(matrix, axis=1)
-        unit = matrix / np.where(norms > 0, norms, 1.0)[:, None]
-
-        def score(batches, ids=ids, unit=unit):
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(m, axis=1)
-                s = np.round((m / np.where(n > 0, n, 1.0)[:, None]) @ unit.T, digits)
-                keys = pdf[key].to_numpy()
-                for q in range(unit.shape[0]):
-                    k, v = keys, s[:, q]
-                    if q in best:
-                        k = np.concatenate([best[q][0], k])
-                        v = np.concatenate([best[q][1], v])
-                    if len(k) > pool:
-                        top = np.lexsort((k, -v))[:pool]
-                        k, v = k[top], v[top]
-                    best[q] = (k, v)
-            for q, (k, v) in best.items():
-                yield pd.DataFrame({"query_id": [ids[q]] * len(k), key: k, "score": v})
-
-        parts.append(vectors.select(key, vector).mapInPandas(score, out_schema))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], out_schema + ", rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.transform(guard_unions).unionByName(p)
-    return top_k(every, ["query_id"], [F.col("score").desc(), F.col(key)], pool)
+    pool, slack = pool_size(limit), 10.0 ** -digits
+    query_type = _type(queries, "query_id")
+    asked = materialize(queries.select("query_id", "query_vector"))
+    chunks = max(1, -(-asked.count() // block))
+    index = DenseIndex(vectors, key, vector, pivots, block_rows)
+    cells = index.cells
+    if not cells.sizes:
+        return asked.sparkSession.createDataFrame([], f"query_id {query_type}, `{key}` {index.type}, score double, rank int")
+    order = [F.col("score").desc(), F.col(key)]
+    near = _wanted(asked, lambda u, pdf: cells.nearest(u, pool), query_type)
+    first = materialize(top_k(_block_products(near, index, chunks, pool, digits, query_type), ["query_id"], order, pool))
+    bounds = first.where(F.col("rank") == pool).select("query_id", F.col("score").alias("bound"))
+    bounded = asked.join(bounds, "query_id", "left")
 
+    def others(u, pdf):
+        may = cells.within(u, pdf["bound"].fillna(-2.0).to_numpy() - slack)
+        return [[c for c in some if c not in seen] for some, seen in zip(may, map(set, cells.nearest(u, pool)))]
 
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    rest = _block_products(_wanted(bounded, others, query_type), index, chunks, pool, digits, query_type)
+    every = first.drop("rank").transform(guard_unions).unionByName(rest)
+    return top_k(every, ["query_id"], order, pool)
 
 
-def _query_blocks(queries: DataFrame, block: int):
-    """Query vectors in blocks of bounded size, streamed partition by partition."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "query_vector").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(np.asarray(r["query_vector"], dtype=np.float64))
-        if len(ids) == block:
-            yield ids, np.stack(rows)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.stack(rows)
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 # --- TF-IDF vectors as rows --------------------------------------------------------
@@ -120,37 +219,129 @@ def term_stats(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float =
     return stats.withColumn("idf", F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)
 
 
-def tfidf_weights(counts: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+def tfidf_weights(counts: DataFrame, stats: DataFrame, key: str, extra: list[str] = ()) -> DataFrame:
     """(key, term, w): sublinear tf x idf. Common terms do not gather in one task."""
-    met = lookup_skew_safe(counts, stats, "term", "df", key, ["idf"])
+    met = lookup_skew_safe(counts, stats, "term", "df", key, ["idf", *extra])
     return met.where(F.col("idf").isNotNull()).select(
-        key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"), *extra)
 
 
-def _norms(weights: DataFrame, key: str, out: str) -> DataFrame:
-    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(out))
+class SparseIndex:
+    """Normalized TF-IDF postings in blocks of falling impact.
+
+    A term's postings are dealt by key to parts of about ``block_rows`` and, where there is
+    more than one part, to levels of impact (four to a halving). A block is one row: its
+    postings and their largest impact. ``terms`` (a table of terms) restricts the blocks to
+    those that will be asked for; lengths of documents always take in all their terms.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text_col: str, block_rows: int, terms: Callable | None = None, **bounds):
+        self.key = key
+        counts = materialize(term_counts(docs, key, text_col))
+        self.stats = materialize(term_stats(counts, docs.count(), **bounds))
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        weights = tfidf_weights(counts, self.stats, key, ["df"]).withColumn("_length", length).where("_length > 0")
+        if terms is not None:
+            weights = weights.join(terms(self.stats), "term", "left_semi")
+        parts = F.ceil(F.col("df") / block_rows)
+        impact = F.col("w") / F.col("_length")
+        level = F.when(parts > 1, F.floor(F.log2(impact) * -4)).otherwise(0).cast("int")
+        self.blocks = materialize(weights.select(key, "term", parts.alias("parts"), impact.alias("impact"), level.alias("level"))
+                                  .groupBy("term", "parts", F.pmod(F.xxhash64(key), F.col("parts")).alias("part"), "level")
+                                  .agg(F.collect_list(F.struct(F.col(key).alias("key"), "impact")).alias("posts"),
+                                       F.max("impact").alias("top"), F.count(F.lit(1)).alias("n")))
+        #: One row per term and level.
+        self.levels = materialize(self.blocks.groupBy("term", "level").agg(
+            F.max("top").alias("top"), F.sum("n").alias("n"), F.first("parts").alias("parts")))
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(key, term, impact) of some terms, for single look-ups."""
+        some = self.blocks.select("term", "posts").join(terms, "term", "left_semi")
+        return some.select("term", F.explode("posts").alias("p")).select(F.col("p.key").alias(self.key), "term", "p.impact")
+
+
+def _visit(wanted: DataFrame, index: SparseIndex, chunks: int) -> DataFrame:
+    """(query_id, key, gain) summed over the blocks of the wanted levels.
+
+    ``wanted``: query_id, term, level, parts, qw, need. Blocks and postings that add less
+    than ``need`` are passed over. A block meets chunks of queries, each in one row.
+    """
+    each = wanted.withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)),
+                               "chunk": F.pmod(F.xxhash64("query_id"), F.lit(chunks))})
+    asked = each.groupBy("term", "part", "level", "chunk").agg(
+        F.collect_list(F.struct("query_id", "qw", "need")).alias("asked"))
+    met = asked.join(index.blocks.drop("parts", "n"), ["term", "part", "level"])
+    met = met.select("posts", F.explode(F.filter("asked", lambda q: q["qw"] * F.col("top") >= q["need"])).alias("q"))
+    met = met.select("q.*", F.explode("posts").alias("p")).withColumn("gain", F.col("p.impact") * F.col("qw"))
+    return met.where("gain >= need").groupBy("query_id", F.col("p.key").alias(index.key)).agg(F.sum("gain").alias("gain"))
+
+
+def _last_place(partial: DataFrame, index: SparseIndex, pool: int) -> DataFrame:
+    """(query_id, bound): what the pool-th best partial sum has at least."""
+    ranked = top_k(partial, ["query_id"], [F.col("gain").desc(), F.col(index.key)], pool)
+    return ranked.where(F.col("rank") == pool).select("query_id", F.col("gain").alias("bound"))
+
+
+def sparse_candidates(queries: DataFrame, index: SparseIndex, pool: int, digits: int = 6,
+                      block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(query_id, key, gain) that can be among the best ``pool``, and (query_id, term, qw)
+    that their gains lack. ``queries``: query_id, term, qw.
+
+    1. The blocks of highest impact give each query a lower bound of its last place.
+    2. Terms whose largest gains together stay below it need not be searched; of the others
+       only blocks are, with which and all other terms' largest gains the bound is reached.
+    3. What the sums of 2 and the largest gains of the unsearched terms cannot lift above
+       the raised bound goes.
+    """
+    slack = 10.0 ** -digits
+    peaks = index.levels.groupBy("term").agg(F.max("top").alias("peak"))
+    q = queries.join(peaks, "term").withColumn("most", F.col("qw") * F.col("peak"))
+    upwards = Window.partitionBy("query_id").orderBy("most", "term")  # a query's own terms
+    q = materialize(q.withColumns({"below": F.sum("most").over(upwards),
+                                   "total": F.sum("most").over(Window.partitionBy("query_id"))}))
+    chunks = max(1, -(-queries.select("query_id").distinct().count() // block))
+    # At most some sixty levels a term.
+    at = q.join(index.levels, "term").withColumn("gain", F.col("qw") * F.col("top"))
+    downwards = Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "term", "level")
+    seed = at.withColumn("before", F.sum("n").over(downwards) - F.col("n")).where(F.col("before") < 4 * pool)
+    few = F.least(F.col("parts"), F.ceil(4 * pool * F.col("parts") / F.col("n"))).cast("long")
+    seed = seed.select("query_id", "term", "level", few.alias("parts"), "qw", F.lit(0.0).alias("need"))
+    bound = materialize(_last_place(_visit(seed, index, chunks), index, pool))
+    known = q.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - slack)
+    known = materialize(known.withColumn("searched", F.col("below") >= F.col("bound")))
+    need = F.col("bound") - (F.col("total") - F.col("most"))
+    levels = known.where("searched").withColumn("need", need).join(index.levels, "term").where(
+        F.col("qw") * F.col("top") >= F.col("need"))
+    partial = materialize(_visit(levels.select("query_id", "term", "level", "parts", "qw", "need"), index, chunks))
+    raised = _last_place(partial, index, pool).withColumnRenamed("bound", "raised")
+    left = known.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("searched"), F.col("most"))), F.lit(0.0)).alias("left"),
+                                         F.first("bound").alias("bound"))
+    left = left.join(raised, "query_id", "left")
+    can = partial.join(left, "query_id").where(F.col("gain") + F.col("left") >= F.greatest(
+        F.col("bound"), F.coalesce(F.col("raised") - slack, F.col("bound"))))
+    return can.select("query_id", index.key, "gain"), known.where("not searched").select("query_id", "term", "qw")
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, limit: int = 10, key: str = "doc_id",
-                text_col: str = "text", digits: int = 6, **bounds) -> DataFrame:
+                text_col: str = "text", digits: int = 6, block_rows: int = 1024, **bounds) -> DataFrame:
     """(query_id, key, score, rank): largest dot products of normalized TF-IDF vectors.
 
-    Documents meet queries by term. Term rows of a document are still together when
-    the products are summed, so the sum is mostly done before the shuffle; the rank
-    filter is pushed below the last one.
+    Candidates come from blocks of falling impact with an early stop that loses none; the
+    gains of common terms are looked up for candidates only, by (key, term).
     """
     pool = pool_size(limit)
-    counts = materialize(term_counts(docs, key, text_col))
-    stats = materialize(term_stats(counts, docs.count(), **bounds))
-    # The index: read by the norms and by the products.
-    doc_w = materialize(tfidf_weights(counts, stats, key))
-    query_w = tfidf_weights(term_counts(queries, "query_id", "query_text"), stats, "query_id")
-    query_w = query_w.join(_norms(query_w, "query_id", "qn"), "query_id").select(
-        "query_id", F.col("term").alias("q_term"), (F.col("w") / F.col("qn")).alias("qw"))
-    met = doc_w.join(query_w, F.col("term") == F.col("q_term"))
-    dots = met.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dots.join(_norms(doc_w, key, "dn"), key).select(
-        "query_id", key, F.round(F.col("dot") / F.col("dn"), digits).alias("score"))
+    asked = materialize(term_counts(queries, "query_id", "query_text"))
+    index = SparseIndex(docs, key, text_col, block_rows, lambda stats: asked.select("term").distinct(), **bounds)
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
+    q = tfidf_weights(asked, index.stats, "query_id").withColumn("qn", length)
+    found, lacking = sparse_candidates(q.select("query_id", "term", (F.col("w") / F.col("qn")).alias("qw")), index, pool, digits)
+    found = materialize(found)
+    probes = found.select("query_id", key).join(lacking, "query_id")
+    postings = index.postings(lacking.select("term").distinct())
+    more = probes.join(postings, [key, "term"]).groupBy("query_id", key).agg(
+        F.sum(F.col("qw") * F.col("impact")).alias("more"))
+    scored = found.join(more, ["query_id", key], "left").select(
+        "query_id", key, F.round(F.col("gain") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col(key)], pool)
 
 
