@@ -10,8 +10,10 @@ from clausewise.functions import records, scoring, text
 from clausewise.operators.checks import matched_checks
 from clausewise.operators.ordering import guard_unions, materialize
 
-# More controls than this are not put into the rows; an equi-join on tokens is used.
-MAX_CONTROLS_IN_ROW = 512
+# Controls that a claim's row meets at a time; more are dealt to several blocks.
+CONTROL_BLOCK = 512
+# Characters of all blocks up to which they are sent to every task.
+BROADCAST_CHARS = 16_000_000
 
 
 # --- controls -------------------------------------------------------------------
@@ -25,14 +27,18 @@ def _signals(control_id: Column) -> Column:
 
 
 def prepare_controls(rows: DataFrame, regulations=None) -> DataFrame:
-    """External controls (loosely named columns) as evidence candidates."""
+    """External controls (loosely named columns) as evidence candidates.
+
+    A column ``seq`` of whole numbers is the order of the source, which decides between
+    equals; without one their content does.
+    """
     wanted = {f.lower() for f in ("native_id", "control_id", "normalized_id", "title",
                                   "text", "requirement", "regulation")}
     have = {c.lower() for c in rows.columns}
     for name in wanted - have:
         rows = rows.withColumn(name, F.lit(None).cast("string"))
     picked = records.control_fields()
-    out = rows.select(*[c.alias(n) for n, c in picked.items()]).where(
+    out = rows.select(*[c.alias(n) for n, c in picked.items()], _source_order(rows).alias("seq")).where(
         F.col("requirement") != "")
     out = filter_regulations(out, regulations)
     return out.select(
@@ -43,6 +49,37 @@ def prepare_controls(rows: DataFrame, regulations=None) -> DataFrame:
         F.lit("ground_truth").alias("source"))
 
 
+def _source_order(rows: DataFrame) -> Column:
+    """Place of an external control among equals, behind the built-in ones."""
+    if "seq" in rows.columns:
+        return F.col("seq").cast("bigint") + 1_000_000
+    return F.lit(1_000_000).cast("bigint")
+
+
+def find_words(df: DataFrame, words: list[str], text_col: str = "req_low", out: str = "words") -> DataFrame:
+    """Add ``out``: the words that occur anywhere in the text, found in one pass over it by
+    an automaton of all words, however many there are."""
+    from pyspark.sql import types as T
+
+    words = sorted(set(words))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({w for _, w in automaton.iter(t)}) if t and words else []
+                     for t in batch.column(text_col).to_pylist()]
+            yield batch.append_column(out, pa.array(found, pa.list_(pa.string())))
+
+    return df.mapInArrow(run, schema)
+
+
 def filter_regulations(df: DataFrame, regulations=None) -> DataFrame:
     """Keep the selected regulations; an empty selection keeps everything."""
     chosen = [r.strip() for r in (regulations or []) if r.strip()]
@@ -77,7 +114,7 @@ def control_totals(spark, extra: DataFrame | None = None, regulations=None,
         F.greatest(F.sum("n"), F.lit(1)).cast("int").alias("total_controls"))
 
 
-def _control_structs(controls, regulations) -> Column:
+def _control_structs(controls, regulations, keywords) -> Column:
     """check_id -> candidate structs, all constants."""
     chosen = {r.strip() for r in (regulations or []) if r.strip()}
     by_check: dict[str, list[Column]] = {}
@@ -87,7 +124,7 @@ def _control_structs(controls, regulations) -> Column:
         by_check.setdefault(check, []).append(F.struct(
             F.lit(reg).alias("regulation"), F.lit(cid).alias("control_id"),
             F.lit(title).alias("title"), F.lit(req).alias("requirement"),
-            F.lower(F.lit(req)).alias("req_low"),
+            lexicon.strings([k for k in keywords if k in req.lower()]).alias("words"),
             text.evidence_tokens(F.lit(f"{cid} {title} {req}")).alias("tokens"),
             lexicon.strings(lexicon.CONTROL_SIGNALS.get(cid, ())).alias("signals"),
             F.lit("legacy").alias("source"), F.lit(seq).cast("bigint").alias("seq")))
@@ -98,7 +135,7 @@ def _control_structs(controls, regulations) -> Column:
 
 
 _CANDIDATE = ("array<struct<regulation:string,control_id:string,title:string,"
-              "requirement:string,req_low:string,tokens:array<string>,"
+              "requirement:string,words:array<string>,tokens:array<string>,"
               "signals:array<string>,source:string,seq:bigint>>")
 
 
@@ -120,45 +157,65 @@ def claims_of_clauses(clause: DataFrame, key: str = "doc_id",
     hit = low.where(any_word).withColumn("_tokens", text.evidence_tokens("clause"))
     matched = F.filter(matched_checks(F.col("_low"), specs), lambda c: F.size(c["matched"]) > 0)
     hit = hit.withColumn("_matched", matched)
-    return text.unfold_structs(hit, "_matched", key, "clause_index", "clause", "_low",
+    rows = text.unfold_structs(hit, "_matched", key, "clause_index", "clause", "_low",
                                "_tokens").drop("weight", "n_keywords")
+    # The claims carry the words that they were looked through for.
+    words = sorted({k for _, _, _, kws in specs for k in kws})
+    return rows.withColumn("matched", F.col("matched").alias("matched", metadata={"keywords": words}))
+
+
+def _keywords(claim_rows: DataFrame) -> list[str]:
+    """The words behind ``matched``: what claims() noted, else those of the built-in checks."""
+    noted = claim_rows.schema["matched"].metadata.get("keywords")
+    return list(noted or sorted({k for _, _, _, kws in lexicon.CHECK_SPECS for k in kws}))
+
 
+# --- ranking -----------------------------------------------------------------------
+# What a claim keeps of any set of candidates is a bounded list: the best per control, at
+# most ``per_regulation`` of a regulation, at most ``limit``. Two such lists merge into that
+# of both sets, so blocks of controls can be met one by one, in any order.
 
-def _ranked_in_row(df: DataFrame, candidates: Column, per_regulation: int,
-                   limit: int) -> DataFrame:
-    """Score, deduplicate and cut the candidates of each claim inside its row.
+def _scored(candidates: Column) -> Column:
+    """Candidates with a point per shared token and two per matched keyword."""
+    counted = F.transform(candidates, lambda c: F.struct(
+        F.size(F.array_intersect(c["tokens"], F.col("_tokens"))).alias("shared"),
+        F.size(F.array_intersect(c["words"], F.col("matched"))).alias("overlap"), c.alias("c")))
+    return F.transform(F.filter(counted, lambda x: x["shared"] + x["overlap"] > 0), lambda x: F.struct(
+        x["c"]["regulation"].alias("regulation"), x["c"]["control_id"].alias("control_id"),
+        (-(x["shared"] + 2 * x["overlap"])).cast("double").alias("neg_score"), x["c"]["seq"].alias("seq"),
+        x["c"]["title"].alias("title"), x["c"]["requirement"].alias("requirement"), x["c"]["source"].alias("source"),
+        x["overlap"].alias("overlap"), x["c"]["signals"].alias("signals")))
 
-    Each step compares an array with itself, so Catalyst keeps the steps apart and
-    every array is computed once per row.
+
+def _kept(df: DataFrame, scored: Column, per_regulation: int, limit: int, out: str) -> DataFrame:
+    """Add ``out``: the bounded list of scored candidates, best first.
+
+    Each step compares an array with itself, so Catalyst keeps the steps apart and every
+    array is computed once per row.
     """
-    hits = lambda c: F.size(F.filter(F.col("matched"), lambda k: F.contains(c["req_low"], k)))
-    scored = F.transform(candidates, lambda c: F.struct(
-        c["regulation"].alias("regulation"), c["control_id"].alias("control_id"),
-        (-(F.size(F.array_intersect(c["tokens"], F.col("_tokens"))) + 2 * hits(c)))
-        .cast("double").alias("neg_score"),
-        c["seq"].alias("seq"), c["title"].alias("title"),
-        c["requirement"].alias("requirement"), c["source"].alias("source"),
-        hits(c).alias("overlap"), c["signals"].alias("signals")))
-    step = df.withColumn("_s", F.sort_array(F.filter(scored, lambda c: c["neg_score"] < 0)))
+    step = df.withColumn("_s", F.sort_array(scored))
     # Equal (regulation, control) neighbours: the best one comes first.
     best = F.filter("_s", lambda c, i: (i == 0) | (
         F.struct(c["regulation"], c["control_id"]) != F.struct(
             F.get(F.col("_s"), i - 1)["regulation"], F.get(F.col("_s"), i - 1)["control_id"])))
     step = step.withColumn("_d", F.sort_array(F.transform(best, lambda c: F.struct(
-        (-c["neg_score"]).alias("score"), c["regulation"].alias("regulation"),
-        c["control_id"].alias("control_id"), c["title"].alias("title"),
-        c["requirement"].alias("requirement"), c["source"].alias("source"),
-        c["overlap"].alias("overlap"), c["signals"].alias("signals"))), asc=False))
-    kept = F.filter("_d", lambda c, i: F.size(F.filter(
-        F.slice(F.col("_d"), F.lit(1), i),
-        lambda e: e["regulation"] == c["regulation"])) < per_regulation)
-    return step.withColumn("evidence", F.slice(kept, 1, limit)).drop("_s", "_d")
+        (-c["neg_score"]).alias("score"), *[c[f].alias(f) for f in (
+            "regulation", "control_id", "title", "requirement", "source", "overlap", "signals", "seq")])), asc=False))
+    step = step.withColumn("_r", F.array_distinct(F.transform("_d", lambda c: c["regulation"])))
+    few = F.flatten(F.transform("_r", lambda r: F.slice(
+        F.filter(F.col("_d"), lambda c: c["regulation"] == r), 1, per_regulation)))
+    return step.withColumn(out, F.slice(F.sort_array(few, asc=False), 1, limit)).drop("_s", "_d", "_r")
+
+
+def _again(lists: Column) -> Column:
+    """Lists of kept candidates as scored ones, to be merged."""
+    return F.transform(F.flatten(lists), lambda c: F.struct(
+        c["regulation"].alias("regulation"), c["control_id"].alias("control_id"), (-c["score"]).alias("neg_score"),
+        *[c[f].alias(f) for f in ("seq", "title", "requirement", "source", "overlap", "signals")]))
 
 
-def _external_seq() -> Column:
-    """Place of an external control among equals: behind the built-in ones, by its content
-    (a table has no order of rows)."""
-    return F.xxhash64("title", "requirement").bitwiseAND(F.lit(0x7FFFFFFF)) + 1_000_000
+def _shown(df: DataFrame) -> DataFrame:
+    return df.withColumn("evidence", F.transform("evidence", lambda c: c.dropFields("seq")))
 
 
 def regulation_cap(limit: int) -> int:
@@ -166,99 +223,63 @@ def regulation_cap(limit: int) -> int:
     return max(2, min(5, limit // 3 if limit > 0 else 2))
 
 
+def control_blocks(extra_controls: DataFrame, keywords: list[str], regulations=None,
+                   block: int = CONTROL_BLOCK) -> tuple[DataFrame, int, int]:
+    """(block, controls) rows of about ``block`` external controls, the number of blocks and
+    the characters in all of them. Equal controls count once, as the first of them."""
+    same = ["regulation", "control_id", "title", "requirement"]
+    prepared = prepare_controls(extra_controls, regulations)
+    once = prepared.groupBy(*same).agg(F.min("seq").alias("seq"), *[
+        F.any_value(c).alias(c) for c in ("req_low", "tokens", "signals", "source")])
+    n, chars = prepared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("requirement")), F.lit(0))).first()
+    blocks = max(1, -(-n // block))
+    found = find_words(once, keywords).drop("req_low")
+    one = F.struct("regulation", "control_id", "title", "requirement", "words", "tokens", "signals", "source", "seq")
+    dealt = found.groupBy(F.pmod(F.xxhash64(*same), F.lit(blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(one).cast(_CANDIDATE).alias("_extra"))
+    return dealt, blocks, chars
+
+
 def rank_evidence(claim_rows: DataFrame, extra_controls: DataFrame | None = None,
                   regulations=None, limit: int = 18, controls=lexicon.REGULATION_CONTROLS,
-                  max_in_row: int = MAX_CONTROLS_IN_ROW, key: str = "doc_id") -> DataFrame:
+                  block: int = CONTROL_BLOCK, key: str = "doc_id") -> DataFrame:
     """Add ``evidence``: the best controls for each claim, best first.
 
-    Built-in candidates come from a constant map by check. ``extra_controls`` are
-    candidates for every claim: counted first, and put into the row only when there
-    are few; otherwise :func:`rank_evidence_joined` meets them by shared token.
+    Built-in candidates come from a constant map by check; ``extra_controls`` are
+    candidates for every claim and come in blocks. A single block is read into the rows and
+    nothing is shuffled (streams too); with more, distinct claims meet each block once and
+    their bounded lists are merged. Equals keep the order of the source.
     """
-    cap = regulation_cap(limit)
-    built_in = _control_structs(controls, regulations)
+    cap, keywords = regulation_cap(limit), _keywords(claim_rows)
+    built_in = _control_structs(controls, regulations, keywords)
     empty = F.array().cast(_CANDIDATE)
     candidates = empty if built_in is None else F.coalesce(
         F.try_element_at(built_in, F.col("check_id")).cast(_CANDIDATE), empty)
     if extra_controls is None:
-        return _ranked_in_row(claim_rows, candidates, cap, limit)
-    prepared = prepare_controls(extra_controls, regulations)
-    if prepared.limit(max_in_row + 1).count() > max_in_row:
-        return rank_evidence_joined(claim_rows, prepared, regulations, limit, controls, key)
-    one = F.struct("regulation", "control_id", "title", "requirement", "req_low", "tokens",
-                   "signals", "source", _external_seq().alias("seq"))
-    extra = prepared.agg(F.array_sort(F.collect_list(one)).cast(_CANDIDATE).alias("c"))
-    with_extra = claim_rows.withColumn("_extra", extra.scalar())
-    out = _ranked_in_row(with_extra, F.concat(candidates, F.coalesce(F.col("_extra"), empty)),
-                         cap, limit)
-    return out.drop("_extra")
-
-
-def rank_evidence_joined(claim_rows: DataFrame, prepared: DataFrame, regulations=None,
-                         limit: int = 18, controls=lexicon.REGULATION_CONTROLS,
-                         key: str = "doc_id", salts: int = 16) -> DataFrame:
-    """The same ranking, with the claims' own keywords and the same order of equals, for a
-    control table of any size.
-
-    A positive score needs a shared token or a matched keyword in the requirement,
-    so candidates come from two equi-joins, never from a cross product. Claim tokens
-    are salted against common words; the control side repeats once per salt.
-    """
-    spark = claim_rows.sparkSession
-    cap = regulation_cap(limit)
-    claim_key = [key, "clause_index", "check_id"]
-    numbered = spark.createDataFrame(
-        [(*row, seq) for seq, row in enumerate(controls)],
-        "check_id string, regulation string, control_id string, title string, requirement string, seq bigint")
-    built_in = filter_regulations(numbered, regulations).select(
-        "check_id", "regulation", "control_id", "title", "requirement",
-        F.lower("requirement").alias("req_low"),
-        text.evidence_tokens(F.concat_ws(" ", "control_id", "title", "requirement")).alias(
-            "tokens"),
-        _signals(F.col("control_id")).alias("signals"), F.lit("legacy").alias("source"), "seq")
-    prepared = prepared.withColumn("seq", _external_seq())
-    everything = built_in.transform(guard_unions).unionByName(prepared.withColumn("check_id", F.lit(None).cast("string")))
-    # A control row is identified by its content; repeats score alike and merge later.
-    everything = everything.withColumn("_cid", F.sha1(F.concat_ws(
-        "\u0001", F.coalesce("check_id", F.lit("")), "regulation", "control_id", "title",
-        "requirement", "source"))).dropDuplicates(["_cid"])
-    words = claim_rows.select(F.explode("matched").alias("term")).distinct()
-    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    claim_salt = F.pmod(F.xxhash64(*claim_key), F.lit(salts)).cast("int").alias("_salt")
-
-    def meet(claim_terms: Column, controls_of_terms: DataFrame, points: int) -> DataFrame:
-        left = claim_rows.select(*claim_key, claim_salt, F.explode(claim_terms).alias("term"))
-        right = controls_of_terms.select(F.col("check_id").alias("_only"), "_cid", "term", salt)
-        met = left.join(right, ["term", "_salt"])
-        met = met.where(F.col("_only").isNull() | (F.col("_only") == F.col("check_id")))
-        return met.select(*claim_key, "_cid", F.lit(points).alias("points"),
-                          F.lit(1 if points == 2 else 0).alias("hit"))
-
-    of_tokens = everything.select("check_id", "_cid", F.explode("tokens").alias("term"))
-    # The keywords are as many as the checks have, however many claims there are.
-    of_words = everything.join(words, F.contains("req_low", F.col("term")))
-    pairs = meet(F.col("_tokens"), of_tokens, 1).transform(guard_unions).unionByName(
-        meet(F.col("matched"), of_words, 2))
-    scored = pairs.groupBy(*claim_key, "_cid").agg(
-        F.sum("points").cast("double").alias("score"), F.sum("hit").cast("int").alias("overlap"))
-    slim = scored.join(everything.select("_cid", "regulation", "control_id", "seq", "title", "requirement", "source"), "_cid")
-    by_claim = lambda *more: Window.partitionBy(*claim_key, *more)
-    best_first = [F.col("score").desc(), F.col("regulation").desc(), F.col("control_id").desc(),
-                  "seq", "title", "requirement", "source", "_cid"]
-    one_each = slim.withColumn("_r", F.row_number().over(
-        by_claim("regulation", "control_id").orderBy(*best_first))).where("_r = 1")
-    capped = one_each.withColumn("_r", F.row_number().over(
-        by_claim("regulation").orderBy(*best_first))).where(F.col("_r") <= cap)
-    cut = capped.withColumn("_r", F.row_number().over(by_claim().orderBy(*best_first))).where(
-        F.col("_r") <= limit)
-    full = cut.join(everything.select("_cid", "signals"), "_cid")
-    entry = F.struct("_r", F.struct("score", "regulation", "control_id", "title", "requirement",
-                                    "source", "overlap", "signals").alias("e"))
-    lists = full.groupBy(*claim_key).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
-    lists = lists.select(*claim_key, F.transform("_l", lambda x: x["e"]).alias("evidence"))
-    joined = claim_rows.join(lists, claim_key, "left")
-    empty = F.array().cast(lists.schema["evidence"].dataType)
-    return joined.withColumn("evidence", F.coalesce("evidence", empty))
+        return _shown(_kept(claim_rows, _scored(candidates), cap, limit, "evidence"))
+    dealt, blocks, chars = control_blocks(extra_controls, keywords, regulations, block)
+    if blocks == 1:
+        with_extra = claim_rows.withColumn("_extra", dealt.select("_extra").scalar())
+        both = _scored(F.concat(candidates, F.coalesce(F.col("_extra"), empty)))
+        return _shown(_kept(with_extra, both, cap, limit, "evidence").drop("_extra"))
+    # Evidence hangs on the clause and the check alone; what many documents say is ranked once.
+    same = [F.col("check_id").alias("_check"), F.md5("clause").alias("_clause")]
+    claim_rows = claim_rows.select("*", *same)
+    once = claim_rows.groupBy("_check", "_clause").agg(
+        *[F.any_value(c).alias(c) for c in ("check_id", "_tokens", "matched")])
+    dealt = materialize(dealt)
+    each = once.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if chars <= BROADCAST_CHARS:
+        met = each.join(F.broadcast(dealt), "_block")
+    else:
+        salts = 64
+        met = each.withColumn("_salt", F.pmod(F.xxhash64("_clause"), F.lit(salts)).cast("int")).join(
+            dealt.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_block", "_salt"])
+    met = met.withColumn("_own", F.when(F.col("_block") == 0, candidates).otherwise(empty))
+    lists = _kept(met, _scored(F.concat("_own", "_extra")), cap, limit, "_list").groupBy("_check", "_clause").agg(
+        F.collect_list("_list").alias("_lists"))
+    merged = _kept(lists, _again(F.col("_lists")), cap, limit, "evidence").drop("_lists")
+    return _shown(claim_rows.join(merged, ["_check", "_clause"]).drop("_check", "_clause"))
 
 
 def with_verdicts(evidence_rows: DataFrame) -> DataFrame:
@@ -392,8 +413,8 @@ def retrieve_with_fallback(claim_rows: DataFrame, hits: DataFrame, extra_control
     """
     cap = regulation_cap(limit)
     found = filter_regulations(hits, regulations)
-    cand = F.struct("regulation", "control_id", "title", "requirement",
-                    F.lower("requirement").alias("req_low"),
+    found = find_words(found.withColumn("req_low", F.lower("requirement")), _keywords(claim_rows))
+    cand = F.struct("regulation", "control_id", "title", "requirement", "words",
                     text.evidence_tokens(F.concat_ws(" ", "control_id", "title", "requirement"))
                     .alias("tokens"), _signals(F.col("control_id")).alias("signals"),
                     F.lit("vector").alias("source"),
@@ -403,8 +424,8 @@ def retrieve_with_fallback(claim_rows: DataFrame, hits: DataFrame, extra_control
         F.array_sort(F.collect_list(cand)).cast(_CANDIDATE).alias("_hits"))
     empty = F.array().cast(_CANDIDATE)
     joined = claim_rows.join(lists, [key, "clause_index"], "left")
-    by_vector = _ranked_in_row(joined, F.coalesce(F.col("_hits"), empty), cap, limit).drop("_hits")
-    by_vector = by_vector.withColumnRenamed("evidence", "_vector")
+    by_vector = _kept(joined, _scored(F.coalesce(F.col("_hits"), empty)), cap, limit, "evidence").drop("_hits")
+    by_vector = _shown(by_vector).withColumnRenamed("evidence", "_vector")
     both = rank_evidence(by_vector, extra_controls, regulations, limit, key=key)
     return both.withColumn("evidence", F.when(F.size("_vector") > 0, F.col("_vector"))
                            .otherwise(F.col("evidence"))).drop("_vector")

@@ -311,6 +311,7 @@ def ground_truth_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ctl-"), k.cast("string")).alias("control_id"),
         F.when(k % 4 == 1, "").otherwise(F.col("n_name")).alias("title"),
         F.when(k == 7, "").otherwise(pick(PHRASES, k + 2)).alias("text"),
+        k.alias("seq"),
     )
 
 

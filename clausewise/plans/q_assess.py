@@ -51,6 +51,23 @@ def ranked_evidence(spark, sf):
                     "score", "source")
 
 
+#: Checks of one's own: words that the built-in ones lack, one inside another.
+OWN_SPECS = (
+    ("own_choice", "Choice", 10.0, ("opt in", "opt", "withdraw", "permission settings")),
+    ("own_incident", "Incidents", 10.0, ("breach", "72 hours", "breach reports", "response team")),
+    ("own_disposal", "Disposal", 5.0, ("disposal", "archive", "storage period", "retention")),
+)
+
+
+def ranked_evidence_parts(spark, sf):
+    """Every part as a control, in blocks, against claims of one's own checks."""
+    claims = assess.claims(I.policy_docs(spark, sf), specs=OWN_SPECS)
+    parts = I.part_controls(spark, sf).withColumn("seq", F.col("partkey"))
+    v = assess.verdict_rows(assess.with_verdicts(assess.rank_evidence(claims, parts)))
+    return v.select("doc_id", "clause_index", "check_id", "rank", "regulation", "control_id", "control_title",
+                    "score", "source", "compliant")
+
+
 def verdicts(spark, sf):
     v = assess.verdict_rows(_claims(spark, sf), wording=True)
     return v.select("doc_id", "clause_index", "check_id", "rank", "regulation", "control_id",
@@ -111,6 +128,7 @@ QUERIES = {
     "clauses": clauses, "check_scores": check_scores, "clause_evidence": clause_evidence,
     "schema_fields": schema_fields, "schema_alignment": schema_alignment,
     "policy_schema_score": policy_schema_score, "ranked_evidence": ranked_evidence,
+    "ranked_evidence_parts": ranked_evidence_parts,
     "verdicts": verdicts, "verdicts_one_regulation": verdicts_one_regulation,
     "running_verdicts": running_verdicts, "regulation_summary": regulation_summary,
     "policy_score": policy_score, "available_regulations": available_regulations,
@@ -272,6 +290,25 @@ SELECT b.band, count(s) AS count,
 FROM (VALUES ('low'), ('medium'), ('high')) b(band) LEFT JOIN banded USING (band) GROUP BY b.band""",
     "ranked_evidence": f"""{_V}
 SELECT doc_id, clause_index, check_id, rank, regulation, control_id, score::DOUBLE AS score, source FROM verdicts""",
+    "ranked_evidence_parts": f"""WITH {I.POLICY_DOCS}, {I.CLAUSES}, {I.PART_CONTROLS}, {I.SIGNALS},
+own(check_seq, check_id, keywords) AS (VALUES {I.sql_rows((i, c, list(k)) for i, (c, _, _, k) in enumerate(OWN_SPECS))}),
+said AS (SELECT clause, check_id, list_filter(keywords, lambda k: contains(lower(clause), k)) AS matched,
+    list_distinct(regexp_extract_all(lower(clause), '[a-z0-9]{{3,}}')) AS tokens
+  FROM (SELECT DISTINCT clause FROM clauses), own),
+parts AS (SELECT trim(regulation) AS regulation, native_id AS control_id,
+    CASE WHEN title = '' THEN native_id ELSE title END AS title, text AS requirement, partkey,
+    list_distinct(regexp_extract_all(lower(native_id || ' ' || CASE WHEN title = '' THEN native_id ELSE title END || ' ' || text), '[a-z0-9]{{3,}}')) AS ctokens
+  FROM part_controls),
+s0 AS (SELECT clause, check_id, p.* EXCLUDE (ctokens), tokens, ctokens, len(list_filter(matched, lambda k: contains(lower(requirement), k))) AS overlap
+  FROM said, parts p WHERE len(matched) > 0),
+s1 AS (SELECT * EXCLUDE (tokens, ctokens), len(list_intersect(tokens, ctokens)) + 2 * overlap AS score FROM s0),
+s2 AS (SELECT * FROM s1 WHERE score > 0 QUALIFY row_number() OVER (
+  PARTITION BY clause, check_id, regulation ORDER BY score DESC, control_id DESC, partkey) <= 5),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY clause, check_id ORDER BY score DESC, regulation DESC, control_id DESC) AS rank FROM s2)
+SELECT doc_id, clause_index, check_id, rank, regulation, control_id, title AS control_title, score::DOUBLE AS score,
+  'ground_truth' AS source, overlap >= 2 OR (overlap >= 1 AND
+    len(list_filter(coalesce(signals, []), lambda x: contains(lower(clause), x))) > 0) AS compliant
+FROM clauses JOIN s3 USING (clause) LEFT JOIN signals USING (control_id) WHERE rank <= 18""",
     "verdicts": f"""{_V}
 SELECT doc_id, clause_index, check_id, rank, regulation, control_id, title AS control_title, compliant,
   'Clause ' || CASE WHEN compliant THEN 'satisfies' ELSE 'does not satisfy' END || ' ' || control_id

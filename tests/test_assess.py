@@ -42,8 +42,8 @@ def test_evidence_matches_brute_force_in_both_forms(spark):
     extra = ground(spark, 30)
     plain = [tuple(r) for r in extra.collect()]
     rows = assess.claims(docs(spark))
-    for bound in (512, 3):  # in the row, and by join
-        got = assess.rank_evidence(rows, extra, max_in_row=bound).collect()
+    for block in (512, 7, 1):  # one block of controls, and several
+        got = assess.rank_evidence(rows, extra, block=block).collect()
         assert got
         for r in got:
             want = brute_force(r["clause"], r["check_id"], r["matched"], plain)
@@ -52,8 +52,8 @@ def test_evidence_matches_brute_force_in_both_forms(spark):
 
 def test_verdicts_agree_between_forms(spark):
     rows = assess.claims(docs(spark))
-    flat = lambda bound: sorted(map(tuple, assess.verdict_rows(assess.with_verdicts(
-        assess.rank_evidence(rows, ground(spark), max_in_row=bound))).select(
+    flat = lambda block: sorted(map(tuple, assess.verdict_rows(assess.with_verdicts(
+        assess.rank_evidence(rows, ground(spark), block=block))).select(
         "doc_id", "clause_index", "check_id", "rank", "control_id", "compliant").collect()))
     assert flat(512) == flat(2)
 
@@ -66,11 +66,49 @@ def test_large_control_tables_take_the_claims_own_keywords(spark):
     extra = [("GDPR", f"c{i % 5}", f"title {i}", ("a quilted zebra crossing " if i % 2 else "maps and ") + "rule" * (i % 7))
              for i in range(513)]
     d = spark.createDataFrame([*extra, extra[0], extra[1]], "regulation string, native_id string, title string, text string")
-    few, many = ([[e.asDict() for e in r["evidence"]] for r in assess.rank_evidence(rows, d, max_in_row=bound).collect()]
-                 for bound in (10 ** 6, 512))
+    few, many = ([[e.asDict() for e in r["evidence"]] for r in assess.rank_evidence(rows, d, block=block).collect()]
+                 for block in (10 ** 6, 100))
     assert few == many and max(e["overlap"] for e in many[0]) == 2
 
 
+def test_equals_keep_the_order_of_the_source(spark):
+    """The same id and score twice: the first row of the source is the evidence."""
+    rows = assess.claims(docs(spark))
+    extra = [("GDPR", "same", f"title {chr(122 - i)}", "consent and notice", i) for i in range(20)]
+    d = spark.createDataFrame(extra, "regulation string, native_id string, title string, text string, seq int")
+    for block in (512, 3):
+        for turn, first in ((F.col("seq"), "title z"), (-F.col("seq"), "title g")):
+            got = assess.rank_evidence(rows, d.withColumn("seq", turn).repartition(7), block=block).collect()
+            shown = {e["title"] for r in got for e in r["evidence"] if e["control_id"] == "same"}
+            assert shown == {first}
+
+
+def test_bounded_lists_merge(spark):
+    """Lists of parts of the candidates, merged, are the list of all candidates."""
+    import random
+
+    r = random.Random(2)
+    one = lambda: (r.choice("AB"), f"c{r.randint(0, 6)}", -float(r.randint(1, 4)), r.randint(0, 50), "t", "q", "s", 1, [])
+    schema = ("array<struct<regulation:string,control_id:string,neg_score:double,seq:bigint,title:string,requirement:string,"
+              "source:string,overlap:int,signals:array<string>>>")
+    rows = [([one() for _ in range(r.randint(0, 12))], [one() for _ in range(r.randint(0, 12))]) for _ in range(200)]
+    df = spark.createDataFrame(rows, f"a {schema}, b {schema}")
+    for name, col in (("ka", F.col("a")), ("kb", F.col("b")), ("both", F.concat("a", "b"))):
+        df = assess._kept(df, col, 2, 3, name)
+    df = assess._kept(df, assess._again(F.array("ka", "kb")), 2, 3, "merged")
+    for x in df.select("both", "merged").collect():
+        assert x["both"] == x["merged"]
+
+
+def test_automaton_finds_all_words(spark):
+    words = ["a", "ab", "abc", "bc", "opt in", "é"]
+    texts = ["xabcx", "opt  in opt in", "é", "", None, "zzz"]
+    df = spark.createDataFrame([(t,) for t in texts], "req_low string")
+    for t, found in assess.find_words(df, words).collect():
+        assert found == sorted(w for w in words if t and w in t)
+    assert all(f == [] for _, f in assess.find_words(df, []).collect())
+
+
 def test_policy_scores_and_selection(spark):
     out = {r["doc_id"]: r for r in assess.assess_policies(docs(spark)).collect()}
     assert out[1]["overall_score"] > out[2]["overall_score"]
