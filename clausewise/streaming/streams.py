@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from clausewise.functions import text
+from clausewise import lexicon
+from clausewise.functions import scoring, text
 from clausewise.operators import assess, metrics
-from clausewise.sources.writers import append_history
+from clausewise.operators.checks import matched_checks
+from clausewise.sources.ledger import BucketedTable, append_batch
 from clausewise.operators.ordering import guard_unions
 
 
@@ -52,6 +59,197 @@ def stream_assess(docs: DataFrame, regulations=None, text_col: str = "policy_tex
         events.select(key, "clause_index", "check_seq", "rank", "e.*", blank.alias("clause")))
 
 
+# --- events with state ---------------------------------------------------------------
+
+_EVENT = ("clauses_total int, clause_index int, step int, event string, stage string, check_id string, "
+          "check_title string, regulation string, control_id string, control_title string, compliant boolean, "
+          "evidence_source string, evidence_score double, predicted_label string, confidence double, note string")
+#: Events as they are given out: numbered within the document, with running and final counts.
+EVENTS = ("seq int, " + _EVENT.replace(" step int,", "") + ", regulation_pass int, regulation_fail int, "
+          "claims_generated int, pass_count int, fail_count int, total_controls int, labels_represented int, "
+          "avg_confidence double")
+
+
+def clause_events(clauses: DataFrame, classify: Callable[[DataFrame], DataFrame] | None = None, extra_controls=None,
+                  regulations=None, key: str = "doc_id", specs=lexicon.CHECK_SPECS, note_chars: int = 140) -> DataFrame:
+    """Unnumbered events of clauses: a clause's start, its label, its checks and verdicts.
+
+    ``clauses``: key, clauses_total, clause_index (null: a document without clauses) and
+    clause. ``classify`` adds predicted_label and confidence to them. Each event is made in
+    its clause's row, so streams and tables are read once.
+    """
+    clauses = clauses.withColumn("clause", F.coalesce("clause", F.lit("")))
+    c = classify(clauses) if classify else clauses.withColumns(
+        {"predicted_label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    c = c.withColumns({"_low": F.lower("clause"), "_tokens": text.evidence_tokens("clause")})
+    found = F.filter(matched_checks(F.col("_low"), specs), lambda m: F.size(m["matched"]) > 0)
+    rows = c.withColumn("_found", found)
+    rows = rows.select(*[x for x in rows.columns if x != "_found"], F.posexplode_outer("_found").alias("_nth", "_m"))
+    words = sorted({k for _, _, _, kws in specs for k in kws})
+    rows = rows.select("*", *[F.col(f"_m.{f}").alias(f) for f in ("check_seq", "check_id", "check_title")],
+                       F.col("_m.matched").alias("matched", metadata={"keywords": words})).drop("_m")
+    rows = assess.with_verdicts(assess.rank_evidence(rows, extra_controls, regulations, key=key))
+    types = {f.name: f.dataType for f in _schema(_EVENT).fields}
+
+    def event(name, stage, **fields):
+        have = {"event": F.lit(name), "stage": F.lit(stage), **fields}
+        return F.struct(*[have.get(f, F.lit(None)).cast(types[f]).alias(f) for f in types
+                          if f not in ("clauses_total", "clause_index", "step")])
+
+    opened = [event("clause_start", "read_claim", note=F.substring("clause", 1, note_chars))]
+    labelled = F.array(*opened, event("classification_complete", "classify_claim", predicted_label=F.col("predicted_label"),
+                                      confidence=F.round("confidence", 6)))
+    first = F.when(F.col("clause_index").isNull(), F.array(event("no_clauses", "read_claim"))).when(
+        F.coalesce("_nth", F.lit(0)) > 0, F.array().cast(labelled_type := "array<struct<" + ",".join(
+            f"{f}:{t.simpleString()}" for f, t in types.items() if f not in ("clauses_total", "clause_index", "step")) + ">>")).otherwise(
+        labelled if classify else F.array(*opened))
+    checked = F.when(F.col("check_id").isNotNull(), F.array(event(
+        "check_match", "match_checks", check_id=F.col("check_id"), check_title=F.col("check_title"),
+        note=F.concat_ws("|", "matched")))).otherwise(F.array().cast(labelled_type))
+    judged = F.transform("verdicts", lambda v: event(
+        "verdict_complete", "score_controls", check_id=F.col("check_id"), check_title=F.col("check_title"),
+        regulation=v["regulation"], control_id=v["control_id"], control_title=v["control_title"], compliant=v["compliant"],
+        evidence_source=v["source"], evidence_score=F.round(v["score"], 6)))
+    out = text.unfold(rows.select(key, "clauses_total", "clause_index", F.coalesce("_nth", F.lit(0)).alias("_nth"),
+                                  F.concat(first, checked, judged).alias("_e")), "_e", "_pos", "_v")
+    step = (F.col("_nth") * 10_000 + F.col("_pos")).cast("int").alias("step")
+    return out.select(key, F.col("clauses_total").cast("int").alias("clauses_total"),
+                      F.col("clause_index").cast("int").alias("clause_index"), step, "_v.*")
+
+
+def _schema(ddl: str):
+    from pyspark.sql import types as T
+
+    return T.StructType.fromDDL(ddl)
+
+
+class AssessmentState(StatefulProcessor):
+    """What a document's assessment has come to, while its clauses arrive.
+
+    One value per document: the next clause, events and claims so far, passes and fails per
+    regulation, labels, and clauses that came before their turn. It is gone once the last
+    clause has been judged; a document that arrives whole never writes it.
+    """
+
+    def __init__(self, key: str, totals: dict[str, int], provider: str = "local"):
+        self.key, self.totals, self.provider = key, totals, provider
+        self.columns = _schema(EVENTS).names
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("assessment", "body string")
+
+    def handleInputRows(self, key, rows, timers):
+        pdf = pd.concat(list(rows), ignore_index=True)
+        kept = self.state.exists()
+        s = json.loads(self.state.get()[0]) if kept else {
+            "next": 0, "seq": 0, "claims": 0, "tally": {}, "labels": [], "sum": 0.0, "n": 0, "held": {}}
+        pdf = pdf.drop(columns=[self.key])
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        total, out = int(pdf["clauses_total"].iloc[0]), []
+        for r in pdf.to_dict("records"):
+            index = r["clause_index"]
+            r |= {"clauses_total": total, "clause_index": None if index is None else int(index)}
+            s["held"].setdefault(str(int(index or 0)), []).append(r)
+        if not s["seq"]:
+            self._emit(s, out, event="start", stage="read_claim", clauses_total=total, evidence_source=self.provider,
+                       note="|".join(sorted(self.totals)))
+        while str(s["next"]) in s["held"]:
+            events = sorted(s["held"].pop(str(s["next"])), key=lambda r: r["step"])
+            for r in events:
+                self._take(s, r, out)
+            s["next"] += 1
+        done = s["next"] >= max(total, 1)
+        if done:
+            self._complete(s, out, total)
+            if kept:
+                self.state.clear()
+        else:
+            self.state.update((json.dumps(s, default=lambda x: x.item()),))
+        frame = pd.DataFrame(out, columns=self.columns, dtype=object)
+        frame = frame.where(frame.notna(), None)
+        frame.insert(0, self.key, key[0])
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+    def _emit(self, s, out, **fields):
+        out.append({"seq": s["seq"], **fields})
+        s["seq"] += 1
+
+    def _take(self, s, r, out):
+        if r["event"] == "no_clauses":
+            return
+        more = {}
+        if r["event"] == "check_match":
+            s["claims"] += 1
+        elif r["event"] == "classification_complete":
+            s["labels"] = sorted({*s["labels"], r["predicted_label"]})
+            s["sum"], s["n"] = s["sum"] + r["confidence"], s["n"] + 1
+        elif r["event"] == "verdict_complete":
+            tally = s["tally"].setdefault(r["regulation"], [0, 0])
+            tally[0 if r["compliant"] else 1] += 1
+            more = {"regulation_pass": tally[0], "regulation_fail": tally[1]}
+        self._emit(s, out, **r, **more)
+
+    def _complete(self, s, out, total):
+        passed, failed = (sum(t[i] for t in s["tally"].values()) for i in (0, 1))
+        known = {"labels_represented": len(s["labels"]), "avg_confidence": s["sum"] / s["n"]} if s["n"] else {}
+        self._emit(s, out, event="complete", stage="finalize", clauses_total=total, claims_generated=s["claims"],
+                   pass_count=passed, fail_count=failed, total_controls=sum(self.totals.values()), **known)
+
+
+def stream_events(docs: DataFrame, classify=None, extra_controls=None, regulations=None, text_col: str = "policy_text",
+                  key: str = "doc_id", specs=lexicon.CHECK_SPECS) -> DataFrame:
+    """All events of arriving documents, in order: start, clause_start, classification_complete,
+    check_match, verdict_complete with running passes and fails, complete with the score."""
+    d = text.with_clauses(docs.select(key, text_col), text_col, "_c").drop(text_col)
+    clauses = d.select(key, F.size("_c").alias("clauses_total"), F.posexplode_outer("_c").alias("clause_index", "clause"))
+    return stream_clause_events(clauses, classify, extra_controls, regulations, key, specs)
+
+
+def stream_clause_events(clauses: DataFrame, classify=None, extra_controls=None, regulations=None,
+                         key: str = "doc_id", specs=lexicon.CHECK_SPECS) -> DataFrame:
+    """The same for clauses (key, clauses_total, clause_index, clause) that may arrive in any
+    order and over many batches; a document's events wait for its next clause.
+
+    Needs a state store with column families (``with_state_store``).
+    """
+    spark = clauses.sparkSession
+    # A row per regulation; their number is that of the regulations, not of the data.
+    totals = {r["regulation"]: r["total_controls"] for r in
+              assess.control_totals(spark, extra_controls, regulations).collect()}
+    events = clause_events(clauses, classify, extra_controls, regulations, key, specs)
+    schema = f"`{key}` {clauses.schema[key].dataType.simpleString()}, {EVENTS}"
+    counted = events.groupBy(key).transformWithStateInPandas(
+        AssessmentState(key, totals), outputStructType=schema, outputMode="Append", timeMode="None")
+    done = F.col("event") == "complete"
+    raw = F.when(F.col("total_controls") > 0, F.col("pass_count") / F.col("total_controls") * 100).otherwise(0.0)
+    signal = F.round(F.least(F.lit(3.0), F.col("labels_represented"))
+                     + F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col("avg_confidence") * 2.0)), 2)
+    scored = counted.withColumn("overall_score", F.when(done, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(raw, 2)))))
+    return scored.withColumns({"grade": F.when(done, scoring.grade("overall_score")),
+                               "status": F.when(done, scoring.status("overall_score")),
+                               "model_signal": F.when(done, signal)}).drop("labels_represented", "avg_confidence")
+
+
+class with_state_store:
+    """For the time of a stream's run, the state store that operators with state need."""
+
+    SETTING = "spark.sql.streaming.stateStore.providerClass"
+    STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def __init__(self, spark):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.before = self.conf.get(self.SETTING, None)
+        self.conf.set(self.SETTING, self.STORE)
+
+    def __exit__(self, *_):
+        self.conf.set(self.SETTING, self.before) if self.before else self.conf.unset(self.SETTING)
+
+
 def complete_per_batch(docs: DataFrame, path: str, checkpoint: str, extra_controls=None,
                        regulations=None, **options):
     """Document scores of a stream, appended batch by batch.
@@ -87,9 +285,15 @@ def stream_score(observations: DataFrame, specs: DataFrame) -> DataFrame:
     return metrics.score_observations(observations, specs).drop("_adjusted")
 
 
-def stream_append_runs(runs: DataFrame, path: str, checkpoint: str):
-    """Each finished run appended to the history."""
-    return runs.writeStream.foreachBatch(lambda batch, _id: append_history(batch, path)).option(
+def stream_append_runs(runs: DataFrame, path: str, checkpoint: str, source: str = "runs"):
+    """Each finished run appended to the history once, however often its batch is tried."""
+    return runs.writeStream.foreachBatch(lambda batch, number: append_batch(batch, path, source, number)).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_upsert(rows: DataFrame, table: BucketedTable, checkpoint: str, source: str = "chunks"):
+    """Arriving rows into a keyed table, each batch once."""
+    return rows.writeStream.foreachBatch(lambda batch, number: table.upsert(batch, source, number)).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
