@@ -106,6 +106,36 @@ def running_count(df: DataFrame, group: list[str], order: str, counts: dict[str,
                                   for i, f in enumerate(flags)])
 
 
+def in_blocks(df: DataFrame, group: list[str], order: str, block_rows: int = 50_000) -> DataFrame:
+    """Rows dealt by group and, in long groups, by range of an integer order: one shuffle,
+    after which ``scan_last`` moves nothing but one row per block."""
+    df = df.withColumn("_block", F.floor(F.col(order) / block_rows))
+    return df.repartition(*group, "_block")
+
+
+def scan_last(df: DataFrame, group: list[str], order: str, states: dict[str, Column],
+              before: tuple[str, ...] = ()) -> DataFrame:
+    """Add, per row of ``in_blocks``, the latest non-null value of each state up to the row;
+    for those named in ``before``, up to the row in front of it.
+
+    "The latest of two" is associative, so a block is summed up by its last values, and the
+    blocks' summaries are composed in order; all states share the one pass.
+    """
+    names = list(states)
+    df = df.withColumns({f"_x{i}": states[n] for i, n in enumerate(names)})
+    inside = Window.partitionBy(*group, "_block").orderBy(order)
+    upto = lambda n: inside.rowsBetween(Window.unboundedPreceding, -1 if n in before else 0)
+    ends = df.groupBy(*group, "_block").agg(*[
+        F.max_by(f"_x{i}", F.when(F.col(f"_x{i}").isNotNull(), F.col(order))).alias(f"_e{i}") for i in range(len(names))])
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*group, "_block", *[
+        F.last(f"_e{i}", ignorenulls=True).over(earlier).alias(f"_c{i}") for i in range(len(names))])
+    rows = df.select("*", *[F.last(f"_x{i}", ignorenulls=True).over(upto(n)).alias(f"_l{i}") for i, n in enumerate(names)])
+    keep = [c for c in df.columns if c not in {f"_x{i}" for i in range(len(names))}]
+    return rows.join(carried, [*group, "_block"]).select(
+        *keep, *[F.coalesce(f"_l{i}", f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int,
           out: str = "rank") -> DataFrame:
     """Best k rows per group. The rank filter is pushed below the shuffle (window

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clausewise import lexicon
 from clausewise.functions import text
 from clausewise.functions.records import LINE_BREAK
-from clausewise.operators.ordering import guard_unions, materialize, running_count
+from clausewise.operators.ordering import in_blocks, running_count, scan_last
 
 
 def _any_of(words, where: str) -> str:
@@ -57,15 +57,25 @@ def drop_toc_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return lines.where(~is_toc(column))
 
 
+def _scope(clean: Column) -> Column:
+    return clean.rlike(r"(?i)^1[.)\s]+Scope\s*$") & ~is_toc(clean)
+
+
 def body_start(lines: DataFrame) -> DataFrame:
     """Lines from the first ``1 Scope`` heading on; all lines where there is none."""
-    clean = text.strip_invisible("line")
-    scope = clean.rlike(r"(?i)^1[.)\s]+Scope\s*$") & ~is_toc(clean)
     starts = lines.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(scope, F.col("line_no"))), F.lit(0)).alias("_start"))
+        F.coalesce(F.min(F.when(_scope(text.strip_invisible("line")), F.col("line_no"))), F.lit(0)).alias("_start"))
     return lines.join(starts, "doc_id").where(F.col("line_no") >= F.col("_start")).drop("_start")
 
 
+def _body_blocks(blocks: DataFrame) -> DataFrame:
+    """The same for rows of in_blocks with ``clean``: starts come from one row per block."""
+    starts = blocks.groupBy("doc_id", "_block").agg(F.min(F.when(_scope(F.col("clean")), F.col("line_no"))).alias("_s"))
+    starts = starts.select("doc_id", "_block", F.coalesce(
+        F.min("_s").over(Window.partitionBy("doc_id")), F.lit(0)).alias("_start"))
+    return blocks.join(starts, ["doc_id", "_block"]).where(F.col("line_no") >= F.col("_start")).drop("_start")
+
+
 def _joined(value, order: str = "line_no", sep: str = " ") -> Column:
     """Values of a group in line order, as one string."""
     items = F.array_sort(F.collect_list(F.struct(order, text.col(value).alias("v"))))
@@ -89,78 +99,95 @@ def _record(df: DataFrame, regulation: Column, confidence: float, profile: str,
         F.col("seq"))
 
 
+def _parts(rows: DataFrame, section: dict[str, Column], part: Column, number: Column, body: Column,
+           piece: Column) -> DataFrame:
+    """Lines of in_blocks into one row per section: its columns and ``_parts``, an array of
+    (at, number, pieces, lines, seq) in order; ``at`` is null before the first opener.
+
+    Lines are gathered inside their block first; what moves once more are whole parts.
+    """
+    line = F.when(body, F.struct(F.col("line_no").alias("no"), piece.alias("piece"), F.col("line").alias("line")))
+    inner = rows.withColumns({"_sec": section["at"], "_at": part, "_number": number}).groupBy(
+        "doc_id", "_block", "_sec", "_at").agg(
+        F.max("_number").alias("_number"), F.array_sort(F.collect_list(line)).alias("_lines"),
+        *[F.max(c).alias(n) for n, c in section.items() if n != "at"])
+    names = [n for n in section if n != "at"]
+    inner = inner.repartition("doc_id", "_sec")
+    whole = inner.groupBy("doc_id", "_sec", "_at").agg(
+        F.max("_number").alias("number"), F.array_sort(F.flatten(F.collect_list("_lines"))).alias("lines"),
+        *[F.max(n).alias(n) for n in names])
+    one = F.struct(F.col("_at").alias("at"), "number", F.transform("lines", lambda x: x["piece"]).alias("pieces"),
+                   F.transform("lines", lambda x: x["line"]).alias("lines"), F.get("lines", F.lit(0))["no"].alias("seq"))
+    return whole.groupBy("doc_id", "_sec").agg(
+        F.sort_array(F.collect_list(one)).alias("_parts"), *[F.max(n).alias(n) for n in names])
+
+
 def extract_articles(lines: DataFrame, regulation: str = "GDPR",
-                     source_document_id: str = "gdpr-2016_679") -> DataFrame:
-    """``CHAPTER R`` / ``Article N`` headed text into articles and numbered sub-clauses."""
-    base = lines.select("doc_id", "line_no", text.strip("line").alias("line"))
+                     source_document_id: str = "gdpr-2016_679", block_rows: int = 50_000) -> DataFrame:
+    """``CHAPTER R`` / ``Article N`` headed text into articles and numbered sub-clauses.
+
+    A scan in two steps over blocks of lines: which header and which chapter each line is
+    under and whether it is the first after a header; then the titles and open sub-clauses.
+    """
+    # Header and sub-clause patterns.
     chapter = F.regexp_extract("line", r"^CHAPTER\s+([IVXLC]+)$", 1)
     article = F.regexp_extract("line", r"^Article\s+(\d+)$", 1)
-    base = base.withColumn("_chapter", chapter).withColumn("_article", article)
-    base = base.withColumn("_header", (F.col("_chapter") != "") | (F.col("_article") != ""))
-    base = base.withColumn("_is_chapter", F.col("_chapter") != "")
-    # Read by the sections and by their bodies, so it is computed once.
-    numbered = materialize(running_count(base, ["doc_id"], "line_no",
-                                         {"_header": "_sec", "_is_chapter": "_chap"}))
-    noise = is_noise("line", "articles")
-    # Per section: its header, and the first usable line after it (the title).
-    first_any = F.min(F.when(~F.col("_header") & (F.col("line") != ""), F.col("line_no")))
-    first_clean = F.min(F.when(~F.col("_header") & ~noise, F.col("line_no")))
-    sections = numbered.where(F.col("_sec") > 0).groupBy("doc_id", "_sec").agg(
-        F.max("_article").alias("article"), F.max("_chapter").alias("chapter_no"),
-        F.max("_chap").alias("_chap"),
-        first_clean.alias("_title_line"),
-        F.min_by(F.when(~F.col("_header") & ~noise, F.col("line")),
-                 F.when(~F.col("_header") & ~noise, F.col("line_no"))).alias("title"),
-        F.min_by(F.when(~F.col("_header") & (F.col("line") != ""), F.col("line")),
-                 F.when(~F.col("_header") & (F.col("line") != ""), F.col("line_no")))
-        .alias("chapter_title"), F.min("line_no").alias("seq"))
-    chapters = sections.where(F.col("chapter_no") != "").select(
-        "doc_id", "_chap", F.concat(F.lit("CHAPTER "), "chapter_no").alias("chapter"),
-        F.coalesce("chapter_title", F.lit("")).alias("chapter_title"))
-    articles = (sections.where(F.col("article") != "").drop("chapter_title")
-                .join(chapters, ["doc_id", "_chap"], "left")
-                .select("doc_id", "_sec", "article", "title", "_title_line",
-                        F.coalesce("chapter", F.lit("")).alias("chapter"),
-                        F.coalesce("chapter_title", F.lit("")).alias("chapter_title"), "seq"))
-    body = (numbered.where(~F.col("_header") & ~noise & (F.col("_sec") > 0))
-            .select("doc_id", "line_no", "line", "_sec")
-            .join(articles.select("doc_id", "_sec", "_title_line"), ["doc_id", "_sec"])
-            .where(F.col("line_no") > F.col("_title_line")))
-    parts = split_subclauses(body, ["doc_id", "_sec"])
+    opener = r"^(\d+)\.\s+(.*)$"
+    base = in_blocks(lines.select("doc_id", "line_no", text.strip("line").alias("line")), ["doc_id"], "line_no", block_rows)
+    base = base.withColumns({"_chapter": chapter, "_article": article, "_noise": is_noise("line", "articles"),
+                             "_num": F.regexp_extract("line", opener, 1)})
+    is_chapter, is_article = F.col("_chapter") != "", F.col("_article") != ""
+    header = is_chapter | is_article
+    usable, told = ~header & ~F.col("_noise"), ~header & (F.col("line") != "")
+    first = scan_last(base, ["doc_id"], "line_no", {
+        "_head": F.when(header, F.struct(F.col("line_no").alias("at"), F.col("_article").alias("article"))),
+        "_chap": F.when(is_chapter, F.col("_chapter")),
+        "_after_article": F.when(header | usable, is_article),
+        "_after_chapter": F.when(header | told, is_chapter)}, before=("_after_article", "_after_chapter"))
+    title, chapter_title = usable & F.col("_after_article"), told & F.col("_after_chapter")
+    none = lambda t: F.lit(None).cast(t)
+    inside = F.col("_head.article") != ""
+    second = scan_last(first, ["doc_id"], "line_no", {
+        "_title": F.when(header, F.struct(none("string").alias("line"))).when(title, F.struct("line")),
+        "_ctitle": F.when(is_chapter, F.lit("")).when(chapter_title, F.col("line")),
+        "_part": F.when(header | title, F.struct(none("bigint").alias("at"), none("string").alias("number")))
+        .when(usable & inside & (F.col("_num") != ""), F.struct(F.col("line_no").cast("bigint").alias("at"), F.col("_num").alias("number")))})
+    rows = second.where(inside & (is_article | usable))
+    body = usable & ~F.coalesce(title, F.lit(False))
+    piece = F.when(F.col("_num") != "", F.regexp_extract("line", opener, 2)).otherwise(F.col("line"))
+    sections = _parts(rows, {
+        "at": F.col("_head.at"), "article": F.col("_head.article"), "title": F.col("_title.line"),
+        "chapter": F.concat(F.lit("CHAPTER "), F.col("_chap")), "chapter_title": F.col("_ctitle")},
+        F.col("_part.at"), F.col("_part.number"), body, piece)
+    made = split_subclauses(sections).select("doc_id", "_sec", "article", "title", F.coalesce("chapter", F.lit("")).alias("chapter"),
+                                             F.coalesce("chapter_title", F.lit("")).alias("chapter_title"), "sub.*")
     whole = F.concat(F.lit("Article "), F.col("article"))
-    made = articles.join(parts, ["doc_id", "_sec"], "left").select(
-        "doc_id",
-        F.concat(whole, F.coalesce(F.concat(F.lit("."), "sub_id"), F.lit(""))).alias("native_id"),
-        F.coalesce("title", whole).alias("title"), F.coalesce("sub_text", F.lit("")).alias("text"),
-        F.array("chapter", "chapter_title", whole, F.coalesce("sub_id", F.lit("")))
-        .alias("hierarchy_path"),
-        "chapter", whole.alias("section"),
-        F.concat(whole, F.coalesce(F.concat(F.lit("."), "sub_id"), F.lit(""))).alias("clause"),
-        F.lit("active").alias("status"),
-        F.coalesce("sub_seq", F.col("seq")).alias("seq"))
+    native = F.concat(whole, F.coalesce(F.concat(F.lit("."), "sub_id"), F.lit("")))
+    made = made.select(
+        "doc_id", native.alias("native_id"), F.coalesce("title", whole).alias("title"), F.col("sub_text").alias("text"),
+        F.array("chapter", "chapter_title", whole, F.coalesce("sub_id", F.lit(""))).alias("hierarchy_path"),
+        "chapter", whole.alias("section"), native.alias("clause"), F.lit("active").alias("status"),
+        F.coalesce("sub_seq", F.col("_sec")).alias("seq"))
     return _record(made, F.lit(regulation), 0.95, "article_subclause", F.lit(source_document_id))
 
 
-def split_subclauses(body: DataFrame, section: list[str]) -> DataFrame:
-    """``N. text`` lines open sub-clauses inside each section of non-noise lines.
+def split_subclauses(sections: DataFrame) -> DataFrame:
+    """Rows of _parts() into one row per sub-clause, ``sub`` (sub_id, sub_text, sub_seq).
 
-    Lines before the first one are dropped; a section without any is one part with a
-    null ``sub_id``.
+    Lines before the first opener and sub-clauses without text are dropped; a section that
+    has no other is one row with a null ``sub_id`` and all its lines.
     """
-    pattern = r"^(\d+)\.\s+(.*)$"
-    marked = body.withColumn("_num", F.regexp_extract("line", pattern, 1))
-    marked = marked.withColumn("_opens", F.col("_num") != "")
-    numbered = running_count(marked, section, "line_no", {"_opens": "_part"})
-    piece = F.when(F.col("_opens"), F.regexp_extract("line", pattern, 2)).otherwise(F.col("line"))
-    parts = numbered.withColumn("_piece", piece).groupBy(*section, "_part").agg(
-        F.max("_num").alias("sub_id"), text.strip(_joined("_piece")).alias("sub_text"),
-        F.min("line_no").alias("sub_seq"))
-    good = parts.where((F.col("_part") > 0) & (F.col("sub_text") != ""))
-    counted = good.groupBy(*section).agg(F.count(F.lit(1)).alias("_n"))
-    unsplit = body.join(counted, section, "left_anti").groupBy(*section).agg(
-        F.lit(None).cast("string").alias("sub_id"), _joined("line", sep="\n").alias("sub_text"),
-        F.min("line_no").alias("sub_seq"))
-    return good.select(*section, "sub_id", "sub_text", "sub_seq").transform(guard_unions).unionByName(unsplit)
+    told = F.transform("_parts", lambda p: F.struct(
+        p["number"].alias("sub_id"), text.strip(F.array_join(p["pieces"], " ")).alias("sub_text"), p["seq"].alias("sub_seq"),
+        p["at"].isNotNull().alias("opened")))
+    good = F.transform(F.filter(told, lambda p: p["opened"] & (p["sub_text"] != "")), lambda p: F.struct(
+        p["sub_id"].alias("sub_id"), p["sub_text"].alias("sub_text"), p["sub_seq"].alias("sub_seq")))
+    d = sections.withColumn("_good", good)
+    lines = F.array_join(F.flatten(F.transform("_parts", lambda p: p["lines"])), "\n")
+    unsplit = F.array(F.struct(F.lit(None).cast("string").alias("sub_id"), lines.alias("sub_text"),
+                               F.array_min(F.transform("_parts", lambda p: p["seq"])).alias("sub_seq")))
+    subs = F.when(F.size("_good") > 0, F.col("_good")).otherwise(unsplit)
+    return text.unfold(d.withColumn("_subs", subs).drop("_parts", "_good"), "_subs", "_pos", "sub").drop("_pos")
 
 
 _CLAUSE = r"^((?:[1-9]\d*)(?:\.[0-9]+){0,4}|A\.[0-9]+(?:\.[0-9]+)?)\s+(.+)$"
@@ -169,36 +196,35 @@ _ALT_BULLET = r"^([A-Za-z]|[ivxIVX]+|\d{1,2})[.:]\s+(.*)$"
 
 
 def extract_numbered_clauses(lines: DataFrame, regulation: str = "ISO27001",
-                             source_document_id: str = "iso-27001") -> DataFrame:
+                             source_document_id: str = "iso-27001", block_rows: int = 50_000) -> DataFrame:
     """``4.1 Title`` clauses and their ``a)`` bullets; text before bullets on its own."""
-    base = body_start(lines).select(
-        "doc_id", "line_no", text.strip_invisible("line").alias("clean"),
-        text.strip("line").alias("line"))
-    base = base.where(~is_noise("clean", "clauses"))
-    head = F.when(~is_toc("clean"), F.regexp_extract("clean", _CLAUSE, 1)).otherwise("")
-    base = base.withColumn("_id", head).withColumn("_header", F.col("_id") != "")
-    numbered = running_count(base, ["doc_id"], "line_no", {"_header": "_sec"}).where("_sec > 0")
-    heads = numbered.where("_header").select(
-        "doc_id", "_sec", F.col("_id").alias("clause_id"),
-        text.normalize_space(F.regexp_extract("clean", _CLAUSE, 2)).alias("clause_title"))
-    body = numbered.where(~F.col("_header") & ~is_noise("line", "clauses"))
-    first = F.regexp_extract("line", _BULLET, 1)
-    pattern = F.when(first != "", 1).when(F.regexp_extract("line", _ALT_BULLET, 1) != "", 2).otherwise(0)
-    body = body.withColumn("_kind", pattern).withColumn("_opens", F.col("_kind") > 0)
-    bullet = (F.when(F.col("_kind") == 1, first)
-              .when(F.col("_kind") == 2, F.regexp_extract("line", _ALT_BULLET, 1)))
-    piece = (F.when(F.col("_kind") == 1, F.regexp_extract("line", _BULLET, 2))
-             .when(F.col("_kind") == 2, F.regexp_extract("line", _ALT_BULLET, 2))
-             .otherwise(F.col("line")))
-    body = body.withColumn("_bullet", bullet).withColumn("_piece", piece)
-    parts = running_count(body, ["doc_id", "_sec"], "line_no", {"_opens": "_part"})
-    texts = parts.groupBy("doc_id", "_sec", "_part").agg(
-        F.max("_bullet").alias("bullet"), text.normalize_space(_joined("_piece")).alias("text"),
-        F.min("line_no").alias("seq")).where(F.col("text") != "")
-    made = texts.join(heads, ["doc_id", "_sec"])
+    base = in_blocks(lines.select("doc_id", "line_no", text.strip_invisible("line").alias("clean"),
+                                  text.strip("line").alias("line")), ["doc_id"], "line_no", block_rows)
+    base = _body_blocks(base).where(~is_noise("clean", "clauses"))
+    base = base.withColumn("_id", F.when(~is_toc("clean"), F.regexp_extract("clean", _CLAUSE, 1)).otherwise(""))
+    header = F.col("_id") != ""
+    body = ~header & ~is_noise("line", "clauses")
+    marked = F.regexp_extract("line", _BULLET, 1)
+    other = F.regexp_extract("line", _ALT_BULLET, 1)
+    base = base.withColumns({"_bullet": F.when(body & (marked != ""), marked).when(body & (other != ""), other),
+                             "_piece": F.when(marked != "", F.regexp_extract("line", _BULLET, 2)).when(
+                                 other != "", F.regexp_extract("line", _ALT_BULLET, 2)).otherwise(F.col("line"))})
+    opens = F.col("_bullet").isNotNull()
+    none = lambda t: F.lit(None).cast(t)
+    rows = scan_last(base, ["doc_id"], "line_no", {
+        "_head": F.when(header, F.struct(F.col("line_no").alias("at"), F.col("_id").alias("clause_id"), text.normalize_space(
+            F.regexp_extract("clean", _CLAUSE, 2)).alias("clause_title"))),
+        "_part": F.when(header, F.struct(none("bigint").alias("at"), none("string").alias("number")))
+        .when(opens, F.struct(F.col("line_no").cast("bigint").alias("at"), F.col("_bullet").alias("number")))})
+    sections = _parts(rows.where(F.col("_head").isNotNull() & body), {
+        "at": F.col("_head.at"), "clause_id": F.col("_head.clause_id"), "clause_title": F.col("_head.clause_title")},
+        F.col("_part.at"), F.col("_part.number"), F.lit(True), F.col("_piece"))
+    texts = text.unfold(sections, "_parts", "_pos", "p").select(
+        "doc_id", "clause_id", "clause_title", F.col("p.number").alias("bullet"), F.col("p.seq").alias("seq"),
+        text.normalize_space(F.array_join("p.pieces", " ")).alias("text")).where(F.col("text") != "")
     native = F.concat_ws(".", "clause_id", "bullet")
     chapter = F.split_part(native, F.lit("."), F.lit(1))
-    made = made.select(
+    made = texts.select(
         "doc_id", native.alias("native_id"),
         F.when(F.col("bullet").isNull(), F.col("clause_title")).otherwise(
             F.concat("clause_title", F.lit(" ("), "bullet", F.lit(")"))).alias("title"),
@@ -272,74 +298,110 @@ def standard_sources(files: DataFrame, column: str = "file_name") -> DataFrame:
 
 # --- chunks -----------------------------------------------------------------------
 
-def _fits(c: Column, limit: int) -> Column:
-    return F.octet_length(c) <= limit
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cuts(sizes: Column, limit: int, most: int) -> Column:
+    """First positions of the groups that pack sizes greedily, one separator between two.
+
+    ``sizes``: (full, tail, lead, alone) bytes of each item: in whole, without white space at
+    its end, white space at its start, and whether it must open a group. The fold holds
+    numbers only: the sum so far takes the place of the text.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"), F.lit(0).alias("bytes"),
+                     F.lit(0).alias("lead"), F.lit(0).alias("n"))
 
+    def step(s, x):
+        glue = F.when(s["bytes"] == 0, 0).otherwise(1)
+        fits = (s["n"] > 0) & ~x["alone"] & (s["n"] < most) & (s["bytes"] + glue + x["tail"] - s["lead"] <= limit)
+        return F.when(fits, F.struct(s["cuts"].alias("cuts"), (s["i"] + 1).alias("i"), (s["bytes"] + glue + x["full"]).alias("bytes"),
+                                     s["lead"].alias("lead"), (s["n"] + 1).alias("n"))).otherwise(
+            F.struct(F.concat(s["cuts"], F.array(s["i"])).alias("cuts"), (s["i"] + 1).alias("i"), x["full"].alias("bytes"),
+                     x["lead"].alias("lead"), F.lit(1).alias("n")))
 
-def _state(done: Column, current: Column) -> Column:
-    return F.struct(done.alias("done"), current.alias("current"))
+    return F.aggregate(sizes, start, step, lambda s: s["cuts"])
 
 
-def _flush(state: Column) -> Column:
-    return F.when(state["current"] == "", state["done"]).otherwise(
-        F.concat(state["done"], F.array(state["current"])))
+def _groups(items: Column, cuts: Column, sep: str) -> Column:
+    """Items from each cut to the next, joined."""
+    last = F.size(items)
+    return F.transform(cuts, lambda c, k: F.array_join(F.slice(
+        items, c + 1, F.coalesce(F.get(cuts, k + 1), last) - c), sep))
 
 
-def _split_token(state: Column, token: Column, limit: int) -> Column:
-    """A token that is too long on its own, cut between characters."""
-    chars = F.split(token, "")
-    return F.aggregate(chars, _state(_flush(state), F.lit("")), lambda s, ch: F.when(
-        _fits(F.concat(s["current"], ch), limit), _state(s["done"], F.concat(s["current"], ch)))
-        .otherwise(_state(F.concat(s["done"], F.array(s["current"])), ch)))
+def _size(full: Column, tail: Column | None = None, lead: Column | None = None, alone: Column | None = None) -> Column:
+    return F.struct(full.alias("full"), (full if tail is None else tail).alias("tail"),
+                    (F.lit(0) if lead is None else lead).alias("lead"), (F.lit(False) if alone is None else alone).alias("alone"))
 
 
 def _split_line(line: Column, limit: int) -> Column:
     """A line that is too long, cut at spaces, then between characters."""
-    empty = F.array().cast("array<string>")
+    def pieces(tokens):
+        # A token that is too long stands alone from its first piece on.
+        items = F.flatten(F.transform(tokens, lambda t: F.when(F.octet_length(t) <= limit, F.array(
+            F.struct(t.alias("t"), F.lit(False).alias("alone")))).otherwise(
+            F.transform(_cut_long(t, limit), lambda p: F.struct(p.alias("t"), F.lit(True).alias("alone"))))))
+        return _let(items, lambda its: _let(
+            _cuts(F.transform(its, lambda x: _size(F.octet_length(x["t"]), alone=x["alone"])), limit, 1 << 30),
+            lambda cuts: F.filter(F.transform(_groups(F.transform(its, lambda x: x["t"]), cuts, " "),
+                                              lambda p: F.ltrim(p)), lambda p: p != "")))
+    return F.when(F.octet_length(line) <= limit, F.array(line)).otherwise(_let(F.split(line, " "), pieces))
+
+
+def _cut_long(token: Column, limit: int) -> Column:
+    """Pieces of at most ``limit`` bytes, cut between characters. Where every character has
+    one byte the cuts are known beforehand."""
+    plain = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(token) - 1) / limit).cast("int")),
+                        lambda i: F.substring(token, i * limit + 1, F.lit(limit)))
+    return F.when(F.octet_length(token) == F.char_length(token), plain).otherwise(_cut_chars(token, limit))
+
+
+def _cut_chars(token: Column, limit: int) -> Column:
+    """Characters are packed with nothing between them."""
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"), F.lit(0).alias("bytes"))
+
+    def step(s, ch):
+        b = F.octet_length(ch)
+        return F.when((s["i"] > 0) & (s["bytes"] + b <= limit), F.struct(
+            s["cuts"].alias("cuts"), (s["i"] + 1).alias("i"), (s["bytes"] + b).alias("bytes"))).otherwise(F.struct(
+                F.concat(s["cuts"], F.array(s["i"])).alias("cuts"), (s["i"] + 1).alias("i"), b.alias("bytes")))
+
+    return _let(F.split(token, ""), lambda chars: _let(
+        F.aggregate(chars, start, step, lambda s: s["cuts"]), lambda cuts: _groups(chars, cuts, "")))
 
-    def step(s, token):
-        probe = F.when(s["current"] == "", token).otherwise(
-            F.concat(s["current"], F.lit(" "), token))
-        return (F.when(_fits(probe, limit), _state(s["done"], probe))
-                .when(_fits(token, limit), _state(_flush(s), token))
-                .otherwise(_split_token(s, token, limit)))
 
-    cut = F.aggregate(F.split(line, " "), _state(empty, F.lit("")), step, _flush)
-    return F.when(_fits(line, limit), F.array(line)).otherwise(cut)
+#: What a chunk says of its record, beside the record's own metadata.
+CHUNK_METADATA = ("regulation", "control_id", "native_control_id", "source_document_id", "source_path", "chunk_index",
+                  "chapter", "section", "clause")
 
 
 def chunk_lines(records: DataFrame, max_bytes: int = 16 * 1024, max_lines: int = 40) -> DataFrame:
     """Pack the lines of each record into chunks of bounded bytes and lines.
 
-    The fold runs inside the record's row; records are never grouped or shuffled.
+    Cut positions are worked out from the lines' bytes, texts are put together once. All of
+    it runs inside the record's row; records are never grouped or shuffled.
     """
     if max_bytes < 4:
         raise ValueError("max_bytes must hold at least one character (4 bytes)")
-    lines = F.filter(F.transform(F.split("text", LINE_BREAK),
-                                 text.strip), lambda l: l != "")
+    lines = F.filter(F.transform(F.split("text", LINE_BREAK), text.strip), lambda l: l != "")
     parts = F.flatten(F.transform(lines, lambda l: _split_line(l, max_bytes)))
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("current"), F.lit(0).alias("n"))
-
-    def pack(s, part):
-        probe = F.concat(s["current"], F.lit("\n"), part)
-        full = (s["n"] > 0) & (~_fits(probe, max_bytes) | (s["n"] >= max_lines))
-        return (F.when(s["n"] == 0, F.struct(s["done"].alias("done"), part.alias("current"),
-                                             F.lit(1).alias("n")))
-                .when(full, F.struct(F.concat(s["done"], F.array(s["current"])).alias("done"),
-                                     part.alias("current"), F.lit(1).alias("n")))
-                .otherwise(F.struct(s["done"].alias("done"), probe.alias("current"),
-                                    (s["n"] + 1).alias("n"))))
-
-    finish = lambda s: F.when(s["n"] == 0, s["done"]).otherwise(
-        F.concat(s["done"], F.array(s["current"])))
-    packed = records.withColumn("_parts", parts).withColumn(
-        "_chunks", F.aggregate("_parts", start, pack, finish))
+    packed = records.withColumn("_parts", parts)
+    sizes = F.transform("_parts", lambda p: _size(
+        F.octet_length(p), F.octet_length(F.regexp_replace(p, r"\s+$", "")),
+        F.octet_length(p) - F.octet_length(F.regexp_replace(p, r"^\s+", ""))))
+    packed = packed.withColumn("_cuts", _cuts(sizes, max_bytes, max_lines))
+    packed = packed.withColumn("_chunks", F.transform(_groups(F.col("_parts"), F.col("_cuts"), "\n"), text.strip))
     keep = [c for c in ("doc_id", "regulation", "source_document_id") if c in records.columns]
-    flat = text.unfold(packed.select(*keep, F.col("normalized_id").alias("control_id"), "native_id",
+    said = {"control_id": "normalized_id", "native_control_id": "native_id"}
+    known = [F.col(said.get(k, k)).cast("string") if said.get(k, k) in records.columns else F.lit("") for k in CHUNK_METADATA]
+    own = F.col("metadata") if "metadata" in records.columns else F.create_map().cast("map<string,string>")
+    about = F.map_from_arrays(F.array(*[F.lit(k) for k in CHUNK_METADATA]), F.array(*known))
+    flat = text.unfold(packed.select(*keep, F.col("normalized_id").alias("control_id"), about.alias("_about"), own.alias("_own"),
                                      "_chunks"), "_chunks", "chunk_index", "text")
     key = F.concat_ws(":", "control_id", F.col("chunk_index").cast("string"), "text")
-    return flat.select(text.stable_hash(key).alias("chunk_id"), *keep, "control_id",
-                       "chunk_index", "text",
-                       F.create_map(F.lit("regulation"), F.col("regulation"),
-                                    F.lit("native_control_id"), F.col("native_id")).alias("metadata"))
+    about = F.transform_values("_about", lambda k, v: F.when(k == "chunk_index", F.col("chunk_index").cast("string")).otherwise(v))
+    metadata = F.map_concat(F.map_filter(about, lambda k, v: ~F.map_contains_key("_own", k)), F.col("_own"))
+    return flat.select(text.stable_hash(key).alias("chunk_id"), *keep, "control_id", "chunk_index", "text",
+                       metadata.alias("metadata"))

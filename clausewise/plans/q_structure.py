@@ -103,15 +103,26 @@ def clean_lines(spark, sf):
 
 
 def document_chunks(spark, sf, max_bytes=600, max_lines=6):
-    d = ordering.spread(I.table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    """Every document as a record, whole; one in five has a chapter of its own making."""
+    d = ordering.spread(I.table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+    i = F.col("doc_id")
     rec = d.select("doc_id", F.lit("DOCS").alias("regulation"), F.col("source").alias("source_document_id"),
-                   F.concat(F.lit("docs::"), "doc_id").alias("normalized_id"),
-                   F.col("doc_id").cast("string").alias("native_id"), "text")
+                   F.concat(F.lit("docs::"), "doc_id").alias("normalized_id"), i.cast("string").alias("native_id"), "text",
+                   F.concat(F.lit("in/"), "source", F.lit(".txt")).alias("source_path"),
+                   F.concat(F.lit("CHAPTER "), i % 5).alias("chapter"), F.concat(F.lit("Article "), i % 7).alias("section"),
+                   F.concat(F.lit("Article "), i % 7, F.lit("."), i % 3).alias("clause"),
+                   F.when(i % 2 == 0, F.create_map(F.lit("status"), F.lit("active"), F.lit("chapter"), F.col("lang")))
+                   .otherwise(F.create_map(F.lit("status"), F.lit("moved"))).alias("metadata"))
     return structure.chunk_lines(rec, max_bytes, max_lines)
 
 
 def chunks(spark, sf):
-    return document_chunks(spark, sf).drop("metadata")
+    """Chunks with the nine keys of their metadata and what their records add."""
+    c = document_chunks(spark, sf)
+    keys = [*structure.CHUNK_METADATA, "status"]
+    return c.select("chunk_id", "doc_id", "source_document_id", "control_id", "chunk_index", "text",
+                    F.size(F.map_keys("metadata")).alias("n_keys"),
+                    *[F.col("metadata")[k].alias(f"m_{k}") for k in keys])
 
 
 def chunk_bounds(spark, sf):
@@ -135,7 +146,7 @@ QUERIES = {f.__name__: f for f in (
 def _sql_lines(before):
     """Line table from a list of SQL expressions over (doc_id, i)."""
     return f"""{I.sql_clauses('documents', 'text', out='lc0').replace('>= 24', '>= 1')},
-lines AS (
+lines AS MATERIALIZED (
   SELECT doc_id, i * 8 + j - 1 AS line_no, line FROM (
     SELECT doc_id, i, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM (
       SELECT doc_id, i, list_filter([{", ".join(before)}, clause], lambda x: x IS NOT NULL) AS l
@@ -168,30 +179,36 @@ _ARTICLES = f"""{_ARTICLE_LINES}, a0 AS (
 a1 AS (SELECT *, regexp_extract(line, '^CHAPTER\\s+([IVXLC]+)$', 1) AS ch, regexp_extract(line, '^Article\\s+(\\d+)$', 1) AS art,
   line = '' OR contains(line, 'Official Journal of the European Union') OR contains(line, 'EN') OR contains(line, 'L 119/')
     OR contains(line, '4.5.2016') OR regexp_full_match(line, '\\(\\d+\\)') AS noise FROM a0),
-a2 AS (SELECT *, sum((ch <> '' OR art <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no {_ROWS}) AS sec,
-  sum((ch <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no {_ROWS}) AS chap FROM a1),
-asec AS (SELECT doc_id, sec, max(art) AS art, max(ch) AS ch, max(chap) AS chap, min(line_no) AS seq,
-  min(line_no) FILTER (WHERE NOT noise AND ch = '' AND art = '') AS tl,
-  min(line_no) FILTER (WHERE line <> '' AND ch = '' AND art = '') AS cl FROM a2 WHERE sec > 0 GROUP BY doc_id, sec),
-achap AS (SELECT s.doc_id, s.chap, 'CHAPTER ' || s.ch AS chapter, coalesce(l.line, '') AS chapter_title
-  FROM asec s LEFT JOIN a2 l ON l.doc_id = s.doc_id AND l.line_no = s.cl WHERE s.ch <> ''),
-aart AS (SELECT s.doc_id, s.sec, 'Article ' || s.art AS art, l.line AS title, tl, seq,
-    coalesce(chapter, '') AS chapter, coalesce(chapter_title, '') AS chapter_title
-  FROM asec s LEFT JOIN a2 l ON l.doc_id = s.doc_id AND l.line_no = s.tl
-  LEFT JOIN achap c ON c.doc_id = s.doc_id AND c.chap = s.chap WHERE s.art <> ''),
-abody AS (SELECT b.doc_id, b.sec, b.line_no, b.line, regexp_extract(b.line, '^(\\d+)\\.\\s+(.*)$', 1) AS num,
-    regexp_extract(b.line, '^(\\d+)\\.\\s+(.*)$', 2) AS rest
-  FROM a2 b JOIN aart a USING (doc_id, sec) WHERE NOT noise AND b.ch = '' AND b.art = '' AND line_no > tl),
-apart AS (SELECT *, sum((num <> '')::INT) OVER (PARTITION BY doc_id, sec ORDER BY line_no {_ROWS}) AS part FROM abody),
-asub AS (SELECT doc_id, sec, max(num) AS sub, trim(string_agg(CASE WHEN num <> '' THEN rest ELSE line END, ' ' ORDER BY line_no)) AS t,
-  min(line_no) AS s FROM apart WHERE part > 0 GROUP BY doc_id, sec, part),
-awhole AS (SELECT doc_id, sec, NULL AS sub, string_agg(line, ' ' ORDER BY line_no) AS t, min(line_no) AS s FROM abody
-  ANTI JOIN (SELECT DISTINCT doc_id, sec FROM asub WHERE t <> '') told USING (doc_id, sec) GROUP BY doc_id, sec),
+a2 AS MATERIALIZED (SELECT *, art <> '' OR ch <> '' AS hdr, NOT noise AND ch = '' AND art = '' AS usable,
+  line <> '' AND ch = '' AND art = '' AS told, regexp_extract(line, '^(\\d+)\\.\\s+(.*)$', 1) AS num,
+  regexp_extract(line, '^(\\d+)\\.\\s+(.*)$', 2) AS rest FROM a1),
+a3 AS MATERIALIZED (SELECT *, max(CASE WHEN hdr THEN line_no END) OVER w AS sec,
+  last_value(CASE WHEN hdr THEN art END IGNORE NULLS) OVER w AS arts,
+  last_value(CASE WHEN ch <> '' THEN 'CHAPTER ' || ch END IGNORE NULLS) OVER w AS chap,
+  usable AND coalesce(max(CASE WHEN hdr THEN 2 * line_no + 1 WHEN usable THEN 2 * line_no END) OVER v % 2 = 1, false) AS titled,
+  told AND coalesce(max(CASE WHEN ch <> '' THEN 2 * line_no + 1 WHEN hdr OR told THEN 2 * line_no END) OVER v % 2 = 1, false) AS ctitled
+  FROM a2 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no {_ROWS}),
+    v AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a4 AS MATERIALIZED (SELECT *, usable AND NOT titled AS body,
+  last_value(CASE WHEN ch <> '' THEN '' WHEN ctitled THEN line END IGNORE NULLS) OVER w AS ctitle,
+  max(CASE WHEN usable AND NOT titled AND num <> '' THEN line_no END) OVER (PARTITION BY doc_id, sec ORDER BY line_no {_ROWS}) AS part
+  FROM a3 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no {_ROWS})),
+a5 AS MATERIALIZED (SELECT doc_id, sec, part, max(arts) AS art, max(line) FILTER (WHERE titled) AS title, max(chap) AS chapter, max(ctitle) AS ctitle,
+  max(num) FILTER (WHERE line_no = part) AS num, min(line_no) FILTER (WHERE body) AS s,
+  trim(string_agg(CASE WHEN num <> '' THEN rest ELSE line END, ' ' ORDER BY line_no) FILTER (WHERE body)) AS t,
+  string_agg(line, ' ' ORDER BY line_no) FILTER (WHERE body) AS raw
+  FROM a4 WHERE arts <> '' AND (art <> '' OR usable) GROUP BY doc_id, sec, part),
+a6 AS MATERIALIZED (SELECT doc_id, sec, max(art) AS art, max(title) AS title, max(chapter) AS chapter, max(ctitle) AS ctitle, min(s) AS s,
+  coalesce(string_agg(raw, ' ' ORDER BY coalesce(part, -1)), '') AS raw,
+  list(struct_pack(sub := num, t := t, s := s) ORDER BY part) FILTER (WHERE part IS NOT NULL AND t <> '') AS good
+  FROM a5 GROUP BY doc_id, sec),
+a7 AS (SELECT * EXCLUDE (s, raw, good), unnest(CASE WHEN len(good) > 0 THEN good
+  ELSE [struct_pack(sub := NULL::VARCHAR, t := raw, s := s)] END) AS r FROM a6),
 recs AS (
-  SELECT doc_id, art || CASE WHEN sub IS NULL THEN '' ELSE '.' || sub END AS native_id, coalesce(title, art) AS title,
-    {I.sql_norm("coalesce(t, '')")} AS text, concat_ws('>', nullif(chapter, ''), nullif(chapter_title, ''), art, sub) AS hierarchy_path,
-    chapter, art AS section, coalesce(s, seq) AS seq
-  FROM aart LEFT JOIN (SELECT * FROM asub WHERE t <> '' UNION ALL SELECT * FROM awhole) USING (doc_id, sec))"""
+  SELECT doc_id, 'Article ' || art || CASE WHEN r.sub IS NULL THEN '' ELSE '.' || r.sub END AS native_id,
+    coalesce(title, 'Article ' || art) AS title, {I.sql_norm("r.t")} AS text,
+    concat_ws('>', nullif(chapter, ''), nullif(ctitle, ''), 'Article ' || art, r.sub) AS hierarchy_path,
+    coalesce(chapter, '') AS chapter, 'Article ' || art AS section, coalesce(r.s, sec) AS seq FROM a7)"""
 _ART_OUT = """doc_id, sha1('GDPR:' || native_id || ':' || text) AS record_id, native_id,
   'gdpr::' || regexp_replace(native_id, '[^A-Za-z0-9._-]+', '_', 'g') AS normalized_id, title, text, hierarchy_path,
   chapter, section, 'active' AS status"""
@@ -199,23 +216,24 @@ _ART_OUT = """doc_id, sha1('GDPR:' || native_id || ':' || text) AS record_id, na
 _INVIS = "trim(replace(replace(replace(replace(line, chr(8203), ''), chr(65279), ''), chr(8288), ''), chr(160), ' '))"
 _CNOISE = ("({x} = '' OR starts_with({x}, '© ISO') OR starts_with({x}, 'ISO/IEC') "
            "OR regexp_full_match(lower({x}), '[ivxlcdm]+'))")
-_CLAUSE_SQL = f"""{_CLAUSE_LINES}, c0 AS (SELECT doc_id, line_no, trim(line) AS line, {_INVIS} AS clean FROM lines),
-cstart AS (SELECT doc_id, coalesce(min(line_no) FILTER (WHERE regexp_full_match(clean, '(?i)1[.)\\s]+Scope\\s*')
-  AND NOT regexp_matches(clean, '\\.{{4,}}')), 0) AS st FROM c0 GROUP BY doc_id),
-c1 AS (SELECT c0.*, CASE WHEN regexp_matches(clean, '\\.{{4,}}') THEN '' ELSE
-    regexp_extract(clean, '^((?:[1-9]\\d*)(?:\\.[0-9]+){{0,4}}|A\\.[0-9]+(?:\\.[0-9]+)?)\\s+(.+)$', 1) END AS cid
-  FROM c0 JOIN cstart USING (doc_id) WHERE line_no >= st AND NOT {_CNOISE.replace('{x}', 'clean')}),
-c2 AS (SELECT *, sum((cid <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no {_ROWS}) AS sec FROM c1),
-chead AS (SELECT doc_id, sec, cid, {I.sql_norm("substr(clean, length(cid) + 1)")} AS ctitle FROM c2 WHERE cid <> ''),
-cbody AS (SELECT *, regexp_extract(line, '^([A-Za-z]|[ivxIVX]+|\\d{{1,2}})(\\)\\s*;?|[.:])\\s+(.*)$', 1) AS b,
+_CLAUSE_SQL = f"""{_CLAUSE_LINES}, c0 AS MATERIALIZED (SELECT doc_id, line_no, trim(line) AS line, {_INVIS} AS clean FROM lines),
+cs AS MATERIALIZED (SELECT *, coalesce(min(CASE WHEN regexp_full_match(clean, '(?i)1[.)\\s]+Scope\\s*')
+  AND NOT regexp_matches(clean, '\\.{{4,}}') THEN line_no END) OVER (PARTITION BY doc_id), 0) AS st FROM c0),
+c1 AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(clean, '\\.{{4,}}') THEN '' ELSE
+    regexp_extract(clean, '^((?:[1-9]\\d*)(?:\\.[0-9]+){{0,4}}|A\\.[0-9]+(?:\\.[0-9]+)?)\\s+(.+)$', 1) END AS hid
+  FROM cs WHERE line_no >= st AND NOT {_CNOISE.replace('{x}', 'clean')}),
+c2 AS MATERIALIZED (SELECT *, max(CASE WHEN hid <> '' THEN line_no END) OVER w AS sec, last_value(nullif(hid, '') IGNORE NULLS) OVER w AS cid,
+  last_value(CASE WHEN hid <> '' THEN {I.sql_norm("substr(clean, length(hid) + 1)")} END IGNORE NULLS) OVER w AS ctitle
+  FROM c1 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no {_ROWS})),
+cbody AS MATERIALIZED (SELECT *, regexp_extract(line, '^([A-Za-z]|[ivxIVX]+|\\d{{1,2}})(\\)\\s*;?|[.:])\\s+(.*)$', 1) AS b,
   regexp_extract(line, '^([A-Za-z]|[ivxIVX]+|\\d{{1,2}})(\\)\\s*;?|[.:])\\s+(.*)$', 3) AS rest
-  FROM c2 WHERE cid = '' AND sec > 0 AND NOT {_CNOISE.replace('{x}', 'line')}),
-cpart AS (SELECT *, sum((b <> '')::INT) OVER (PARTITION BY doc_id, sec ORDER BY line_no {_ROWS}) AS part FROM cbody),
-ctext AS (SELECT doc_id, sec, nullif(max(b), '') AS bullet,
+  FROM c2 WHERE hid = '' AND sec IS NOT NULL AND NOT {_CNOISE.replace('{x}', 'line')}),
+cpart AS MATERIALIZED (SELECT *, max(CASE WHEN b <> '' THEN line_no END) OVER (PARTITION BY doc_id, sec ORDER BY line_no {_ROWS}) AS part FROM cbody),
+ctext AS MATERIALIZED (SELECT doc_id, sec, cid, ctitle, nullif(max(b), '') AS bullet,
   {I.sql_norm("string_agg(CASE WHEN b <> '' THEN rest ELSE line END, ' ' ORDER BY line_no)")} AS text
-  FROM cpart GROUP BY doc_id, sec, part),
+  FROM cpart GROUP BY doc_id, sec, cid, ctitle, part),
 crec AS (SELECT doc_id, concat_ws('.', cid, bullet) AS native_id, ctitle || CASE WHEN bullet IS NULL THEN '' ELSE ' (' || bullet || ')' END AS title,
-  text, cid FROM ctext JOIN chead USING (doc_id, sec) WHERE text <> '')"""
+  text, cid FROM ctext WHERE text <> '')"""
 
 _SUB = f"""{_SUB_LINES}, s0 AS (SELECT doc_id, line_no, trim(line) AS line FROM lines),
 s1 AS (SELECT *, regexp_extract(line, '^([A-Z]{{2}}\\.[A-Z]{{2}}-P\\d+)\\s*:\\s*(.+)$', 1) AS sid,
@@ -244,6 +262,36 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, native_id ORDER BY length(text)
 QUALIFY row_number() OVER (PARTITION BY doc_id, native_id ORDER BY status = 'moved', length(text) DESC, seq) = 1""",
     "clean_lines": f"""WITH {_CLAUSE_LINES} SELECT doc_id, line_no, line FROM lines
 WHERE NOT regexp_matches(line, '\\.{{4,}}') AND NOT {_CNOISE.replace('{x}', 'trim(line)')}""",
+    "chunks": """WITH RECURSIVE l0 AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]')) AS line,
+    generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]'), 1) AS no FROM documents),
+ln AS MATERIALIZED (SELECT doc_id, no, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l0),
+long AS MATERIALIZED (SELECT * FROM ln WHERE strlen(line) > 600),
+tok AS MATERIALIZED (SELECT doc_id, no, unnest(string_split(line, ' ')) AS t, generate_subscripts(string_split(line, ' '), 1) AS i FROM long),
+pre AS MATERIALIZED (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY doc_id, no ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM tok),
+nxt AS MATERIALIZED (SELECT a.doc_id, a.no, a.i, coalesce(b.i, a.n + 1) AS next FROM (
+    SELECT *, upto - strlen(t) - 1 + 601 AS reach, count(*) OVER (PARTITION BY doc_id, no) AS n FROM pre) a
+  ASOF LEFT JOIN pre b ON a.doc_id = b.doc_id AND a.no = b.no AND a.reach < b.upto),
+hop(doc_id, no, i, next) AS (SELECT doc_id, no, i, next FROM nxt WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.no, x.i, x.next FROM hop h JOIN nxt x ON x.doc_id = h.doc_id AND x.no = h.no AND x.i = h.next),
+cut AS (SELECT h.doc_id, h.no, h.i, ltrim(string_agg(t.t, ' ' ORDER BY t.i), ' ') AS line FROM hop h JOIN tok t
+  ON t.doc_id = h.doc_id AND t.no = h.no AND t.i >= h.i AND t.i < h.next GROUP BY h.doc_id, h.no, h.i),
+part AS MATERIALIZED (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY no, i) AS p FROM (
+  SELECT doc_id, no, 0 AS i, line FROM ln WHERE strlen(line) BETWEEN 1 AND 600 UNION ALL SELECT doc_id, no, i, line FROM cut WHERE line <> '')),
+psum AS MATERIALIZED (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS upto FROM part),
+pnxt AS MATERIALIZED (SELECT a.doc_id, a.p, least(coalesce(b.p, a.n + 1), a.p + 6) AS next FROM (
+    SELECT *, upto - strlen(line) - 1 + 601 AS reach, count(*) OVER (PARTITION BY doc_id) AS n FROM psum) a
+  ASOF LEFT JOIN psum b ON a.doc_id = b.doc_id AND a.reach < b.upto),
+phop(doc_id, p, next, k) AS (SELECT doc_id, p, next, 0 FROM pnxt WHERE p = 1
+  UNION ALL SELECT x.doc_id, x.p, x.next, h.k + 1 FROM phop h JOIN pnxt x ON x.doc_id = h.doc_id AND x.p = h.next),
+ch AS (SELECT h.doc_id, h.k AS chunk_index, trim(string_agg(q.line, chr(10) ORDER BY q.p), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
+  FROM phop h JOIN part q ON q.doc_id = h.doc_id AND q.p >= h.p AND q.p < h.next GROUP BY h.doc_id, h.k)
+SELECT sha1('docs::' || doc_id || ':' || chunk_index || ':' || ch.text) AS chunk_id, doc_id, source AS source_document_id,
+  'docs::' || doc_id AS control_id, chunk_index::INT AS chunk_index, ch.text AS text, 10 AS n_keys, 'DOCS' AS m_regulation, 'docs::' || doc_id AS m_control_id,
+  doc_id::VARCHAR AS m_native_control_id, source AS m_source_document_id, 'in/' || source || '.txt' AS m_source_path,
+  chunk_index::VARCHAR AS m_chunk_index, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'CHAPTER ' || (doc_id % 5) END AS m_chapter,
+  'Article ' || (doc_id % 7) AS m_section, 'Article ' || (doc_id % 7) || '.' || (doc_id % 3) AS m_clause,
+  CASE WHEN doc_id % 2 = 0 THEN 'active' ELSE 'moved' END AS m_status
+FROM ch JOIN documents USING (doc_id)""",
     "chunk_bounds": """SELECT doc_id, true AS dense, true AS bytes_ok, true AS lines_ok,
   length(regexp_replace(text, '\\s+', '', 'g')) AS characters FROM documents""",
 }

@@ -121,3 +121,98 @@ def test_standard_files(spark):
     twice = df.unionByName(spark.createDataFrame([("ISO 27001-2013.docx",)], "file_name string"))
     with pytest.raises(Exception, match="duplicate output stem"):
         structure.standard_sources(twice).collect()
+
+
+ARTICLES = ("As Article 8(1) says\nCHAPTER I\n\nGeneral provisions\nArticle 1\n(3)\nSubject matter\n"
+            "1. First part\ncontinues here\n2. Second part\nL 119/33\nArticle 2 \nScope\nWhole body\ntext\nCHAPTER II\nArticle 3\n"
+            "1. A title with a number\nbefore\n4. \n5. five\nArticle 4\nArticle 5\nOnly a title")
+CLAUSES = ("9.9 Old\nbody\n1 Scope\nscope text\n4.1 Context ..... 7\n4.1 Context\nintro\na) first\nmore\n"
+           "b. second\nISO/IEC page\n4.2 Empty\n4.3 Needs\nbody\nxii\nA.5.1 Last\n\nii) roman\n12: number")
+
+
+def test_scans_agree_whatever_the_blocks(spark):
+    """Sections, titles and parts that run over block edges."""
+    texts = [ARTICLES, "", "Article 1", ARTICLES.replace("Article 1\n", "")]
+    whole = sorted(map(str, structure.extract_articles(lines(spark, *texts)).collect()))
+    assert len(whole) > 8
+    for n in (1, 2, 5):
+        assert sorted(map(str, structure.extract_articles(lines(spark, *texts), block_rows=n).collect())) == whole
+    texts = [CLAUSES, "4 Only\nx", CLAUSES.replace("1 Scope", "none")]
+    whole = sorted(map(str, structure.extract_numbered_clauses(lines(spark, *texts)).collect()))
+    for n in (1, 3):
+        assert sorted(map(str, structure.extract_numbered_clauses(lines(spark, *texts), block_rows=n).collect())) == whole
+
+
+def test_chapters_titles_and_empty_articles(spark):
+    got = structure.extract_articles(lines(spark, ARTICLES), block_rows=4).orderBy("seq").collect()
+    assert [(r["native_id"], r["title"], r["text"], r["chapter"]) for r in got] == [
+        ("Article 1.1", "Subject matter", "First part continues here", "CHAPTER I"),
+        ("Article 1.2", "Subject matter", "Second part", "CHAPTER I"), ("Article 2", "Scope", "Whole body text", "CHAPTER I"),
+        ("Article 3.5", "1. A title with a number", "five", "CHAPTER II"), ("Article 4", "Article 4", "", "CHAPTER II"),
+        ("Article 5", "Only a title", "", "CHAPTER II")]
+
+
+def test_scan_last_before_and_up_to(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(d, i, (i * 5 + d) % 4 == 0) for d in range(2) for i in range(60)]
+    for n in (1, 7, 100):
+        df = ordering.in_blocks(spark.createDataFrame(rows, "d int, i int, f boolean"), ["d"], "i", n)
+        at = F.when(F.col("f"), F.col("i"))
+        got = ordering.scan_last(df, ["d"], "i", {"up": at, "ahead": at}, before=("ahead",)).collect()
+        for r in got:
+            mine = [i for d, i, f in rows if d == r["d"] and f and i <= r["i"]]
+            assert r["up"] == max(mine, default=None)
+            assert r["ahead"] == max([i for i in mine if i < r["i"]], default=None)
+
+
+def split_to_fit(line, limit):
+    """The stated rule for lines that are too long, in plain Python."""
+    if len(line.encode()) <= limit:
+        return [line]
+    pieces, current = [], ""
+    for token in line.split(" "):
+        probe = f"{current} {token}" if current else token
+        if len(probe.encode()) <= limit:
+            current = probe
+            continue
+        if current:
+            pieces.append(current)
+        current = ""
+        if len(token.encode()) <= limit:
+            current = token
+            continue
+        for ch in token:
+            if len((current + ch).encode()) > limit:
+                pieces.append(current)
+                current = ""
+            current += ch
+    return pieces + ([current] if current else [])
+
+
+def test_chunks_of_odd_lines(spark):
+    """Long tokens, runs of blanks, wide characters, against the rule in plain Python."""
+    rnd = random.Random(7)
+    for _ in range(12):
+        body = "\n".join("".join(rnd.choice(["a", "é", "日", " ", "  ", "word", "x" * 30]) for _ in range(rnd.randint(0, 40)))
+                         for _ in range(6))
+        parts = [p for l in body.split("\n") if l.strip() for p in split_to_fit(l.strip(), 24)]
+        want, active = [], []
+        for p in parts:
+            if active and (len("\n".join(active + [p]).strip().encode()) > 24 or len(active) >= 3):
+                want.append("\n".join(active).strip())
+                active = []
+            active.append(p)
+        want += ["\n".join(active).strip()] if active else []
+        assert chunked(spark, body, 24, 3) == want
+
+
+def test_chunk_metadata(spark):
+    schema = ("regulation string, source_document_id string, normalized_id string, native_id string, text string, source_path string, "
+              "chapter string, section string, clause string, metadata map<string,string>")
+    df = spark.createDataFrame([("R", "s", "r::1", "1", "a\nb\nc", "p", "C", "S", "K", {"status": "moved", "section": "own"})], schema)
+    got = [r["metadata"] for r in structure.chunk_lines(df, 100, 2).orderBy("chunk_index").collect()]
+    assert got == [{"regulation": "R", "control_id": "r::1", "native_control_id": "1", "source_document_id": "s", "source_path": "p",
+                    "chunk_index": str(i), "chapter": "C", "section": "own", "clause": "K", "status": "moved"} for i in range(2)]
+    assert structure.chunk_lines(df.drop("metadata", "chapter")).first()["metadata"]["chapter"] == ""
+    assert structure.chunk_lines(df.withColumn("text", df["source_path"].substr(9, 1))).count() == 0
