@@ -214,15 +214,48 @@ def threshold_sweep(predictions: DataFrame, focus=("user", "system"), labels=lex
         (F.col("tp") + F.col("fp")).alias("predicted_positive"), "tp", "fp", "fn", "tn")
 
 
+def _log_factorial(n):
+    """Natural logarithm of n!: summed below 32, by Stirling's series from there on."""
+    import numpy as np
+
+    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 33)))])
+    x = np.maximum(n, 32) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5)
+    return np.where(n <= 32, table[np.minimum(n, 32).astype(int)], series)
+
+
+def binomial_quantile(n: int, p: float, u: float) -> int:
+    """Fewest successes of n whose distribution function reaches u. Only numbers within
+    twelve standard deviations are looked at; outside them lies nothing that a u of 52 bits
+    can tell."""
+    import numpy as np
+
+    if n <= 0 or p <= 0:
+        return 0
+    if p >= 1:
+        return n
+    reach = 12 * (n * p * (1 - p)) ** 0.5 + 40
+    k = np.arange(max(0, int(n * p - reach)), min(n, int(n * p + reach) + 1) + 1, dtype=np.float64)
+    mass = np.exp(_log_factorial(np.float64(n)) - _log_factorial(k) - _log_factorial(n - k) + k * np.log(p) + (n - k) * np.log1p(-p))
+    return int(k[min(int(np.searchsorted(np.cumsum(mass), u)), len(k) - 1)])
+
+
+def uniform_draw(*parts) -> float:
+    """A number in [0, 1) of 52 bits that belongs to its counters: part of their md5."""
+    import hashlib
+
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
 def bootstrap_ci(predictions: DataFrame, labels=lexicon.LEVELS, resamples: int = 1000,
                  seed: int = 42) -> DataFrame:
     """Percentile intervals of accuracy and F1 under label-stratified resampling.
 
-    Within an actual label, drawing rows with replacement is a multinomial draw over
-    that label's predicted cells. So the predictions are read once for their
-    confusion cells, and each resample is a draw on at most K x (K+1) numbers,
-    whatever the number of rows. Draws are seeded by (seed, resample), so a retried
-    task repeats them.
+    Within an actual label, drawing rows with replacement is a multinomial draw over that
+    label's predicted cells. So the predictions are read once for their confusion cells, and
+    each resample is a draw on at most K x (K+1) numbers, whatever the number of rows: cell
+    by cell a binomial share of what is left, by inverse distribution of a number that is
+    part of md5("seed:resample:actual:predicted"). Any engine can repeat the draws.
     """
     import numpy as np
     import pandas as pd
@@ -234,19 +267,28 @@ def bootstrap_ci(predictions: DataFrame, labels=lexicon.LEVELS, resamples: int =
     predicted = F.when(F.col("predicted_label").isin(order), F.col("predicted_label")).otherwise("")
     cells = predictions.groupBy(actual.alias("a"), predicted.alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
-    position = {**{l: i for i, l in enumerate(order)}, "": k}
+    names_of = [*order, ""]
+    position = {l: i for i, l in enumerate(names_of)}
     packed = cells.agg(F.collect_list(F.struct("a", "p", "n")).alias("c"))
 
     names = ["accuracy", "macro_f1", "weighted_f1", *[f"f1_{l}" for l in order]]
 
     def metrics(grid: np.ndarray) -> list[float]:
         g = grid[:k, :k].astype(float)
-        tp, support, called = np.diag(g), g.sum(axis=1), g.sum(axis=0)
+        tp, support, called = np.diag(g), grid[:k].sum(axis=1).astype(float), grid[:, :k].sum(axis=0).astype(float)
         f1 = np.where(support + called > 0, 2 * tp / np.maximum(support + called, 1), 0.0)
         weight = support.sum()
         return [tp.sum() / max(grid.sum(), 1), f1.mean() if k else 0.0,
                 float((f1 * support).sum() / weight) if weight > 0 else 0.0, *f1]
 
+    def resampled(row: np.ndarray, resample: int, label: str) -> list[int]:
+        out, left = [], int(row.sum())
+        for j, c in enumerate(row):
+            rest = int(row[j:].sum())
+            out.append(binomial_quantile(left, c / rest if rest else 0.0, uniform_draw(seed, resample, label, names_of[j])))
+            left -= out[-1]
+        return out
+
     def draw(batches):
         for pdf in batches:
             out = []
@@ -255,11 +297,7 @@ def bootstrap_ci(predictions: DataFrame, labels=lexicon.LEVELS, resamples: int =
                 for cell in c:
                     grid[position[cell["a"]], position[cell["p"]]] += cell["n"]
                 if resample >= 0:
-                    rng = np.random.default_rng([seed, int(resample)])
-                    for i in range(k + 1):
-                        n = grid[i].sum()
-                        if n:
-                            grid[i] = rng.multinomial(n, grid[i] / n)
+                    grid = np.array([resampled(row, int(resample), l) for row, l in zip(grid, names_of)])
                 out.append([resample, *metrics(grid)])
             yield pd.DataFrame(out, columns=["id", *names])
 

@@ -383,6 +383,34 @@ LEFT JOIN signal USING (doc_id)""",
     "class_weights": f"""{_E} SELECT label, count(*) AS rows,
   round((SELECT count(*) FROM split_examples WHERE split = 'train') / (3 * count(*)), 6) AS weight
 FROM split_examples WHERE split = 'train' GROUP BY label""",
+    "bootstrap_ci": f"""{_P}, cnt AS MATERIALIZED (SELECT a.l AS a, count(*) FILTER (WHERE predicted_label = 'user') AS c1,
+    count(*) FILTER (WHERE predicted_label = 'system') AS c2, count(*) FILTER (WHERE predicted_label = 'organization') AS c3, count(*) AS n
+  FROM predictions JOIN (VALUES ('user'), ('system'), ('organization')) a(l) ON actual_label = a.l GROUP BY a.l),
+d AS MATERIALIZED (SELECT id, cnt.*, ('0x' || substr(md5('42:' || id || ':' || a || ':user'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u1,
+    ('0x' || substr(md5('42:' || id || ':' || a || ':system'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u2 FROM range(1000) r(id), cnt),
+k1 AS MATERIALIZED (SELECT a, k, sum(CASE WHEN p <= 0 THEN (k = 0)::INT WHEN p >= 1 THEN (k = n)::INT ELSE exp(lgamma(n + 1) - lgamma(k + 1)
+    - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) END) OVER (PARTITION BY a ORDER BY k) AS cdf
+  FROM (SELECT a, n, c1 / n::DOUBLE AS p, unnest(range(n + 1)) AS k FROM cnt)),
+x1 AS MATERIALIZED (SELECT d.*, (SELECT least(count(*), d.n) FROM k1 WHERE k1.a = d.a AND cdf < d.u1) AS x1 FROM d),
+m2 AS (SELECT DISTINCT a, n - x1 AS m, c2, c3 FROM x1),
+k2 AS MATERIALIZED (SELECT a, m, k, sum(CASE WHEN p <= 0 THEN (k = 0)::INT WHEN p >= 1 THEN (k = m)::INT ELSE exp(lgamma(m + 1) - lgamma(k + 1)
+    - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)) END) OVER (PARTITION BY a, m ORDER BY k) AS cdf
+  FROM (SELECT a, m, CASE WHEN c2 + c3 > 0 THEN c2 / (c2 + c3)::DOUBLE ELSE 0 END AS p, unnest(range(m + 1)) AS k FROM m2)),
+x2 AS MATERIALIZED (SELECT x.id, x.a, x.x1, any_value(n) - x1 AS m, count(k2.k) AS x2 FROM x1 x LEFT JOIN k2
+    ON k2.a = x.a AND k2.m = x.n - x.x1 AND k2.cdf < x.u2 GROUP BY x.id, x.a, x.x1),
+g AS MATERIALIZED (SELECT id, a, x1 AS p1, least(x2, m) AS p2, m - least(x2, m) AS p3 FROM x2
+  UNION ALL SELECT -1, a, c1, c2, c3 FROM cnt),
+w AS (SELECT id, unnest(['user', 'system', 'organization']) AS l, a, unnest([p1, p2, p3]) AS n FROM g),
+t AS (SELECT id, l.l, sum(n) FILTER (WHERE a = l.l) AS support, sum(n) FILTER (WHERE w.l = l.l) AS called,
+    sum(n) FILTER (WHERE a = l.l AND w.l = l.l) AS tp FROM w, (VALUES ('user'), ('system'), ('organization')) l(l) GROUP BY id, l.l),
+f AS (SELECT *, CASE WHEN support + called > 0 THEN 2 * tp / (support + called)::DOUBLE ELSE 0 END AS f1 FROM t),
+v AS (SELECT id, 'f1_' || l AS metric, f1 AS value FROM f
+  UNION ALL SELECT id, 'accuracy', sum(tp) / sum(support)::DOUBLE FROM f GROUP BY id
+  UNION ALL SELECT id, 'macro_f1', avg(f1) FROM f GROUP BY id
+  UNION ALL SELECT id, 'weighted_f1', sum(f1 * support) / sum(support)::DOUBLE FROM f GROUP BY id)
+SELECT metric, round(max(value) FILTER (WHERE id < 0), 6) AS baseline, round(avg(value) FILTER (WHERE id >= 0), 6) AS mean,
+  round(quantile_cont(value, 0.025) FILTER (WHERE id >= 0), 6) AS lower, round(quantile_cont(value, 0.975) FILTER (WHERE id >= 0), 6) AS upper
+FROM v GROUP BY metric""",
     "scorer_udf": f"""{_E}, s AS (SELECT example_id, label, 10.0::DOUBLE AS u, (length(text) % 7)::DOUBLE AS y,
   length(text) / 10.0::DOUBLE AS o FROM examples)
 SELECT example_id, label, CASE WHEN u >= y AND u >= o THEN 'user' WHEN y >= o THEN 'system' ELSE 'organization' END AS predicted_label,
