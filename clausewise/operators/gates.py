@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import lexicon
-from clausewise.operators.ordering import guard_unions
+from clausewise.operators.ordering import OrderedBlocks, guard_unions
 
 
 def check_row(stats: DataFrame, name: str, passed: Column, details: Column,
@@ -283,28 +283,14 @@ _RUN_METRICS = ("test_macro_f1", "test_accuracy", "bayesian_primary_score", "cal
 
 def leaderboard(runs: DataFrame, seq: str = "seq") -> DataFrame:
     """Runs ranked by macro F1, then accuracy; a missing metric ranks as -1."""
-    order = F.struct((-F.coalesce("test_macro_f1", F.lit(-1.0))).alias("f"),
-                     (-F.coalesce("test_accuracy", F.lit(-1.0))).alias("a"), F.col(seq).alias("s"))
-    return _ranked(runs.withColumn("_order", order).withColumn("_lead", F.col("_order.f")))
+    return _ranked(runs, [-F.coalesce("test_macro_f1", F.lit(-1.0)), -F.coalesce("test_accuracy", F.lit(-1.0)), F.col(seq)])
 
 
-def _ranked(keyed: DataFrame) -> DataFrame:
-    """Position among all rows by ``_order``, counted by blocks of the leading number."""
-    cuts = sorted(set(keyed.approxQuantile("_lead", [i / 64 for i in range(1, 64)], 0.01)))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda b: b < F.col("_lead"))) \
-        if cuts else F.lit(0)
-    return _ranked_by_block(keyed.withColumn("_b", block)).drop("_order", "_lead", "_b")
-
-
-def _ranked_by_block(df: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    sizes = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = df.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_order")))
-    return inside.join(F.broadcast(offsets), "_b").withColumn(
-        "rank", (F.col("_o") + F.col("_i")).cast("int")).drop("_o", "_i")
+def _ranked(runs: DataFrame, order: list[Column], block_rows: int = 1_000_000) -> DataFrame:
+    """1-based ``rank`` of all rows in a total order, counted by blocks."""
+    names = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    placed = OrderedBlocks(runs, names, block_rows).positions("rank")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def baseline_deltas(runs: DataFrame) -> DataFrame:
@@ -321,17 +307,16 @@ def registry_rank(runs: DataFrame, seq: str = "seq") -> DataFrame:
     """Runs with both main metrics first, then by F1 and accuracy, as a ``rank`` column;
     ties keep their order in ``seq``."""
     lacks = (F.col("test_macro_f1").isNull() | F.col("test_accuracy").isNull()).cast("int")
-    f1, accuracy = (F.coalesce(m, F.lit(-1.0)) for m in ("test_macro_f1", "test_accuracy"))
-    order = F.struct(lacks.alias("l"), (-f1).alias("f"), (-accuracy).alias("a"), F.col(seq).alias("s"))
-    return _ranked(runs.withColumn("_order", order).withColumn("_lead", 10.0 * lacks - f1))
+    return _ranked(runs, [lacks, *[-F.coalesce(m, F.lit(-1.0)) for m in ("test_macro_f1", "test_accuracy")], F.col(seq)])
 
 
-def run_trend(runs: DataFrame, series: str = "model_type", metric: str = "test_macro_f1") -> DataFrame:
+def run_trend(runs: DataFrame, series: str = "model_type", metric: str = "test_macro_f1",
+              block_rows: int = 1_000_000) -> DataFrame:
     """Change of a metric from run to run of a series, by execution time."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(series).orderBy("executed_at", "name")
-    return runs.withColumn("change", F.round(F.col(metric) - F.lag(metric).over(w), 6))
+    order = [F.col(c) for c in dict.fromkeys((series, "executed_at", "name"))]
+    placed = OrderedBlocks(runs, order, block_rows).previous([series, metric], "_before")
+    same = F.col(f"_before.`{series}`").eqNullSafe(F.col(series))
+    return placed.withColumn("change", F.when(same, F.round(F.col(metric) - F.col(f"_before.`{metric}`"), 6))).drop("_before")
 
 
 # --- extracted files -----------------------------------------------------------------

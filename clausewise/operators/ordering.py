@@ -40,24 +40,71 @@ def rank_by_hash(df: DataFrame, group: list[str], hash_col: str, tie: str,
             .drop("_block", "_offset", "_in_block"))
 
 
+class OrderedBlocks:
+    """Rows in total order, cut into blocks of about ``block_rows`` by sampled keys.
+
+    The key is the whole of ``order``, so a tie in its first column is cut by the next ones,
+    and an outlier takes no more room than any other key. Blocks that come out larger than
+    twice the bound are cut again, from samples of their own. ``rows`` has the input's
+    columns, ``_key``, ``_path`` (the block, comparable) and ``_at`` (place in its task);
+    what is added up over all blocks is one row for each.
+    """
+
+    def __init__(self, df: DataFrame, order: list, block_rows: int = 1_000_000, blocks: int | None = None, rounds: int = 3):
+        keyed = materialize(df.withColumn("_key", F.struct(*order)))
+        n = keyed.count()
+        blocks = blocks or max(1, -(-n // block_rows))
+        self.rows = self._cut(keyed, [], blocks)
+        for k in range(rounds + 1):
+            self.sizes = materialize(self.rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")))
+            over = self.sizes.where(F.col("_n") > 2 * block_rows)
+            large, many = self.sizes.agg(F.coalesce(F.sum(F.when(F.col("_n") > 2 * block_rows, F.col("_n"))), F.lit(0)),
+                                         F.count_if(F.col("_n") > 2 * block_rows)).first()
+            if not large or k == rounds:
+                break
+            marked = self._with(over.select("_path", F.lit(1).alias("_over")), "left")
+            again = self._cut(marked.where("_over = 1").drop("_over", "_at"), ["_path"], -(-large // block_rows) + many)
+            self.rows = marked.where("_over is null").drop("_over").transform(guard_unions).unionByName(again)
+
+    def _with(self, table: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows with a table of one row per block, which is sent along up to 50,000 blocks."""
+        few = self.sizes.count() <= 50_000
+        return self.rows.join(F.broadcast(table) if few else table, "_path", how)
+
+    @staticmethod
+    def _cut(df: DataFrame, lead: list[str], blocks: int) -> DataFrame:
+        """Each task's number and each row's place in it are read off the sorted task."""
+        place = df.repartitionByRange(blocks, *lead, "_key").sortWithinPartitions(*lead, "_key").withColumn(
+            "_id", F.monotonically_increasing_id())
+        path = F.array(F.shiftright("_id", 33))
+        out = place.withColumns({"_path": F.concat(F.col("_path"), path) if lead else path,
+                                 "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+        return materialize(out)
+
+    def positions(self, out: str) -> DataFrame:
+        """The rows with their 0-based place in the whole order."""
+        before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = self.sizes.select("_path", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        return self._with(offsets).withColumn(out, F.col("_offset") + F.col("_at") - F.col("_first")).drop(
+            "_key", "_path", "_at", "_first", "_offset")
+
+    def previous(self, values: list[str], out: str) -> DataFrame:
+        """The rows with ``out``: a struct of the row before in the whole order, null for the
+        first. A block's last row is carried over to the next one's first."""
+        told = F.struct(*values)
+        inside = Window.partitionBy("_path").orderBy("_at")
+        edges = self.rows.groupBy("_path").agg(F.max_by(told, "_at").alias("_edge"))
+        edges = edges.withColumn("_edge", F.lag("_edge").over(Window.orderBy("_path")))
+        local = self._with(edges, "left").withColumn("_lag", F.lag(told).over(inside))
+        return local.withColumn(out, F.coalesce("_lag", "_edge")).drop(
+            "_key", "_path", "_at", "_lag", "_edge")
+
+
 def row_index(df: DataFrame, key: str, out: str = "row_index", blocks: int | None = None,
               rows_per_block: int = 1_000_000) -> DataFrame:
-    """0-based position of each row in order of a unique integer key.
-
-    The key's range is cut into ``blocks`` of equal width, about ``rows_per_block`` rows
-    each where keys are dense; cuts only balance the work, the index itself is exact.
-    """
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    blocks = blocks or max(256, n // rows_per_block)
-    width = (int(hi) - int(lo)) // blocks + 1 if n else 1
-    df = df.withColumn("_block", F.floor((F.col(key) - F.lit(lo)) / width).cast("bigint") if n else F.lit(0))
-    sizes = df.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _offsets(sizes, [], "_block", "_n")
-    w = Window.partitionBy("_block").orderBy(key)
-    return (df.withColumn("_in_block", F.row_number().over(w))
-            .join(F.broadcast(offsets), "_block")  # at most `blocks` rows
-            .withColumn(out, F.col("_offset") + F.col("_in_block") - 1)
-            .drop("_block", "_offset", "_in_block"))
+    """0-based position of each row in order of a unique key."""
+    return OrderedBlocks(df, [F.col(key)], rows_per_block, blocks).positions(out).withColumn(
+        out, F.col(out).cast("bigint"))
 
 
 def position(df: DataFrame, seq: str = "seq", first: str | None = None, out: str = "row_index") -> DataFrame:

@@ -201,7 +201,7 @@ def _records(spark, sf):
     key = F.concat(F.substring("example_id", 1, 8), F.substring("example_id", 10, 5)).cast("bigint")
     rows = ex.select(rec.alias("record"), F.concat(F.col("source"), F.lit("_part.jsonl")).alias("file_name"),
                      key.alias("key"))
-    return ordering.row_index(ordering.materialize(rows), "key", "row_index")
+    return ordering.row_index(rows, "key", "row_index")
 
 
 def mixed_examples(spark, sf):

@@ -80,7 +80,7 @@ def runs(spark, sf):
 
 
 def leaderboard(spark, sf):
-    return gates.leaderboard(materialize(runs(spark, sf))).select("name", "rank", "test_macro_f1", "test_accuracy")
+    return gates.leaderboard(runs(spark, sf)).select("name", "rank", "test_macro_f1", "test_accuracy")
 
 
 def baseline_deltas(spark, sf):
@@ -88,7 +88,7 @@ def baseline_deltas(spark, sf):
 
 
 def registry_rank(spark, sf):
-    return gates.registry_rank(materialize(runs(spark, sf))).select("name", "rank", "test_macro_f1", "test_accuracy")
+    return gates.registry_rank(runs(spark, sf)).select("name", "rank", "test_macro_f1", "test_accuracy")
 
 
 def run_trend(spark, sf):

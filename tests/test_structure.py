@@ -216,3 +216,43 @@ def test_chunk_metadata(spark):
                     "chunk_index": str(i), "chapter": "C", "section": "own", "clause": "K", "status": "moved"} for i in range(2)]
     assert structure.chunk_lines(df.drop("metadata", "chapter")).first()["metadata"]["chapter"] == ""
     assert structure.chunk_lines(df.withColumn("text", df["source_path"].substr(9, 1))).count() == 0
+
+
+def ordered(spark, rows, block_rows, blocks=None):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "lead long, tie string, v double").repartition(5)
+    return ordering.OrderedBlocks(df, [F.col("lead"), F.col("tie")], block_rows, blocks)
+
+
+def test_one_outlier_and_one_tie_for_half(spark):
+    """An outlier key and a tie in the leading column for half of the rows: blocks stay small,
+    places and predecessors are exact."""
+    rnd = random.Random(3)
+    rows = [(7 if i % 2 else rnd.randint(0, 500), f"t{i:05d}", None if i % 9 == 0 else i / 10) for i in range(4000)]
+    rows.append((2 ** 62, "far", 1.0))
+    want = sorted(rows, key=lambda r: r[:2])
+    for block_rows, blocks in ((200, None), (200, 1), (100_000, None)):
+        cut = ordered(spark, rows, block_rows, blocks)
+        assert max(r["_n"] for r in cut.sizes.collect()) <= max(2 * block_rows, 400)
+        assert (cut.sizes.count() > 8) == (block_rows == 200)
+        got = sorted(cut.positions("at").collect(), key=lambda r: r["at"])
+        assert [(r["at"], r["lead"], r["tie"], r["v"]) for r in got] == [(i, *r) for i, r in enumerate(want)]
+        before = {(r["lead"], r["tie"]): r["b"] for r in cut.previous(["tie", "v"], "b").collect()}
+        for earlier, r in zip([None, *want], want):
+            b = before[r[:2]]
+            assert (b is None) if earlier is None else (b["tie"], b["v"]) == earlier[1:]
+
+
+def test_trend_over_block_edges(spark):
+    from clausewise.operators import gates
+
+    rows = [("hot" if i % 3 else "cold", f"2026-01-{i % 28 + 1:02d}", f"r{i:03d}", i / 7 if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "model_type string, executed_at string, name string, test_macro_f1 double").repartition(4)
+    got = {r["name"]: r["change"] for r in gates.run_trend(df, block_rows=20).collect()}
+    for series in ("hot", "cold"):
+        last = None
+        for r in sorted((r for r in rows if r[0] == series), key=lambda r: r[1:3]):
+            want = None if last is None or last[3] is None or r[3] is None else round(r[3] - last[3], 6)
+            assert got[r[2]] == want if want is None else abs(got[r[2]] - want) < 1e-6
+            last = r
