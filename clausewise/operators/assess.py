@@ -164,6 +164,27 @@ def claims_of_clauses(clause: DataFrame, key: str = "doc_id",
     return rows.withColumn("matched", F.col("matched").alias("matched", metadata={"keywords": words}))
 
 
+def every_clause(docs: DataFrame, text_col: str = "policy_text", key: str = "doc_id") -> DataFrame:
+    """key, clauses_total, clause_index, clause: all clauses, and one row of nulls for a
+    document without any."""
+    d = text.with_clauses(docs.select(key, text_col), text_col, "_c").drop(text_col)
+    return d.select(key, F.size("_c").alias("clauses_total"), F.posexplode_outer("_c").alias("clause_index", "clause"))
+
+
+def claims_outer(clauses: DataFrame, specs=lexicon.CHECK_SPECS) -> DataFrame:
+    """The same rows per matched check, ``_nth`` of its clause; one with a null check where
+    none matches. No row is lost, so what is counted per document needs no join back."""
+    words = sorted({k for _, _, _, kws in specs for k in kws})
+    c = clauses.withColumn("_low", F.lower("clause"))
+    c = c.withColumn("_any", text.contains_any("_low", words) if words else F.lit(False))
+    found = F.filter(matched_checks(F.col("_low"), specs), lambda m: F.size(m["matched"]) > 0)
+    c = c.withColumns({"_found": F.when(F.col("_any"), found),
+                       "_tokens": F.when(F.col("_any"), text.evidence_tokens("clause"))}).drop("_any")
+    rows = c.select(*[x for x in c.columns if x != "_found"], F.posexplode_outer("_found").alias("_nth", "_m"))
+    return rows.select(*[x for x in rows.columns if x != "_m"], *[F.col(f"_m.{f}").alias(f) for f in (
+        "check_seq", "check_id", "check_title")], F.col("_m.matched").alias("matched", metadata={"keywords": words}))
+
+
 def _keywords(claim_rows: DataFrame) -> list[str]:
     """The words behind ``matched``: what claims() noted, else those of the built-in checks."""
     noted = claim_rows.schema["matched"].metadata.get("keywords")
@@ -260,12 +281,14 @@ def rank_evidence(claim_rows: DataFrame, extra_controls: DataFrame | None = None
     dealt, blocks, chars = control_blocks(extra_controls, keywords, regulations, block)
     if blocks == 1:
         with_extra = claim_rows.withColumn("_extra", dealt.select("_extra").scalar())
-        both = _scored(F.concat(candidates, F.coalesce(F.col("_extra"), empty)))
+        # A clause that matches no check has no candidates.
+        some = F.when(F.col("check_id").isNotNull(), F.concat(candidates, F.coalesce(F.col("_extra"), empty))).otherwise(empty)
+        both = _scored(some)
         return _shown(_kept(with_extra, both, cap, limit, "evidence").drop("_extra"))
     # Evidence hangs on the clause and the check alone; what many documents say is ranked once.
     same = [F.col("check_id").alias("_check"), F.md5("clause").alias("_clause")]
     claim_rows = claim_rows.select("*", *same)
-    once = claim_rows.groupBy("_check", "_clause").agg(
+    once = claim_rows.where("check_id is not null").groupBy("_check", "_clause").agg(
         *[F.any_value(c).alias(c) for c in ("check_id", "_tokens", "matched")])
     dealt = materialize(dealt)
     each = once.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -279,7 +302,9 @@ def rank_evidence(claim_rows: DataFrame, extra_controls: DataFrame | None = None
     lists = _kept(met, _scored(F.concat("_own", "_extra")), cap, limit, "_list").groupBy("_check", "_clause").agg(
         F.collect_list("_list").alias("_lists"))
     merged = _kept(lists, _again(F.col("_lists")), cap, limit, "evidence").drop("_lists")
-    return _shown(claim_rows.join(merged, ["_check", "_clause"]).drop("_check", "_clause"))
+    joined = claim_rows.join(merged, ["_check", "_clause"], "left").drop("_check", "_clause")
+    nothing = F.array().cast(merged.schema["evidence"].dataType)
+    return _shown(joined.withColumn("evidence", F.coalesce("evidence", nothing)))
 
 
 def with_verdicts(evidence_rows: DataFrame) -> DataFrame:
@@ -376,32 +401,116 @@ def policy_score(summary: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def _judged(docs: DataFrame, extra_controls, regulations, limit, text_col, key, classify=None) -> DataFrame:
+    clauses = every_clause(docs, text_col, key)
+    clauses = classify(clauses) if classify else clauses
+    return with_verdicts(rank_evidence(claims_outer(clauses), extra_controls, regulations, limit, key=key))
+
+
+def _summed(per_doc: DataFrame, totals: DataFrame, verdicts: str) -> DataFrame:
+    """Add ``regulation_summary`` and the score of a document's verdicts, inside its row."""
+    known = {r["regulation"]: r["total_controls"] for r in totals.collect()}  # a row per regulation
+    table = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv]) if known else F.create_map().cast("map<string,int>")
+    met = F.array_distinct(F.transform(verdicts, lambda v: v["regulation"]))
+    names = F.array_sort(F.array_union(F.map_keys(table), met))
+    n = lambda r, ok: F.size(F.filter(F.col(verdicts), lambda v: (v["regulation"] == r) & (v["compliant"] == F.lit(ok))))
+    counted = F.transform(names, lambda r: F.struct(
+        r.alias("regulation"), n(r, True).alias("p"), n(r, False).alias("f"),
+        F.coalesce(F.try_element_at(table, r), F.lit(0)).alias("total_controls")))
+    d = per_doc.withColumn("_counted", counted)
+    d = d.withColumn("regulation_summary", F.transform("_counted", lambda c: F.struct(
+        c["regulation"].alias("regulation"), c["p"].alias("pass_count"), c["f"].alias("fail_count"),
+        (c["p"] + c["f"]).alias("total_evaluated"), c["total_controls"].alias("total_controls"),
+        F.when(c["p"] + c["f"] > 0, F.round(c["p"] / (c["p"] + c["f"]) * 100.0, 2)).otherwise(0.0).alias("compliance_pct"))))
+    total = lambda f: F.aggregate("_counted", F.lit(0).cast("bigint"), lambda a, c: a + c[f])
+    d = d.withColumns({"pass_count": total("p"), "fail_count": total("f"), "total_controls": total("total_controls")})
+    raw = F.when(F.col("total_controls") > 0, F.col("pass_count") / F.col("total_controls") * 100).otherwise(0.0)
+    d = d.withColumn("overall_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(raw, 2))))
+    return d.withColumns({"grade": scoring.grade("overall_score"), "status": scoring.status("overall_score")}).drop("_counted")
+
+
 def assess_policies(docs: DataFrame, extra_controls: DataFrame | None = None, regulations=None,
                     signal: DataFrame | None = None, limit: int = 18,
                     text_col: str = "policy_text", key: str = "doc_id") -> DataFrame:
-    """One report row per document: counts, score, grade, status (and model signal)."""
-    spark = docs.sparkSession
-    rows = claim_verdicts(docs, extra_controls, regulations, limit, text_col, key)
-    # Only what the counts need is kept, once, for both aggregations below.
-    rows = materialize(rows.select(key, F.transform("verdicts", lambda v: F.struct(
-        v["regulation"].alias("regulation"), v["compliant"].alias("compliant"))).alias("verdicts")))
-    totals = control_totals(spark, extra_controls, regulations)
-    score = policy_score(regulation_summary(docs, rows, totals, key), key)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("claims_generated"))
-    sized = text.with_clauses(docs.select(key, text_col), text_col, "clauses").select(
-        key, F.size("clauses").alias("clauses_analyzed"))
-    out = (sized.join(score, key).join(counts, key, "left")
-           .withColumn("claims_generated", F.coalesce("claims_generated", F.lit(0))))
+    """One report row per document: counts, score, grade, status (and model signal).
+
+    One pass: clauses are split once, slim verdicts of a document are gathered once, and all
+    sums are taken inside its row.
+    """
+    rows = _judged(docs, extra_controls, regulations, limit, text_col, key)
+    slim = F.transform("verdicts", lambda v: F.struct(v["regulation"].alias("regulation"), v["compliant"].alias("compliant")))
+    per_doc = rows.groupBy(key).agg(
+        F.first("clauses_total").alias("clauses_analyzed"), F.count("check_id").alias("claims_generated"),
+        F.flatten(F.collect_list(slim)).alias("_verdicts"))
+    totals = control_totals(docs.sparkSession, extra_controls, regulations)
+    out = _summed(per_doc, totals, "_verdicts").drop("_verdicts", "regulation_summary")
     if signal is not None:
         out = out.join(signal.select(key, F.col("score").alias("model_signal")), key, "left")
     return out
 
 
-def nested_claims(claim_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Claims of each document as one ordered array of structs."""
-    entry = F.struct("clause_index", "check_seq", "check_id", "check_title", "clause",
-                     "verdicts")
-    return claim_rows.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("claims"))
+def assessment_report(docs: DataFrame, extra_controls: DataFrame | None = None, regulations=None, classify=None,
+                      limit: int = 18, text_col: str = "policy_text", key: str = "doc_id", priors=None) -> DataFrame:
+    """The whole report of each document, nested.
+
+    Beside the score: ``summary`` (clauses, claims, regulations evaluated, provider of the
+    evidence), ``claims`` in order with their label, confidence and worded verdicts,
+    ``regulation_summary``, and, where ``classify`` labels clauses (it adds predicted_label
+    and confidence to them), ``model_signal`` and ``posterior_risk``.
+    """
+    rows = _judged(docs, extra_controls, regulations, limit, text_col, key, classify)
+    if not classify:
+        rows = rows.withColumns({"predicted_label": F.lit("unknown"), "confidence": F.lit(0.0)})
+    worded = F.transform("verdicts", lambda v: F.struct(
+        v["regulation"].alias("regulation"), v["control_id"].alias("control_id"), v["control_title"].alias("control_title"),
+        v["compliant"].alias("compliant"), text.verdict_reason(v["compliant"], v["control_id"], v["control_title"], v["source"],
+                                                               v["score"], F.col("matched"), v["requirement"], F.col("clause")).alias("reason"),
+        F.array("clause").alias("cited_clauses"), text.remediation(v["compliant"], v["control_id"], v["requirement"])
+        .alias("remediation_advice")))
+    claim = F.when(F.col("check_id").isNotNull(), F.struct(
+        F.col("clause_index").alias("claim_index"), "check_seq", F.col("clause").alias("claim_text"), "check_id", "check_title",
+        "predicted_label", F.col("confidence"), worded.alias("regulation_verdicts")))
+    # A clause counts once for the labels, whatever checks it matches.
+    once = F.when(F.coalesce("_nth", F.lit(0)).eqNullSafe(0) & F.col("clause_index").isNotNull(), F.struct(
+        F.col("predicted_label").alias("label"), F.col("confidence").alias("confidence")))
+    per_doc = rows.groupBy(key).agg(
+        F.first("clauses_total").alias("_n"), F.sort_array(F.collect_list(claim)).alias("claims"), F.collect_list(once).alias("_labels"))
+    per_doc = per_doc.withColumn("_verdicts", F.flatten(F.transform("claims", lambda c: c["regulation_verdicts"])))
+    out = _summed(per_doc, control_totals(docs.sparkSession, extra_controls, regulations), "_verdicts")
+    out = out.withColumn("summary", F.struct(
+        F.col("_n").alias("clauses_analyzed"), F.size("claims").alias("claims_generated"),
+        F.transform("regulation_summary", lambda r: r["regulation"]).alias("regulations_evaluated"), F.lit("local").alias("evidence_provider")))
+    if classify:
+        seen = F.array_distinct(F.transform("_labels", lambda x: x["label"]))
+        mean = F.aggregate("_labels", F.lit(0.0), lambda a, x: a + x["confidence"]) / F.nullif(F.size("_labels"), F.lit(0))
+        signal = F.round(F.least(F.lit(3.0), F.size(seen)) + F.greatest(F.lit(0.0), F.least(F.lit(2.0), mean * 2.0)), 2)
+        out = out.withColumns({"model_signal": F.coalesce(signal, F.lit(0.0)), "posterior_risk": _posterior(dict(priors or lexicon.BETA_PRIORS))})
+    return out.drop("_n", "_labels", "_verdicts")
+
+
+def _posterior(priors: dict) -> Column:
+    """Beta posterior of each level from a document's labelled clauses, and their mean by
+    evidence; without any clause, the mean of the levels."""
+    conf = lambda x: scoring.bounded_probability(x["confidence"])
+
+    def level(name, a, b):
+        mine = F.filter("_labels", lambda x: x["label"] == F.lit(name))
+        got = F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + conf(x))
+        n = F.size(mine)
+        return F.struct(F.lit(name).alias("level"), n.alias("evidence_count"), (F.lit(float(a)) + got).alias("alpha"),
+                        (F.lit(float(b)) + n - got).alias("beta"))
+
+    def finished(levels):
+        out = F.transform(levels, lambda l: F.struct(
+            l["level"].alias("level"), l["evidence_count"].alias("evidence_count"), F.round(l["alpha"], 6).alias("alpha"),
+            F.round(l["beta"], 6).alias("beta"), scoring.beta_mean(l["alpha"], l["beta"]).alias("mean")))
+        n = F.aggregate(levels, F.lit(0), lambda acc, l: acc + l["evidence_count"])
+        weigh = lambda l, w: scoring.beta_mean(l["alpha"], l["beta"]) * w
+        by = F.aggregate(levels, F.lit(0.0), lambda acc, l: acc + weigh(l, l["evidence_count"])) / F.nullif(n, F.lit(0))
+        plain = F.aggregate(levels, F.lit(0.0), lambda acc, l: acc + weigh(l, F.lit(1.0))) / F.size(levels)
+        return F.struct(out.alias("levels"), F.round(F.coalesce(by, plain), 6).alias("posterior_mean"), n.alias("evidence_count"))
+
+    return F.transform(F.array(F.array(*[level(n, a, b) for n, (a, b) in priors.items()])), finished)[0]
 
 
 def retrieve_with_fallback(claim_rows: DataFrame, hits: DataFrame, extra_controls=None,

@@ -303,6 +303,24 @@ def baseline_deltas(runs: DataFrame) -> DataFrame:
         F.round(F.col(m) - F.col(f"_b.{m}"), 6).alias(f"delta_{m}") for m in _RUN_METRICS])
 
 
+def compare_runs(runs: DataFrame, seq: str = "seq") -> DataFrame:
+    """Validated runs against the one baseline, as a ranked table.
+
+    ``runs``: artifact_dir, is_baseline, validation_passed, the four metrics and ``seq``.
+    One row per run: name (last part of its folder), rank by macro F1 and accuracy (ties in
+    ``seq`` order, the baseline first), and per metric the difference to the baseline, null
+    for the baseline itself and where either side lacks it.
+    """
+    base = runs.where("is_baseline").agg(*[F.max(m).alias(m) for m in _RUN_METRICS]).select(F.struct(*_RUN_METRICS).alias("b"))
+    order = [-F.coalesce("test_macro_f1", F.lit(-1.0)), -F.coalesce("test_accuracy", F.lit(-1.0)), ~F.col("is_baseline"), F.col(seq)]
+    ranked = _ranked(runs.withColumn("_b", base.scalar()), order)
+    delta = lambda m: F.when(~F.col("is_baseline"), F.round(F.col(m) - F.col(f"_b.{m}"), 6)).alias(f"delta_{m}")
+    return ranked.select(
+        "artifact_dir", F.regexp_extract("artifact_dir", r"([^/]*)/*$", 1).alias("name"), "is_baseline",
+        F.coalesce("validation_passed", F.lit(False)).alias("validation_passed"), "rank", *_RUN_METRICS,
+        *[delta(m) for m in _RUN_METRICS])
+
+
 def registry_rank(runs: DataFrame, seq: str = "seq") -> DataFrame:
     """Runs with both main metrics first, then by F1 and accuracy, as a ``rank`` column;
     ties keep their order in ``seq``."""
@@ -358,40 +376,50 @@ def id_algebra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def source_match_rate(controls: DataFrame, sources: DataFrame, sample: int | None = None,
-                      probe_chars: int | None = None, words: int = 8) -> DataFrame:
+                      probe_chars: int | None = None, words: int = 8, salts: int = 16) -> DataFrame:
     """Of the controls of each regulation, how many occur in one of its source texts.
 
     All controls with their whole texts; ``sample`` takes the first so many of each
     regulation, ``probe_chars`` the start of each text. A longer probe meets the texts that
     have one of its inner runs of ``words`` words, which stand in them as whole words; a
-    shorter one meets all texts of its regulation.
+    shorter one meets all texts of its regulation. Probes come to the texts, in lists of
+    limited length; what goes back is a hash. Equal probes and equal texts are tested once.
     """
     from clausewise.functions.text import normalize_space
-    from clausewise.operators.ordering import top_k
+    from clausewise.operators.ordering import materialize, top_k
 
     rows = controls.select("regulation", "seq", normalize_space("text").alias("probe"))
     if sample is not None:
         rows = top_k(rows, ["regulation"], [F.col("seq")], sample)
     if probe_chars is not None:
         rows = rows.withColumn("probe", F.substring("probe", 1, probe_chars))
-    probes = rows.groupBy("regulation", "probe").agg(F.count(F.lit(1)).alias("n"))
+    probes = materialize(rows.groupBy("regulation", "probe").agg(F.count(F.lit(1)).alias("n")).withColumn("_probe", F.sha1("probe")))
     whole = sources.select("regulation", normalize_space("source_text").alias("_whole")).distinct()
-    whole = whole.withColumn("_text", F.sha1("_whole"))
+    whole = materialize(whole.withColumn("_text", F.sha1("_whole")))
 
     def runs(first: Column, last: Column) -> Column:
         return F.when(last >= first, F.array_distinct(F.transform(
             F.sequence(first, last), lambda i: F.xxhash64(F.slice("_w", i, F.lit(words))))))
 
     split = probes.withColumn("_w", F.split("probe", " "))
-    keyed = split.select("regulation", "probe", F.array_min(
-        runs(F.lit(2), F.size("_w") - words)).alias("_key"))
+    keyed = materialize(split.select("regulation", "probe", "_probe", F.array_min(
+        runs(F.lit(2), F.size("_w") - words)).alias("_key")))
     held = whole.withColumn("_w", F.split("_whole", " ")).select("regulation", "_text", F.explode(
         runs(F.lit(1), F.size("_w") - words + 1)).alias("_key"))
-    met = keyed.join(held, ["regulation", "_key"]).join(whole, ["regulation", "_text"])
-    short = keyed.where("_key is null and probe <> ''").join(whole, "regulation")
-    found = [x.where(F.contains("_whole", F.col("probe"))).select("regulation", "probe") for x in (met, short)]
-    hit = found[0].transform(guard_unions).unionByName(found[1]).distinct().withColumn("_hit", F.lit(1))
-    return probes.join(hit, ["regulation", "probe"], "left").groupBy("regulation").agg(
+    asked = F.collect_list(F.struct("_probe", "probe")).alias("_asked")
+    # Longer probes: those that share a run with a text, dealt to several lists a text.
+    met = keyed.join(held, ["regulation", "_key"]).groupBy(
+        "regulation", "_text", F.pmod(F.xxhash64("_probe"), F.lit(64)).alias("_list")).agg(asked)
+    met = met.join(whole, ["regulation", "_text"])
+    # Shorter ones: lists of them go to every text; a regulation's texts are dealt by a salt.
+    lists = keyed.where("_key is null and probe <> ''")
+    lists = lists.groupBy("regulation", F.pmod(F.xxhash64("_probe"), F.lit(64)).alias("_list")).agg(asked)
+    lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    short = whole.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(salts)).cast("int")).join(lists, ["regulation", "_salt"])
+    held_in = lambda d: d.select("regulation", F.explode(F.filter(
+        "_asked", lambda p: F.contains(F.col("_whole"), p["probe"]))["_probe"]).alias("_probe"))
+    hit = held_in(met).transform(guard_unions).unionByName(held_in(short)).distinct().withColumn("_hit", F.lit(1))
+    return probes.join(hit, ["regulation", "_probe"], "left").groupBy("regulation").agg(
         F.sum("n").alias("sampled"), F.sum(F.when(F.col("_hit") == 1, F.col("n")).otherwise(0)).alias("source_matches"))
 
 

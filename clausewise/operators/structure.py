@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clausewise import lexicon
 from clausewise.functions import text
 from clausewise.functions.records import LINE_BREAK
-from clausewise.operators.ordering import in_blocks, running_count, scan_last
+from clausewise.operators.ordering import guard_unions, in_blocks, running_count, scan_last
 
 
 def _any_of(words, where: str) -> str:
@@ -271,6 +271,16 @@ def best_records(records: DataFrame, key: list[str] = ("doc_id", "normalized_id"
     return records.groupBy(*key).agg(best).select(*key, "r.*")
 
 
+def union_all_regulations(tables: list[DataFrame]) -> DataFrame:
+    """Records of all regulations as one table, in the order given: ``seq`` keeps each
+    table's own order behind its place in the list. A record id may occur in several."""
+    out = None
+    for i, t in enumerate(tables):
+        t = t.withColumn("seq", F.struct(F.lit(i).alias("source"), F.col("seq").cast("bigint").alias("seq")))
+        out = t if out is None else guard_unions(out).unionByName(t)
+    return out
+
+
 def standard_sources(files: DataFrame, column: str = "file_name") -> DataFrame:
     """Regulation, document id and output stem of the standards among file names.
 

@@ -114,6 +114,28 @@ def assess_policies(spark, sf):
                                   signal=q_classify.policy_signal(spark, sf))
 
 
+def assessment_reports(spark, sf):
+    """The nested report of each policy, its parts told apart by digests."""
+    from clausewise.operators import classify
+    from clausewise.plans.q_classify import _length_scorer
+
+    by_length = lambda c: classify.score_with(
+        c.withColumn("clause", F.coalesce("clause", F.lit(""))), _length_scorer,
+        ["doc_id", "clauses_total", "clause_index", "clause"], "clause").drop("probabilities")
+    r = assess.assessment_report(I.policy_docs(spark, sf), I.ground_truth_controls(spark, sf), classify=by_length)
+    verdict = lambda v: F.concat_ws(":", v["regulation"], v["control_id"], v["control_title"], v["compliant"].cast("string"),
+                                    v["reason"], v["remediation_advice"])
+    told = F.transform("claims", lambda c: F.concat_ws(
+        ":", c["claim_index"].cast("string"), c["check_id"], c["check_title"], c["predicted_label"],
+        F.round(c["confidence"] * 1000).cast("int").cast("string"), F.array_join(F.transform(c["regulation_verdicts"], verdict), ";")))
+    regs = F.transform("regulation_summary", lambda x: F.concat_ws(":", x["regulation"], x["pass_count"].cast("string"),
+                                                                   x["fail_count"].cast("string"), x["total_controls"].cast("string")))
+    return r.select("doc_id", "summary.clauses_analyzed", "summary.claims_generated",
+                    F.array_join("summary.regulations_evaluated", "|").alias("regulations_evaluated"), "overall_score", "grade", "status",
+                    F.md5(F.array_join(told, "|")).alias("claims_md5"), F.array_join(regs, "|").alias("regulations"),
+                    "model_signal", "posterior_risk.posterior_mean", "posterior_risk.evidence_count")
+
+
 def band_score_summary(spark, sf):
     s = checks.policy_schema_score(I.policy_docs(spark, sf), I.schema_docs(spark, sf))
     band = I.pick(("low", "medium", "other"), F.col("doc_id"))
@@ -132,7 +154,7 @@ QUERIES = {
     "verdicts": verdicts, "verdicts_one_regulation": verdicts_one_regulation,
     "running_verdicts": running_verdicts, "regulation_summary": regulation_summary,
     "policy_score": policy_score, "available_regulations": available_regulations,
-    "control_rows": control_rows,
+    "control_rows": control_rows, "assessment_reports": assessment_reports,
     "band_score_summary": band_score_summary,
 }
 
@@ -262,7 +284,35 @@ doc_scores AS (
     least(100.0::DOUBLE, round(sum(pass_count)::DOUBLE / sum(total_controls) * 100, 2)) AS overall_score
   FROM summary2 GROUP BY doc_id)"""
 
+_REASON = """'Clause ' || CASE WHEN compliant THEN 'satisfies' ELSE 'does not satisfy' END || ' ' || control_id
+  || ' (' || title || '). Evidence source=' || source || ', match_score=' || score || '.000, matched_keywords=['
+  || array_to_string(list_transform(matched[1:4], lambda k: '''' || k || ''''), ', ')
+  || '], control_requirement="' || trim(requirement[1:160]) || '", clause_excerpt="' || trim(clause[1:160]) || '".'"""
+_ADVICE = """CASE WHEN compliant THEN 'Clause currently satisfies ' || control_id || '. Strengthen with explicit implementation details.'
+    ELSE 'Add explicit language covering ' || control_id || ': ' || requirement END"""
+_PRIORS = ", ".join(f"('{n}', {float(a)}::DOUBLE, {float(b)}::DOUBLE)" for n, (a, b) in lexicon.BETA_PRIORS.items())
+
 ORACLE = {
+    "assessment_reports": f"""{_V}, {SUMMARY},
+sc AS (SELECT doc_id, clause_index, 10.0::DOUBLE AS u, (length(clause) % 7)::DOUBLE AS y, length(clause) / 10.0::DOUBLE AS o FROM clauses),
+lab AS MATERIALIZED (SELECT doc_id, clause_index, CASE WHEN u >= y AND u >= o THEN 'user' WHEN y >= o THEN 'system' ELSE 'organization' END AS label,
+  greatest(u, y, o) / (u + y + o) AS conf FROM sc),
+sig AS (SELECT doc_id, count(*)::INT AS n, round(least(3.0::DOUBLE, count(DISTINCT label)) + least(2.0::DOUBLE, avg(conf) * 2), 2) AS model_signal
+  FROM lab GROUP BY doc_id),
+post AS (SELECT doc_id, round(sum((a + s) / (a + b + n) * n) / sum(n), 6) AS posterior_mean FROM (
+  SELECT doc_id, label, count(*) AS n, sum(conf) AS s FROM lab GROUP BY ALL) JOIN (VALUES {_PRIORS}) p(label, a, b) USING (label) GROUP BY doc_id),
+cv AS (SELECT doc_id, clause_index, check_id, string_agg(regulation || ':' || control_id || ':' || title || ':' || compliant || ':' || {_REASON} || ':' || {_ADVICE},
+    ';' ORDER BY rank) AS v FROM verdicts GROUP BY ALL),
+ct AS (SELECT cl.doc_id, count(*)::INT AS n, string_agg(concat_ws(':', cl.clause_index, cl.check_id, check_title, label, round(conf * 1000)::INT, coalesce(v, '')),
+    '|' ORDER BY cl.clause_index, cl.check_seq) AS t
+  FROM claims cl JOIN (SELECT check_id, check_title FROM checks) USING (check_id) JOIN lab USING (doc_id, clause_index)
+  LEFT JOIN cv USING (doc_id, clause_index, check_id) GROUP BY cl.doc_id),
+rs AS (SELECT doc_id, string_agg(regulation, '|' ORDER BY regulation) AS regs,
+    string_agg(concat_ws(':', regulation, pass_count, fail_count, total_controls), '|' ORDER BY regulation) AS regulations FROM summary2 GROUP BY doc_id),
+base AS (SELECT doc_id, sig.n AS clauses_analyzed, coalesce(ct.n, 0) AS claims_generated, regs AS regulations_evaluated, overall_score,
+    md5(coalesce(t, '')) AS claims_md5, regulations, model_signal, posterior_mean, sig.n AS evidence_count
+  FROM doc_scores JOIN sig USING (doc_id) JOIN post USING (doc_id) JOIN rs USING (doc_id) LEFT JOIN ct USING (doc_id))
+SELECT *, {_GRADE} FROM base""",
     "clauses": f"WITH {I.POLICY_DOCS}, {I.CLAUSES} SELECT doc_id, clause_index, clause FROM clauses",
     "check_scores": f"""{_DOCS}, {_CHECK_SCORES}
 SELECT doc_id, check_id, check_title AS title, round(raw_score, 2) AS score, weight AS max_score,

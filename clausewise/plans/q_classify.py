@@ -45,6 +45,15 @@ def covered_split(spark, sf):
     return splits.ensure_label_coverage(ex, splits.split_policies(ex))
 
 
+def moved_split(spark, sf):
+    """No validation or test clause is for users: a train policy moves to each of them."""
+    ex = I.labeled_examples(spark, sf)
+    assigned = materialize(splits.split_policies(ex))
+    bare = ex.join(assigned, "policy_uid").withColumn("label", F.when(
+        (F.col("split") != "train") & (F.col("label") == "user"), "system").otherwise(F.col("label"))).drop("split")
+    return splits.ensure_label_coverage(materialize(bare), assigned)
+
+
 def split_summary(spark, sf):
     return splits.split_summary(splits.assert_no_leakage(_split(spark, sf)))
 
@@ -223,7 +232,7 @@ def scorer_udf(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    clause_labels, policy_split, covered_split, split_summary, split_with_auxiliary,
+    clause_labels, policy_split, covered_split, moved_split, split_summary, split_with_auxiliary,
     policy_overlap, class_distribution, nb_model, nb_classes, nb_predictions,
     classifier_metrics, per_class_metrics, confusion, probability_diagnostics,
     repaired_probabilities, calibration, calibration_summary, macro_ece, threshold_sweep,
@@ -291,6 +300,10 @@ ORACLE = {
     "clause_labels": f"{_E} SELECT * FROM examples",
     "policy_split": f"{_E} SELECT * FROM assigned",
     "covered_split": f"{_E} SELECT * FROM assigned",
+    "moved_split": f"""{_E}, first AS (SELECT policy_uid, row_number() OVER (ORDER BY policy_uid) AS r FROM (
+  SELECT DISTINCT policy_uid FROM split_examples WHERE split = 'train' AND label = 'user'))
+SELECT policy_uid, CASE WHEN r = 1 THEN 'validation' WHEN r = 2 THEN 'test' ELSE split END AS split
+FROM assigned LEFT JOIN first USING (policy_uid)""",
     "split_summary": f"""{_E} SELECT split, count(*) AS rows, count(DISTINCT policy_uid) AS unique_policies,
   count(*) FILTER (WHERE label = 'user') AS n_user, count(*) FILTER (WHERE label = 'system') AS n_system,
   count(*) FILTER (WHERE label = 'organization') AS n_organization FROM split_examples GROUP BY split""",

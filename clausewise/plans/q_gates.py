@@ -176,11 +176,21 @@ def dangling_chunks(spark, sf):
 
 
 def source_matches(spark, sf):
-    """Start of each source's first documents against one whole document of it."""
-    d = I.table(spark, sf, "documents")
-    c = d.select(F.col("source").alias("regulation"), F.col("doc_id").alias("seq"), "text")
-    first = c.groupBy("regulation").agg(F.min_by("text", "seq").alias("source_text"))
-    return gates.source_match_rate(c, first, sample=20, probe_chars=120)  # as its SQL
+    """Every document, and every benchmark passage, looked for whole in all texts of a source
+    that its id names."""
+    d = I.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text")
+    b = I.table(spark, sf, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    c = d.transform(guard_unions).unionByName(b).select(
+        F.concat(F.lit("src"), F.col("seq") % 20).alias("regulation"), "seq", "text")
+    sources = I.table(spark, sf, "documents").select(F.col("source").alias("regulation"), F.col("text").alias("source_text"))
+    return gates.source_match_rate(c, sources)
+
+
+def compare_runs(spark, sf):
+    n = F.conv(F.substring(F.md5("name"), 1, 4), 16, 10).cast("int")
+    r = runs(spark, sf)
+    return gates.compare_runs(r.withColumn("artifact_dir", F.concat(F.lit("runs/a/"), "name")).withColumn(
+        "validation_passed", F.when(n % 6 > 0, n % 2 == 0)))
 
 
 def count_reconciliation(spark, sf):
@@ -203,7 +213,7 @@ def policies_per_label(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    quality_gates, gate_verdict, acceptance_gates, leaderboard, baseline_deltas, registry_rank,
+    quality_gates, gate_verdict, acceptance_gates, leaderboard, baseline_deltas, compare_runs, registry_rank,
     run_trend, metrics_shape, band_eval, band_labels, alignment, id_differences, id_algebra,
     dangling_chunks, source_matches, count_reconciliation, smallest_policy_per_label,
     policies_per_label)}
@@ -315,11 +325,17 @@ FROM a JOIN k USING (regulation) LEFT JOIN d USING (regulation)""",
   (SELECT count(*) FROM (SELECT normalized_id FROM ctl EXCEPT SELECT control_id FROM chk)) AS only_left,
   (SELECT count(*) FROM (SELECT control_id FROM chk EXCEPT SELECT normalized_id FROM ctl)) AS only_right""",
     "dangling_chunks": f"{_CTL} SELECT chunk_id, control_id FROM chk WHERE control_id NOT IN (SELECT normalized_id FROM ctl)",
-    "source_matches": f"""WITH f AS (SELECT source, {I.sql_norm('text')} AS t, doc_id FROM documents
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20),
-w AS (SELECT source, t AS whole FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1)
-SELECT source AS regulation, count(*) AS sampled, count(*) FILTER (WHERE t <> '' AND contains(whole, t[1:120])) AS source_matches
-FROM f JOIN w USING (source) GROUP BY source""",
+    "source_matches": f"""WITH c AS MATERIALIZED (SELECT 'src' || (doc_id % 20) AS regulation, {I.sql_norm('text')} AS probe FROM documents
+  UNION ALL SELECT 'src' || (item_id % 20), {I.sql_norm('text')} FROM benchmark),
+w AS MATERIALIZED (SELECT DISTINCT source AS regulation, {I.sql_norm('text')} AS whole FROM documents),
+p AS MATERIALIZED (SELECT regulation, probe, count(*) AS n FROM c GROUP BY ALL)
+SELECT regulation, sum(n)::BIGINT AS sampled, coalesce(sum(n) FILTER (WHERE probe <> '' AND EXISTS (
+  SELECT 1 FROM w WHERE w.regulation = p.regulation AND contains(w.whole, p.probe))), 0)::BIGINT AS source_matches FROM p GROUP BY regulation""",
+    "compare_runs": f"""{_RUNS}, n AS (SELECT *, ('0x' || substr(md5(name), 1, 4))::BIGINT AS n FROM runs), b AS (SELECT * FROM runs WHERE is_baseline)
+SELECT 'runs/a/' || n.name AS artifact_dir, n.name, n.is_baseline, CASE WHEN n.n % 6 > 0 THEN n.n % 2 = 0 ELSE false END AS validation_passed,
+  row_number() OVER (ORDER BY coalesce(n.test_macro_f1, -1) DESC, coalesce(n.test_accuracy, -1) DESC, NOT n.is_baseline, n.name)::INT AS rank,
+  n.test_macro_f1, n.test_accuracy, n.bayesian_primary_score, n.calibration_test_ece, {", ".join(
+      f"CASE WHEN NOT n.is_baseline THEN round(n.{m} - b.{m}, 6) END AS delta_{m}" for m in gates._RUN_METRICS)} FROM n, b""",
     "count_reconciliation": """SELECT source, count(*) + (substr(source, 4)::INT % 7 = 0)::INT AS expected, count(*) AS actual,
   substr(source, 4)::INT % 7 <> 0 AS ok FROM documents GROUP BY source""",
     "smallest_policy_per_label": f"""WITH {I.EXAMPLES} SELECT label, min(policy_uid) AS policy_uid FROM split_examples

@@ -97,6 +97,14 @@ def best_active_records(spark, sf):
         structure.extract_subcategories(subcategory_lines(spark, sf)), prefer_active=True))
 
 
+def all_regulations(spark, sf):
+    """Best records of every regulation's text in one table."""
+    r = structure.union_all_regulations([
+        structure.best_records(structure.extract_articles(article_lines(spark, sf))),
+        structure.best_records(structure.extract_subcategories(subcategory_lines(spark, sf)), prefer_active=True)])
+    return r.select("regulation", "doc_id", "record_id", "normalized_id", "text", F.col("seq.source").alias("source"))
+
+
 def clean_lines(spark, sf):
     lines = structure.drop_toc_lines(clause_lines(spark, sf))
     return structure.drop_noise_lines(lines, "clauses")
@@ -137,7 +145,7 @@ def chunk_bounds(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    articles, numbered_clauses, subcategories, best_records, best_active_records, clean_lines,
+    articles, numbered_clauses, subcategories, best_records, best_active_records, all_regulations, clean_lines,
     chunks, chunk_bounds)}
 
 # --- SQL ----------------------------------------------------------------------------
@@ -295,3 +303,6 @@ FROM ch JOIN documents USING (doc_id)""",
     "chunk_bounds": """SELECT doc_id, true AS dense, true AS bytes_ok, true AS lines_ok,
   length(regexp_replace(text, '\\s+', '', 'g')) AS characters FROM documents""",
 }
+ORACLE["all_regulations"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS regulation, doc_id, record_id, normalized_id, text, {i} AS source FROM ({ORACLE[q]})"
+    for i, (name, q) in enumerate((("GDPR", "best_records"), ("NISTPF", "best_active_records"))))

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor
 from clausewise import lexicon
 from clausewise.functions import scoring, text
 from clausewise.operators import assess, metrics
-from clausewise.operators.checks import matched_checks
 from clausewise.sources.ledger import BucketedTable, append_batch
 from clausewise.operators.ordering import guard_unions
 
@@ -81,13 +80,7 @@ def clause_events(clauses: DataFrame, classify: Callable[[DataFrame], DataFrame]
     clauses = clauses.withColumn("clause", F.coalesce("clause", F.lit("")))
     c = classify(clauses) if classify else clauses.withColumns(
         {"predicted_label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
-    c = c.withColumns({"_low": F.lower("clause"), "_tokens": text.evidence_tokens("clause")})
-    found = F.filter(matched_checks(F.col("_low"), specs), lambda m: F.size(m["matched"]) > 0)
-    rows = c.withColumn("_found", found)
-    rows = rows.select(*[x for x in rows.columns if x != "_found"], F.posexplode_outer("_found").alias("_nth", "_m"))
-    words = sorted({k for _, _, _, kws in specs for k in kws})
-    rows = rows.select("*", *[F.col(f"_m.{f}").alias(f) for f in ("check_seq", "check_id", "check_title")],
-                       F.col("_m.matched").alias("matched", metadata={"keywords": words})).drop("_m")
+    rows = assess.claims_outer(c, specs)
     rows = assess.with_verdicts(assess.rank_evidence(rows, extra_controls, regulations, key=key))
     types = {f.name: f.dataType for f in _schema(_EVENT).fields}
 
@@ -203,8 +196,7 @@ def stream_events(docs: DataFrame, classify=None, extra_controls=None, regulatio
                   key: str = "doc_id", specs=lexicon.CHECK_SPECS) -> DataFrame:
     """All events of arriving documents, in order: start, clause_start, classification_complete,
     check_match, verdict_complete with running passes and fails, complete with the score."""
-    d = text.with_clauses(docs.select(key, text_col), text_col, "_c").drop(text_col)
-    clauses = d.select(key, F.size("_c").alias("clauses_total"), F.posexplode_outer("_c").alias("clause_index", "clause"))
+    clauses = assess.every_clause(docs, text_col, key)
     return stream_clause_events(clauses, classify, extra_controls, regulations, key, specs)
 
 
