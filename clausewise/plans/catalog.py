@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = ("q_metrics", "q_assess", "q_classify", "q_corpora", "q_structure", "q_retrieval",
-            "q_gates", "q_streams")
+            "q_gates", "q_streams", "q_sources")
 
 
 def _collect(attr: str) -> dict:

@@ -28,11 +28,11 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_records(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*.jsonl") -> DataFrame:
     """JSON lines as (record MAP, file_name, seq): keeps which keys a row has."""
     reader = spark.read
     if recursive:
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     lines = reader.text(path).select("value", F.col("_metadata.file_name").alias("file_name"),
                                      file_order().alias("seq"))
     parsed = F.from_json("value", RECORD, {"mode": "FAILFAST"})
@@ -45,7 +45,16 @@ def read_csv_header(spark: SparkSession, path) -> DataFrame:
                           quote='"')
 
 
-def read_annotations(spark: SparkSession, folder: str, min_fields: int = 6) -> DataFrame:
+def _arity(names: list[str]) -> Column:
+    """Fields of a line: all of the schema's unless it was short, then those between the
+    separators outside quotes. Never fewer than were read (and the reader wants a query on
+    the corrupt-record column to name others too)."""
+    bare = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "")
+    filled = F.size(F.array_compact(F.array(*names)))
+    return F.greatest(filled, F.when(F.col("_bad").isNull(), len(names)).otherwise(F.size(F.split(bare, ","))))
+
+
+def read_annotations(spark: SparkSession, folder: str, min_fields: int = 6, glob: str = "*.csv") -> DataFrame:
     """Headerless annotation files; rows with too few fields are left out.
 
     An empty field still counts. Short rows are told apart by the corrupt-record
@@ -54,13 +63,8 @@ def read_annotations(spark: SparkSession, folder: str, min_fields: int = 6) -> D
     names = [f"c{i}" for i in range(9)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_bad"]])
     raw = spark.read.csv(folder, schema=schema, multiLine=True, quote='"', escape='"',
-                         columnNameOfCorruptRecord="_bad", pathGlobFilter="*.csv")
-    bare = F.regexp_replace("_bad", r'"(?:[^"]|"")*"', "")
-    # Never fewer than the fields that were read (and the reader wants a query on the
-    # corrupt-record column to name others too).
-    filled = F.size(F.array_compact(F.array(*names)))
-    arity = F.greatest(filled, F.when(F.col("_bad").isNull(), 9).otherwise(
-        F.size(F.split(bare, ","))))
+                         columnNameOfCorruptRecord="_bad", pathGlobFilter=glob)
+    arity = _arity(names)
     uid = text.uid_from_filename(F.col("_metadata.file_name"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = raw.select(
@@ -88,30 +92,31 @@ def read_policy_meta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_site_meta(spark: SparkSession, path: str) -> DataFrame:
     """Site table whose columns from the eighth on are a list of sectors, as many as the
-    widest line has (separators inside quotes only make the schema wider)."""
+    widest line has (separators inside quotes only make the schema wider). A line of fewer
+    than five fields is left out, an empty fifth one counts."""
     width = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0
     names = [f"c{i}" for i in range(max(8, width))]
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"{n} string" for n in names),
-                         enforceSchema=True, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"{n} string" for n in [*names, "_bad"]),
+                         enforceSchema=True, multiLine=True, escape='"', columnNameOfCorruptRecord="_bad")
     sectors = F.array_compact(F.array(*[text.blank_to_null(n) for n in names[7:]]))
     rows = raw.select(
         text.blank_to_null("c3").alias("policy_uid"), text.blank_to_null("c1").alias("site_url"),
         text.blank_to_null("c2").alias("site_name"),
         text.blank_to_null("c4").alias("site_check_date"), sectors.alias("sectors"),
-        file_order().alias("seq"))
+        _arity(names).alias("_arity"), file_order().alias("seq"))
     last = F.max_by(F.struct("site_url", "site_name", "site_check_date", "sectors"), "seq")
-    return rows.where(F.col("policy_uid").isNotNull()).groupBy("policy_uid").agg(
+    return rows.where(F.col("policy_uid").isNotNull() & (F.col("_arity") >= 5)).groupBy("policy_uid").agg(
         last.alias("r")).select("policy_uid", "r.*")
 
 
-def read_mixed_clause_dir(spark: SparkSession, root: str) -> DataFrame:
-    """All ``*.jsonl`` then all ``*.csv`` below a folder, as record maps.
+def read_mixed_clause_dir(spark: SparkSession, root: str, jsonl: str = "*.jsonl") -> DataFrame:
+    """All ``*.jsonl`` (or another pattern) then all ``*.csv`` below a folder, as record maps.
 
     CSV files may differ in their headers, so files are read per distinct header.
     """
     parts = []
-    if _has_files(spark, root, ".jsonl"):
-        parts.append(read_records(spark, root, recursive=True).withColumn("kind", F.lit(0)))
+    if _has_files(spark, root, jsonl.lstrip("*")):
+        parts.append(read_records(spark, root, recursive=True, glob=jsonl).withColumn("kind", F.lit(0)))
     if _has_files(spark, root, ".csv"):
         lines = (spark.read.option("recursiveFileLookup", "true")
                  .option("pathGlobFilter", "*.csv").text(root)

@@ -78,6 +78,12 @@ def test_all_sectors_are_read(spark, tmp_path):
     assert readers.read_site_meta(spark, p).first()["sectors"] == [f"s{i}" for i in range(40)]
 
 
+def test_sites_need_five_fields(spark, tmp_path):
+    p = put(tmp_path / "s.csv", "a,b,c,d,e,f,g,sector\n1,u,n,four\n1,u,n,five,\n1,\"u,v\",n,quoted\n1,u,n,eight,d,x,y,s\n1,u,n,nine,d,x,y,s,t\n")
+    got = {r["policy_uid"]: r["sectors"] for r in readers.read_site_meta(spark, p).collect()}
+    assert got == {"five": [], "eight": ["s"], "nine": ["s", "t"]}
+
+
 def test_last_spec_of_a_metric_counts(spark):
     from clausewise.operators import metrics
 
