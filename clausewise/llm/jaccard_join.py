@@ -13,10 +13,11 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
   listed under its prefix (its smallest hashes), where linked sets always meet.
 - The boundary is the largest size up to which subsets are no more keys than blocks.
 
-A list is never paired off. Its classes are compared with its first one; classes that are
-still in different components are then compared if parity bitmaps allow the overlap, the nearest
-pairs for each class and component first and in the end all that are left. All comparisons
-are on the whole sets, so the components are exact.
+The classes of a list are compared with its first one, then, in rounds, those outside the
+list's largest component with a leader out of it, another one each time: as many pairs as
+the list has classes. Lists that are connected are done. Only what is left over then, and
+only where parity bitmaps allow the overlap, is compared with all of its list. All
+comparisons are on the whole sets, so the components are exact.
 
 Null and empty text have no shingle and link with nothing, not with each other. Null ids
 count as one lowest id; repeated rows fall into one class. Other columns are ignored.
@@ -43,6 +44,8 @@ KEYS_PER_BUCKET = 500_000
 ROWS_PER_FILE, PAIRS_PER_TASK = 500_000, 20_000
 MAP_CHARS = 1_000_000
 BITMAP = [f"b{i}" for i in range(16)]
+#: Rounds in which classes meet one leader a list, and leaders that a class meets of each component.
+LEADER_ROUNDS, NEAREST = 3, 3
 
 
 @dataclass(frozen=True)
@@ -270,10 +273,10 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
     star = shared.groupBy("f").agg(F.max_by("v", F.struct("n", "v")).alias("v")).select(F.col("f").alias("u"), "v")
     tested = _settled(star, most // 4)
     edges = _settled(_verified(tested, sets, rule), most // 4, PAIRS_PER_TASK)
-    for most_tested in (1, 16, None, 0):
+    for step in (*range(LEADER_ROUNDS), "all", "done"):
         comps = _settled(components(edges), most // 4)
         release(docs.sparkSession)
-        if most_tested == 0:
+        if step == "done":
             break  # all that may link have been compared
         node = comps.withColumnRenamed("node", "f")
         placed = lists.join(node, "f", "left").select("key", "f", F.coalesce("comp", "f").alias("comp"))
@@ -284,24 +287,29 @@ def _links(docs: DataFrame, measured: DataFrame, rule: Rule) -> DataFrame:
         largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
             F.max_by("comp", F.struct("n", "comp")).alias("largest"))
         split = placed.join(largest, "key").join(classes.select("f", "n", *BITMAP), "f")
-        a, b = split.where("comp <> largest"), split
-        a = a.select("key", F.col("f").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), *[
-            F.col(x).alias(f"u{x}") for x in BITMAP])
-        apart = sum((F.bit_count(F.col(f"u{x}").bitwiseXOR(F.col(x))) for x in BITMAP), F.lit(0))
-        differ = F.floor((rule.den - rule.num) * (F.col("nu") + F.col("n")) / (rule.den + rule.num))
-        near = a.join(b, [a["key"] == b["key"], a["cu"] != b["comp"], apart <= differ])
-        near = near.select(F.greatest("u", "f").alias("u"), F.least("u", "f").alias("v"), "cu", "comp",
-                           apart.alias("d")).distinct()
+        names = lambda d, p: d.select("key", *[F.col(c).alias(f"{p}{c}") for c in ("f", "n", "comp", *BITMAP)])
+        if step == "all":
+            a, b = names(split.where("comp <> largest"), "u"), names(split, "v")
+        else:
+            # One class of the list's largest component, another one each time.
+            lead = F.min_by(F.struct("f", "n", "comp", *BITMAP), F.xxhash64("f", F.lit(step)))
+            a = names(split.where("comp <> largest"), "u")
+            b = names(split.where("comp = largest").groupBy("key").agg(lead.alias("l")).select("key", "l.*"), "v")
+        apart = sum((F.bit_count(F.col(f"u{x}").bitwiseXOR(F.col(f"v{x}"))) for x in BITMAP), F.lit(0))
+        differ = F.floor((rule.den - rule.num) * (F.col("un") + F.col("vn")) / (rule.den + rule.num))
+        near = a.join(b, [a["key"] == b["key"], F.col("ucomp") != F.col("vcomp"), apart <= differ])
+        near = near.select(F.greatest("uf", "vf").alias("u"), F.least("uf", "vf").alias("v"), F.col("uf").alias("w"),
+                           F.col("vcomp").alias("y"), apart.alias("d"))
+        if step != "all":  # of each class and each other component the nearest leaders
+            near = top_k(near.distinct(), ["w", "y"], [F.col("d"), F.col("u"), F.col("v")], NEAREST)
         done = tested.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        fresh = near.join(done, ["u", "v"], "left_anti")
-        # Of each class and each other component the nearest pairs, in the end all.
-        fresh = fresh.select("u", "v", "d", F.least("cu", "comp").alias("x"), F.greatest("cu", "comp").alias("y"))
-        if most_tested:
-            fresh = top_k(fresh, ["u", "x", "y"], [F.col("d"), F.col("v")], most_tested)
-        fresh = _settled(fresh.select("u", "v").distinct(), most)
+        fresh = near.select("u", "v").distinct().join(done, ["u", "v"], "left_anti")
+        fresh = _settled(fresh, most)
         release(docs.sparkSession)
         if fresh.isEmpty():
-            break
+            if step == "all":
+                break
+            continue
         tested = tested.unionByName(fresh)
         edges = _settled(edges.unionByName(_verified(fresh, sets, rule)), most // 4, PAIRS_PER_TASK)
     return comps
