@@ -60,6 +60,15 @@ def tokenize(c) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+#: Fixed value: what a term of the TF-IDF model is, on lower-cased text; word bounds take in
+#: letters and digits of all scripts.
+MODEL_TOKEN = r"(?U)\b[a-zA-Z0-9][a-zA-Z0-9']+\b"
+
+
+def model_tokens(c) -> Column:
+    return F.regexp_extract_all(F.lower(col(c)), F.lit(MODEL_TOKEN), F.lit(0))
+
+
 def evidence_tokens(c) -> Column:
     return F.array_distinct(
         F.regexp_extract_all(F.lower(col(c)), F.lit("[a-z0-9]{3,}"), F.lit(0))

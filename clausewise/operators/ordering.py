@@ -8,6 +8,8 @@ task cuts them the same way.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,21 +228,31 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where none is set a folder of our own stands in for it in local mode, as in tests; on a
+    cluster a folder of one machine would not be seen by the others, so that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, for a table several branches read.
 
-    Uses the session's reliable checkpoint folder (``spark.checkpoint.dir``), so lost
-    executors cost nothing; a folder of our own only where none is set.
+    Uses the session's reliable checkpoint folder, so lost executors cost nothing.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

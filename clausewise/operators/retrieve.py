@@ -198,9 +198,9 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
 
 
-def term_counts(docs: DataFrame, key: str, text_col: str = "text", ngram_max: int = 1) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text_col: str = "text", ngram_max: int = 1, tokens=text.tokenize) -> DataFrame:
     """(key, term, tf) over word tokens and n-grams."""
-    t = text.tokenize(text_col)
+    t = tokens(text_col)
     rows = docs.select(key, t.alias("_t"))
     grams = [F.col("_t")] + [_ngrams(F.col("_t"), n) for n in range(2, ngram_max + 1)]
     every = rows.select(key, F.concat(*grams).alias("_g")) if len(grams) > 1 else rows.select(
@@ -226,6 +226,19 @@ def tfidf_weights(counts: DataFrame, stats: DataFrame, key: str, extra: list[str
         key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"), *extra)
 
 
+def tfidf_vectors(docs: DataFrame, key: str, text_col: str = "text", ngram_max: int = 2, **bounds) -> DataFrame:
+    """(key, term, w): TF-IDF of the regression's tokens and n-grams, each text's length 1.
+
+    The same numbers as the features of ``classify.tfidf_logreg``, for a vocabulary of any
+    size (``bounds`` as for term_stats).
+    """
+    counts = materialize(term_counts(docs, key, text_col, ngram_max, text.model_tokens))
+    stats = materialize(term_stats(counts, docs.count(), **bounds))
+    weights = tfidf_weights(counts, stats, key)
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return weights.withColumn("w", F.col("w") / length)
+
+
 class SparseIndex:
     """Normalized TF-IDF postings in blocks of falling impact.
 

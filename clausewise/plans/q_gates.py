@@ -53,6 +53,13 @@ def quality_gates(spark, sf):
     return checks.where("name <> 'calibration_ece_target'").select("name", "required", "passed", "details")
 
 
+def interval_check(spark, sf):
+    """Bootstrap intervals, and the same with their ends swapped."""
+    b = materialize(C.bootstrap_ci(spark, sf))
+    swapped = b.withColumns({"lower": F.col("upper"), "upper": F.col("lower")})
+    return gates.bootstrap_interval_check(guard_unions(b).unionByName(swapped))
+
+
 def gate_verdict(spark, sf):
     return gates.overall(gates.run_validation(_run(spark, sf)))
 
@@ -213,7 +220,7 @@ def policies_per_label(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    quality_gates, gate_verdict, acceptance_gates, leaderboard, baseline_deltas, compare_runs, registry_rank,
+    quality_gates, interval_check, gate_verdict, acceptance_gates, leaderboard, baseline_deltas, compare_runs, registry_rank,
     run_trend, metrics_shape, band_eval, band_labels, alignment, id_differences, id_algebra,
     dangling_chunks, source_matches, count_reconciliation, smallest_policy_per_label,
     policies_per_label)}
@@ -274,6 +281,9 @@ diff AS (SELECT regulation, native_id, 'missing' AS side FROM (SELECT * FROM exp
 
 ORACLE = {
     "quality_gates": f"{_CHK} SELECT * FROM checks",
+    "interval_check": f"""WITH b AS ({C.ORACLE["bootstrap_ci"]})
+SELECT 'bootstrap_intervals_valid' AS name, false AS required, count(*) FILTER (WHERE upper > lower) = 0 AS passed,
+  '{{"metrics_checked":' || (2 * count(*)) || ',"invalid_intervals":' || count(*) FILTER (WHERE upper > lower) || '}}' AS details FROM b""",
     "gate_verdict": f"""{_CHK}, {C._VIEWS}, {C._CAL_SUM}, every_check AS (
   SELECT name, required AND name <> 'bayesian_evidence_available' AS required, passed FROM checks
   UNION ALL SELECT 'calibration_ece_target', false, ece <= 0.2 FROM cal WHERE target = 'top_label')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausewise.functions import probabilities as P
+from clausewise.functions import text
 from clausewise.operators import assess, ordering, retrieve
 from clausewise.plans import inputs as I
 
@@ -48,10 +49,17 @@ def group_dedup(spark, sf):
 
 def tfidf_vocabulary(spark, sf):
     d = _docs(spark, sf)
-    s = retrieve.term_stats(retrieve.term_counts(d, "doc_id", ngram_max=2), d.count())
+    s = retrieve.term_stats(retrieve.term_counts(d, "doc_id", ngram_max=2, tokens=text.model_tokens), d.count())
     return s.withColumn("idf", F.round("idf", 6))
 
 
+def tfidf_vectors(spark, sf):
+    """Each document's vector: its terms, their weights added up, its squared length."""
+    w = retrieve.tfidf_vectors(_docs(spark, sf), "doc_id", min_df=2, max_df=0.95)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("w"), 6).alias("weight"),
+                                   F.round(F.max("w"), 6).alias("heaviest"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("squares"))
+
+
 def vector_summary(spark, sf):
     v = _vectors(spark, sf).select(
         "label", P.l2_norm("embedding").alias("norm"), P.mean_abs("embedding").alias("a"),
@@ -131,7 +139,7 @@ def retrieve_with_fallback(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    dense_topk, sparse_topk, hybrid_rrf, group_dedup, tfidf_vocabulary, vector_summary,
+    dense_topk, sparse_topk, hybrid_rrf, group_dedup, tfidf_vocabulary, tfidf_vectors, vector_summary,
     attention_entropy, layer_rollup, attention_rollup, layer_summary, retrieve_with_fallback)}
 
 # --- SQL ----------------------------------------------------------------------------
@@ -159,6 +167,12 @@ sparse AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 200)"""
 _FUSED = """fused AS (SELECT query_id, doc_id, round(coalesce(0.7::DOUBLE / (60 + d.rank), 0) + coalesce(0.3::DOUBLE / (60 + s.rank), 0), 9) AS score
   FROM dense d FULL JOIN sparse s USING (query_id, doc_id))"""
+# Letters and digits beyond ASCII become "_": no part of a term, but no bound of a word either.
+_MODEL_TERMS = """t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^\\P{L}a-z]|[^\\P{N}0-9]', '_', 'g'),
+  '\\b[a-z0-9][a-z0-9'']+\\b') AS t FROM documents),
+g AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t),
+c AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL)"""
 _NORM = "sqrt(list_sum(list_transform({x}, lambda v: v::DOUBLE * v::DOUBLE)))"
 _ABS = "(list_sum(list_transform({x}, lambda v: abs(v::DOUBLE))) / len({x}))"
 _MEAN = "(list_sum(list_transform({x}, lambda v: v::DOUBLE)) / len({x}))"
@@ -175,12 +189,14 @@ ORACLE = {
   QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) = 1)
 SELECT query_id, row_number() OVER w AS rank, doc_id, text, score, source_document_id FROM g
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
-    "tfidf_vocabulary": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS t FROM documents),
-g AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL
-  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t),
-c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL)
+    "tfidf_vocabulary": f"""WITH {_MODEL_TERMS}
 SELECT *, round(ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM (
   SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term)""",
+    "tfidf_vectors": f"""WITH {_MODEL_TERMS}, s AS MATERIALIZED (SELECT term, df, ln((1.0::DOUBLE + n) / (1 + df)) + 1 AS idf FROM (
+  SELECT term, count(*) AS df FROM c GROUP BY term), (SELECT count(*) AS n FROM documents) WHERE df >= 2 AND df <= 0.95 * n),
+w AS (SELECT doc_id, (1 + ln(tf)) * idf AS w FROM c JOIN s USING (term)),
+u AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w)
+SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS weight, round(max(w), 6) AS heaviest, round(sum(w * w), 6) AS squares FROM u GROUP BY doc_id""",
     "vector_summary": f"""SELECT label, round(avg({_NORM.format(x='embedding')}), 6) AS mean_norm,
   round(max({_NORM.format(x='embedding')}), 6) AS max_norm, round(avg({_ABS.format(x='embedding')}), 6) AS mean_abs,
   round(1 / (1 + exp(-avg({_MEAN.format(x='embedding')}))), 6) AS activation_score FROM embeddings GROUP BY label""",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausewise.operators import classify, examples, practices, public
+from clausewise import lexicon
+from clausewise.operators import classify, examples, practices, public, risk
+from clausewise.operators.ordering import materialize
 from clausewise.plans import inputs as I
 from clausewise.plans import q_classify as C
 from clausewise.plans.q_streams import _folder
@@ -180,9 +182,21 @@ def nb_model_read(spark, sf):
     return model.tokens.select("token", "total", *[F.col(f"c_{l}") for l in model.labels])
 
 
+def priors_read(spark, sf):
+    """Priors from a JSON object of label counts, one of them no number, under the posterior."""
+    n = materialize(I.labeled_examples(spark, sf)).agg(
+        F.count_if(F.col("label") == "user").alias("u"), F.count(F.lit(1)).alias("n"))
+    folder = _folder(spark)
+    n.select(F.format_string('{"user": {"alpha": %d, "beta": "%d"}, "system": {"alpha": "none", "beta": -1}, "other": {"alpha": 1}}',
+                             "u", "n").alias("value")).coalesce(1).write.text(folder)
+    p = risk.beta_posterior(C.predictions(spark, sf), risk.read_priors(spark, folder))
+    return p.select("level", "prior_alpha", "prior_beta", "alpha", "beta", "mean", "evidence_count")
+
+
 QUERIES = {f.__name__: f for f in (
     jsonl_read, csv_read, annotations_read, site_meta_read, policy_meta_read, public_read, practice_docs_read, mixed_dir_read,
-    by_regulation_read, manifest_read, history_append, upserted_chunks, nb_model_read)}
+    by_regulation_read, manifest_read, history_append, upserted_chunks, nb_model_read,
+    priors_read)}
 
 ORACLE = {
     "jsonl_read": "SELECT doc_id, source, n_chars, md5(text) AS text_md5 FROM documents",
@@ -209,3 +223,11 @@ FROM part WHERE p_partkey % 4 > 0 OR p_partkey % 5 = 0""",
 }
 
 ORACLE["nb_model_read"] = C.ORACLE["nb_model"]
+_PRIORS = ", ".join(f"('{n}', {float(a)}::DOUBLE, {float(b)}::DOUBLE)" for n, (a, b) in lexicon.BETA_PRIORS.items())
+ORACLE["priors_read"] = f"""{C._P}, e AS (SELECT count(*) FILTER (WHERE label = 'user')::DOUBLE AS u, count(*)::DOUBLE AS n FROM examples),
+p AS (SELECT l AS level, CASE WHEN l = 'user' THEN u ELSE a END AS prior_alpha, CASE WHEN l = 'user' THEN n ELSE b END AS prior_beta
+  FROM (VALUES {_PRIORS}) d(l, a, b), e),
+s AS (SELECT predicted_label AS level, sum(confidence) AS c, count(*) AS evidence_count FROM predictions GROUP BY 1),
+x AS (SELECT level, prior_alpha, prior_beta, prior_alpha + coalesce(c, 0) AS a, prior_beta + coalesce(evidence_count, 0) - coalesce(c, 0) AS b,
+  coalesce(evidence_count, 0) AS evidence_count FROM p LEFT JOIN s USING (level))
+SELECT level, prior_alpha, prior_beta, round(a, 6) AS alpha, round(b, 6) AS beta, round(a / (a + b), 6) AS mean, evidence_count FROM x"""

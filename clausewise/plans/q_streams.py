@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
+from clausewise.operators.ordering import shared_folder
 from clausewise.plans import inputs as I
 from clausewise.plans import q_assess as A
 from clausewise.streaming import streams
 
 
 def _folder(spark) -> str:
-    """A new folder in the session's shared checkpoint place, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in the session's shared place."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _read(spark, sf, name):
