@@ -82,23 +82,23 @@ def clause_events(clauses: DataFrame, classify: Callable[[DataFrame], DataFrame]
         {"predicted_label": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     rows = assess.claims_outer(c, specs)
     rows = assess.with_verdicts(assess.rank_evidence(rows, extra_controls, regulations, key=key))
-    types = {f.name: f.dataType for f in _schema(_EVENT).fields}
+    types = {f.name: f.dataType for f in _schema(_EVENT).fields if f.name not in ("clauses_total", "clause_index", "step")}
+    nothing = F.array().cast("array<struct<" + ",".join(f"{f}:{t.simpleString()}" for f, t in types.items()) + ">>")
 
     def event(name, stage, **fields):
         have = {"event": F.lit(name), "stage": F.lit(stage), **fields}
-        return F.struct(*[have.get(f, F.lit(None)).cast(types[f]).alias(f) for f in types
-                          if f not in ("clauses_total", "clause_index", "step")])
+        return F.struct(*[have.get(f, F.lit(None)).cast(t).alias(f) for f, t in types.items()])
 
     opened = [event("clause_start", "read_claim", note=F.substring("clause", 1, note_chars))]
-    labelled = F.array(*opened, event("classification_complete", "classify_claim", predicted_label=F.col("predicted_label"),
-                                      confidence=F.round("confidence", 6)))
-    first = F.when(F.col("clause_index").isNull(), F.array(event("no_clauses", "read_claim"))).when(
-        F.coalesce("_nth", F.lit(0)) > 0, F.array().cast(labelled_type := "array<struct<" + ",".join(
-            f"{f}:{t.simpleString()}" for f, t in types.items() if f not in ("clauses_total", "clause_index", "step")) + ">>")).otherwise(
-        labelled if classify else F.array(*opened))
+    if classify:
+        opened.append(event("classification_complete", "classify_claim", predicted_label=F.col("predicted_label"),
+                            confidence=F.round("confidence", 6)))
+    # A clause is opened with its first check, or without any.
+    first = (F.when(F.col("clause_index").isNull(), F.array(event("no_clauses", "read_claim")))
+             .when(F.coalesce("_nth", F.lit(0)) > 0, nothing).otherwise(F.array(*opened)))
     checked = F.when(F.col("check_id").isNotNull(), F.array(event(
         "check_match", "match_checks", check_id=F.col("check_id"), check_title=F.col("check_title"),
-        note=F.concat_ws("|", "matched")))).otherwise(F.array().cast(labelled_type))
+        note=F.concat_ws("|", "matched")))).otherwise(nothing)
     judged = F.transform("verdicts", lambda v: event(
         "verdict_complete", "score_controls", check_id=F.col("check_id"), check_title=F.col("check_title"),
         regulation=v["regulation"], control_id=v["control_id"], control_title=v["control_title"], compliant=v["compliant"],
