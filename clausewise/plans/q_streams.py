@@ -19,13 +19,17 @@ def _folder(spark) -> str:
 
 
 def _read(spark, sf, name):
+    """A given table as a stream, whether it is a file or a folder of files.
+
+    A stream reads a lone file only through a pattern. All files are one batch: they are in no
+    order of time, and windows would drop what a later file has of them.
+    """
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option(
-        "maxFilesPerTrigger", 1).parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 def _doc_stream(spark, sf):
-    # The table is a single file here; many files would already be many tasks.
+    # A table of one file would be one task.
     docs = _read(spark, sf, "documents").select("doc_id", "text")
     return I.policy_texts(docs.repartition(spark.sparkContext.defaultParallelism, "doc_id"))
 

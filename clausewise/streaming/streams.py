@@ -299,8 +299,12 @@ def run_append(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def run_complete(stream: DataFrame, folder: str) -> DataFrame:
-    """The same for an aggregate: the last full result is kept, one folder per batch."""
+    """The same for an aggregate: the last full result is kept, one folder per batch.
+
+    Before the first batch the result is empty, and stays so without any input.
+    """
     spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(-1)).write.parquet(f"{folder}/out/b=-1")
     q = (stream.writeStream.outputMode("complete")
          .foreachBatch(lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("overwrite")
                        .parquet(f"{folder}/out/b={i}"))

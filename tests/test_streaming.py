@@ -55,6 +55,22 @@ def test_late_rows_are_dropped_after_the_delay(spark, tmp_path):
     assert [(r["pass_count"], r["fail_count"]) for r in sorted(got, key=lambda r: r["window_start"])] == [(1, 0), (0, 1)]
 
 
+def test_streams_of_a_table_in_many_files(spark, tmp_path):
+    """A table may be a folder of files, or have none of its rows yet."""
+    from clausewise.plans import q_streams
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12")
+    for name, table in (("one", docs.coalesce(1)), ("many", docs.repartition(3)), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "one" / "documents.parquet").glob("part-*.parquet"))
+    part.rename(tmp_path / "file" / "documents.parquet")
+    for query in (q_streams.stream_tallies, q_streams.stream_assess, q_streams.stream_events):
+        got = rows(query(spark, str(tmp_path / "many")))
+        assert got and got == rows(query(spark, str(tmp_path / "file")))
+    assert rows(q_streams.stream_tallies(spark, str(tmp_path / "none"))) == []
+
+
 def labelled(clauses):
     from clausewise.operators import classify
     from clausewise.plans.q_classify import _length_scorer
