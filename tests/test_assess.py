@@ -144,3 +144,26 @@ def test_every_phrase_side_occurs(spark):
     assert {r[0] for r in v.select("compliant").distinct().collect()} == {True, False}
     assert v.select("check_id").distinct().count() == 8
     assert isinstance(v.select(F.max("rank")).first()[0], int)
+
+
+def test_controls_that_no_claim_tells_apart_count_once(spark):
+    """As many blocks for ten times the controls, and the lists of one block of all of them."""
+    words = ["consent", "notice", "access", "records", "meadow", "quartz"]
+    rows = assess.claims(docs(spark))
+    asked = rows.select("check_id", "_tokens", "matched")
+
+    def controls(n):
+        return spark.createDataFrame([
+            (("GDPR", "NIST")[i % 2], f"c{i if i % 3 else i // 9}", f"{words[i % 6]} {words[i // 6 % 6]} id{i}",
+             f"{words[i // 36 % 6]} rule", (i * 7919) % n) for i in range(n)],
+            "regulation string, native_id string, title string, text string, seq int")
+
+    left = []
+    for n in (2000, 20_000):
+        keywords = assess._keywords(rows)
+        dealt, blocks, _ = assess.control_blocks(controls(n), keywords, None, 16, asked, 5)
+        left.append((blocks, dealt.select(F.explode("_extra")).count()))
+    assert left[1][1] <= 1.2 * left[0][1] and left[1][0] <= 1.2 * left[0][0] + 1
+    few, many = (sorted(str((r["doc_id"], r["clause_index"], r["check_id"], r["evidence"])) for r in assess.rank_evidence(
+        rows, controls(2000), block=block).collect()) for block in (10 ** 6, 16))
+    assert few == many
