@@ -184,3 +184,20 @@ def test_upsert_result_can_be_grouped_and_joined(spark):
     per_key = up.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("rows"))
     out = d.join(per_key, "chunk_id").join(target.groupBy("chunk_id").count(), "chunk_id", "left")
     assert out.count() == 200 and out.select("rows").distinct().collect() == [(1,)]
+
+
+def test_policy_versions_are_written_by_many_tasks(spark, monkeypatch):
+    """The last line counts over several ordered files, none of which holds all lines."""
+    from clausewise.plans import q_sources
+
+    sf, seen = "/root/testdata/sf0.001", []
+    read = q_sources.readers.read_policy_meta
+    monkeypatch.setattr(q_sources.readers, "read_policy_meta", lambda s, folder: seen.append(folder) or read(s, folder))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["policy_uid"]: r["policy_url"] for r in q_sources.policy_meta_read(spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg({"o_orderkey": "max"}).collect()
+    assert got == {str(r[0]): f"u{r[1]}" for r in last}
+    assert spark.read.text(seen[0]).selectExpr("input_file_name()").distinct().count() > 1
