@@ -256,3 +256,31 @@ def test_trend_over_block_edges(spark):
             want = None if last is None or last[3] is None or r[3] is None else round(r[3] - last[3], 6)
             assert got[r[2]] == want if want is None else abs(got[r[2]] - want) < 1e-6
             last = r
+
+
+def test_short_documents_are_read_once_and_long_ones_in_blocks(spark):
+    lines = []
+    for d, n in ((1, 12), (2, 60), (3, 7)):
+        for i in range(n):
+            lines.append((d, i, ("CHAPTER I", "Things", "Article 1 ", "Title", "1. One", "more", "ID.IM-P1: Starts", "2. Two",
+                                 "1 Scope", "4.1 Name", "a) Bullet", "")[(i * (d + 4)) % 12]))
+    df = spark.createDataFrame(lines, "doc_id long, line_no long, line string")
+    with_nulls = df.unionByName(spark.createDataFrame([(None, 1, "Article 1"), (4, None, "Article 2")], df.schema))
+    for extract in (structure.extract_articles, structure.extract_subcategories, structure.extract_numbered_clauses):
+        whole = extract(df)
+        told = lambda r: sorted(map(str, r.drop("metadata").collect()))
+        assert told(whole) and told(whole) == told(extract(df, block_rows=20)) == told(extract(df, block_rows=3))
+        assert told(whole) == told(extract(with_nulls))
+        # No document has several blocks, so none is joined with summaries of its blocks.
+        assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strip_takes_every_kind_of_white_space(spark):
+    from clausewise.functions import text
+
+    kinds = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    rows = [(f"{a}{b} x{a} y{b}{a}", f"x{a} y") for a in kinds for b in ("", " ", "\n")] + [("".join(kinds), ""), ("", ""), ("\u200bz ", "\u200bz")]
+    df = spark.createDataFrame(rows, "t string, want string").select(text.strip("t").alias("got"), "want", text.normalize_space("t").alias("n"))
+    for r in df.collect():
+        assert r["got"] == r["want"] and r["n"] == " ".join(r["got"].split())
+    assert "regexp_replace" not in str(text.strip("t"))
