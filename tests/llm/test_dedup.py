@@ -231,3 +231,25 @@ def test_a_part_of_a_passage_in_between_hides_nothing(spark, others):
         assert {(r["_id"], r["first_id"]) for r in got} == {(1001, 1000)}
         covered = {j for r in got for j in range(r["start_word"], r["start_word"] + r["n_words"])}
         assert covered == set(range(20, 76))
+
+
+@pytest.mark.parametrize("kind", [0, 2])
+def test_edited_passages_of_grams_that_very_many_hold(spark, kind):
+    """All hold the first words of 80 pairs of edited copies; the smallest document has them alone."""
+    r = np.random.default_rng(10 + kind)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    head, rows, want = word(26), [], set()
+    rows.append((0, " ".join(word(60) + head + word(60))))
+    for i in range(1, 81):
+        rest = word(24)
+        a = head + word(1) + rest
+        b = head + word(1)[:kind != 2] + rest  # a word replaced or left out
+        if i % 4 == 0:  # the long run behind the edit
+            a, b = a[::-1], b[::-1]
+        a, b = word(60) + a + word(60), word(55) + b + word(62)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        if near_passages(b, a):
+            want.add((1000 + i, i))
+    assert len(want) == 80
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(x["_id"], x["first_id"]) for x in compact_windows.passages(d).collect()} == want
