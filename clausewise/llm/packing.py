@@ -47,7 +47,7 @@ BYTE_CHARS = _byte_chars()
 class WordIds:
     """Ids of texts as 16-bit integers, by a table of white-space words."""
 
-    def __init__(self, file: str, size: int = 600_000):
+    def __init__(self, file: str, size: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
