@@ -253,3 +253,23 @@ def test_edited_passages_of_grams_that_very_many_hold(spark, kind):
     assert len(want) == 80
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {(x["_id"], x["first_id"]) for x in compact_windows.passages(d).collect()} == want
+
+
+def test_keys_of_frequent_grams_meet_in_turns(spark, monkeypatch):
+    """Many passages: no turn has more keys than twice the texts, and turns find what one turn does."""
+    assert compact_windows.edit_turns(0, 0, 46, 5, 5) == 1
+    need = compact_windows.edit_turns(169_631, 53_000_000, 46, 5, 5)
+    assert 1 < need == -(-169_631 * 120 * 21 // 106_000_000)
+    assert compact_windows.edit_turns(1_696_310, 530_000_000, 46, 5, 5) == need
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    head, rows = word(26), []
+    for i in range(75):
+        a = head + word(1) + word(24)
+        b = a[:26] + word(1) + a[27:]
+        rows += [(i, " ".join(word(60) + a + word(60))), (1000 + i, " ".join(word(55) + b + word(62)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = sorted(compact_windows.passages(d).collect())
+    turns = []
+    monkeypatch.setattr(compact_windows, "edit_turns", lambda *a: turns.append(a) or 3)
+    assert once and sorted(compact_windows.passages(d).collect()) == once and turns[0][0] >= 150
