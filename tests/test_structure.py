@@ -284,3 +284,18 @@ def test_strip_takes_every_kind_of_white_space(spark):
     for r in df.collect():
         assert r["got"] == r["want"] and r["n"] == " ".join(r["got"].split())
     assert "regexp_replace" not in str(text.strip("t"))
+
+
+def test_chunk_bounds_of_documents_without_chunks(spark, tmp_path):
+    import duckdb
+
+    from clausewise.plans import q_structure
+
+    texts = [None, "", " \n\t ", "\x0b", "a\x0bb", "a\x85b c", "x\x1cy\x1fz\x1f", "\u00a0a\u3000\n\u3000", "\u2003 " * 400,
+             "\u00e9\u00a0" * 500, "y" * 1300, "a" + " " * 700 + "b", "a\r\nb\r\rc\n"]
+    rows = [(i, t, "web", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in q_structure.chunk_bounds(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(q_structure.ORACLE["chunk_bounds"]).fetchall())
