@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from clausewise.functions import text
-from clausewise.operators.ordering import shared_folder
+from clausewise.operators.ordering import reach_workers, shared_folder
 from clausewise.plans import inputs as I
 from clausewise.plans import q_assess as A
 from clausewise.streaming import streams
@@ -49,18 +49,25 @@ def _by_length(clauses):
 
 
 def stream_events(spark, sf):
-    """Clauses of each document arrive in three batches, the last ones first."""
+    """Clauses of each document arrive in three batches, the last ones first.
+
+    A batch is as many files as there are tasks, and the stream goes on from its checkpoint.
+    """
+    reach_workers(spark)
     folder = _folder(spark)
     docs = _doc_stream(spark, sf)
     d = text.with_clauses(docs, "policy_text", "_c").drop("policy_text")
     clauses = d.select("doc_id", F.size("_c").alias("clauses_total"), F.posexplode_outer("_c").alias("clause_index", "clause"))
     parts = streams.run_append(clauses, f"{folder}/clauses")
-    (parts.withColumn("_turn", F.pmod(-F.coalesce("clause_index", F.lit(0)), F.lit(3)))
-     .repartitionByRange(3, "_turn").write.option("maxRecordsPerFile", 0).parquet(f"{folder}/turns"))
-    live = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{folder}/turns")
+    spark.createDataFrame([], parts.schema).write.parquet(f"{folder}/turns")
+    live = spark.readStream.schema(parts.schema).parquet(f"{folder}/turns")
     with streams.with_state_store(spark):
-        return streams.run_append(streams.stream_clause_events(live, _by_length), f"{folder}/events")
+        events = streams.stream_clause_events(live, _by_length)
+        for turn in range(3):
+            mine = parts.where(F.pmod(-F.coalesce("clause_index", F.lit(0)), F.lit(3)) == turn)
+            mine.write.mode("append").parquet(f"{folder}/turns")
+            out = streams.run_append(events, f"{folder}/events")
+    return out
 
 
 def stream_tallies(spark, sf):

@@ -118,6 +118,17 @@ def test_events_keep_state_over_batches(spark, tmp_path):
     assert [r["event"] for r in by_doc[900]] == ["start", "complete"]
 
 
+def test_state_takes_a_row_for_each_check_not_for_each_event(spark):
+    """Events reach the state as texts: a clause's rows are as many as its checks, one at least."""
+    docs = I.policy_docs(spark, SF).where("doc_id < 12")
+    clauses = assess.every_clause(docs)
+    made = streams.clause_events(clauses, labelled)
+    n_checks = assess.claims(docs).groupBy("doc_id", "clause_index").count()
+    want = clauses.join(n_checks, ["doc_id", "clause_index"], "left").agg(F.sum(F.coalesce("count", F.lit(1)))).first()[0]
+    got = made.agg(F.count(F.lit(1)), F.sum("events"), F.sum("claims"), F.count("label")).first()
+    assert got[0] == want < got[1] and got[2] == assess.claims(docs).count() and got[3] == clauses.count()
+
+
 def test_replayed_batches_change_nothing(spark, tmp_path):
     runs = spark.createDataFrame([(f"r{i}", i / 10) for i in range(6)], "name string, f1 double")
     live = stream_of(spark, runs, str(tmp_path / "runs"), 3)
