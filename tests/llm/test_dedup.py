@@ -273,3 +273,53 @@ def test_keys_of_frequent_grams_meet_in_turns(spark, monkeypatch):
     turns = []
     monkeypatch.setattr(compact_windows, "edit_turns", lambda *a: turns.append(a) or 3)
     assert once and sorted(compact_windows.passages(d).collect()) == once and turns[0][0] >= 150
+
+
+@pytest.mark.parametrize("kind", [0, 2])
+def test_passages_of_frequent_grams_that_repeat_shingles(spark, kind):
+    """Edited copies that say some words twice: no key of runs tells them, their sets do."""
+    r = np.random.default_rng(20 + kind)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    head, rows, want = word(26), [], set()
+    rows.append((0, " ".join(word(60) + head + word(60))))
+    for i in range(1, 81):
+        rest = word(5) * 2 + word(14)
+        a = head + word(1) + rest
+        b = head + word(1)[:kind != 2] + rest
+        if i % 4 == 0:
+            a, b = a[::-1], b[::-1]
+        again = word(20) + b if i % 5 == 0 else []  # twice in one document
+        a, b = word(60) + a + word(60), word(55) + b + again + word(62)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        if near_passages(b, a):
+            want.add((1000 + i, i))
+    assert len(want) > 70
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = compact_windows.passages(d).collect()
+    assert {(x["_id"], x["first_id"]) for x in got} == want
+    for i in range(1005, 1081, 5):  # both places of a passage that a document says twice
+        at = [x["start_word"] for x in got if x["_id"] == i]
+        assert not at or max(at) - min(at) > 50
+
+
+def test_sets_in_turns_find_the_smallest_document():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2 ** 63, 60).astype(np.uint64)
+    token = np.concatenate([r.choice(pool, 46 if i % 3 else 20) for i in range(400)] + [np.resize(pool[i:i + 7], 60) for i in range(20)])
+    at = np.arange(0, len(token) - 46, 5)
+    uses = np.zeros(1 << 16, np.int64)
+    doc, sets = at // 40, [frozenset(token[i:i + 46].tolist()) for i in at]
+    keys, owner, rows = compact_windows.prefix(token, at, 46, uses, 80, 100)
+    said = {"docs": doc, "starts": at, "asks": np.array([len(s) < 46 for s in sets])}
+    got = {}
+    for turn in range(3):
+        pdf = compact_windows._packed(keys, owner, said, 4, turn, 3, rows)
+        for _, part in pdf.groupby("bucket"):
+            for x in compact_windows._similar(part, 46, 80, 100).itertuples():
+                got[x.at] = min(got.get(x.at, x.first), x.first)
+    want = {}
+    for i, a in enumerate(sets):
+        like = [doc[j] for j, b in enumerate(sets) if doc[j] < doc[i] and 5 * len(a & b) >= 4 * len(a | b)]
+        if like:
+            want[at[i]] = min(like)
+    assert want and got == want
