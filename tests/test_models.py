@@ -165,3 +165,23 @@ def test_source_matches_look_at_every_row_text_and_source(spark):
     got = gates.source_match_rate(spark.createDataFrame(controls, "regulation string, seq int, text string"),
                                   spark.createDataFrame(sources, "regulation string, source_text string"))
     assert {tuple(r) for r in got.collect()} == {("a", 34, 31), ("b", 1, 0)}
+
+
+def test_runs_that_no_probe_asks_for_are_not_moved(spark):
+    from clausewise.operators import gates
+
+    rows = spark.createDataFrame([(i, [i * 1000 + j for j in range(50)] if i else []) for i in range(40)], "id int, keys array<bigint>")
+    asked = spark.createDataFrame([(7003,), (-5,), (39049,)], "key bigint")
+    got = {tuple(r) for r in gates.asked_only(rows, asked, "keys", "key").collect()}
+    assert {(7, 7003), (39, 39049)} <= got and len(got) < 20
+    assert gates.asked_only(rows, asked.limit(0), "keys", "key").collect() == []
+
+
+def test_many_short_probes_go_to_salted_texts(spark, monkeypatch):
+    from clausewise.operators import gates
+
+    controls = spark.createDataFrame([("a", i, f"w{i} x") for i in range(30)], "regulation string, seq int, text string")
+    sources = spark.createDataFrame([("a", f"v w{i} xy") for i in range(20)] + [("b", "w25 x")], "regulation string, source_text string")
+    for most in (gates.BROADCAST_CHARS, -1):
+        monkeypatch.setattr(gates, "BROADCAST_CHARS", most)
+        assert [tuple(r) for r in gates.source_match_rate(controls, sources).collect()] == [("a", 30, 20)]
