@@ -323,3 +323,26 @@ def test_sets_in_turns_find_the_smallest_document():
         if like:
             want[at[i]] = min(like)
     assert want and got == want
+
+
+def test_edited_passages_that_say_the_same_over_and_over(spark):
+    """Periodic texts with up to three edits each: all that brute force finds, in any turn of the period."""
+    r = np.random.default_rng(1)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 10 ** 9, n)]
+    rows, want = [], set()
+    for i in range(60):
+        p = int(r.integers(5, 45))
+        base = (word(p) * 12)[:int(r.integers(55, 90))]
+
+        def edited():
+            t = list(base)
+            for _ in range(int(r.integers(0, 4))):
+                j = int(r.integers(0, len(t)))
+                t[j:j + int(r.integers(0, 2))] = word(int(r.integers(0, 2)))
+            return word(3) + t[int(r.integers(0, max(1, min(p, len(t) - 52)))):] + word(3)
+        a, b = edited(), edited()
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        if near_passages(b, a):
+            want.add((1000 + i, i))
+    got = {(x["_id"], x["first_id"]) for x in compact_windows.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 20 and got == want
